@@ -29,9 +29,9 @@ def full_grid(extent: DataFrame) -> DataFrame:
     """Every (roi, y, x) of the images. Rows of one image are spread before they are unrolled."""
     lines = extent.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
     spread = lines.repartition("roi", "y")
+    last = (F.col("width") - 1).cast("int")
     return spread.select(
-        "roi", F.col("y").cast("int").alias("y"),
-        F.explode(F.sequence(F.lit(0), F.col("width") - 1)).cast("int").alias("x"),
+        "roi", F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), last)).alias("x")
     )
 
 

@@ -1,0 +1,13 @@
+from rastrel.queries import (  # noqa: F401
+    annotations,
+    cohorts,
+    measures,
+    models,
+    names,
+    objects,
+    pixels,
+    regions,
+    spots,
+    streams,
+)
+from rastrel.queries.registry import CHECKS, QUERIES  # noqa: F401
