@@ -50,8 +50,10 @@ def preview_configs(saved: DataFrame) -> DataFrame:
         F.try_element_at("channels", c)["alias"], c
     )
     f = F.col("config.filter")
+    applied = F.when(f["global_apply_filter"], "True").when(~f["global_apply_filter"], "False")
+    text = lambda k: applied if k == "global_apply_filter" else f[k].cast("string")
     settings = F.concat_ws(separator, *[
-        F.concat(F.lit(f"{k}: "), F.coalesce(f[k].cast("string"), F.lit("None")))
+        F.concat(F.lit(f"{k}: "), F.coalesce(text(k), F.lit("None")))
         for k in ("global_apply_filter", "global_filter_type", "global_filter_val", "global_filter_sigma")
     ])
     return saved.select(

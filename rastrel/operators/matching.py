@@ -40,7 +40,8 @@ def _old_number(name):
 def substrings(names: DataFrame, lengths) -> DataFrame:
     """Every substring of each name with one of the given lengths (an array column)."""
     size = F.length("name")
-    cut = names.withColumn("_len", F.explode(F.filter(lengths, lambda n: n <= F.length("name"))))
+    sized = names.withColumn("_lens", lengths)
+    cut = sized.withColumn("_len", F.explode(F.filter("_lens", lambda n: n <= F.length("name"))))
     start = F.explode(F.sequence(F.lit(1), size - F.col("_len") + 1))
     return cut.withColumn("_at", start).select(
         "name", "position", F.col("name").substr(F.col("_at"), F.col("_len")).alias("part")

@@ -44,7 +44,7 @@ def spatial_extent(spots: DataFrame, scales: DataFrame, border: float = BORDER)
         *[f(place(c)).cast("double").alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, 0), (F.max, 1))],
         F.max("spot_based").alias("based"),
     )
-    cut = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double")
+    cut = lambda c: c.cast("bigint").cast("double")
     bordered = F.coalesce("based", F.lit(False))
     for axis in ("x", "y"):
         low, high = F.col(f"{axis}0"), F.col(f"{axis}1")
@@ -79,7 +79,7 @@ def rasterize_spots(values: DataFrame, scales: DataFrame, extents: DataFrame,
     frame = frame.withColumn("_offsets", disk_offsets(size))
     placed = lookup_join(values.where(F.col("value") > 0), frame, ["roi"])
     at = lambda c, low: _single(_single(_single(F.col(c)) * F.col("scale")).cast("double") - F.col(low)).cast("double")
-    whole = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("int")
+    whole = lambda c: c.cast("int")
     drawn = placed.withColumns({"_y": at("y", "y_min"), "_x": at("x", "x_min")}).select(
         "roi", F.col("gene").alias("channel"), "value", "_y", "_x", "grid_width", "grid_height",
         F.explode("_offsets").alias("o"),

@@ -169,7 +169,7 @@ def hot_pixel_diff(pixels: DataFrame, extent: DataFrame, size: int = 8, integer_
     """
     before, after = size // 2, size - size // 2 - 1
     doubles = pixels.withColumn("value", F.col("value").cast("double"))
-    toward_zero = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double")
+    toward_zero = lambda c: c.cast("bigint").cast("double")
     means = separable(
         doubles, extent, keys, image, before, after, "reflect",
         lambda c, w: F.avg(c).over(w), toward_zero if integer_mean else None, tile,

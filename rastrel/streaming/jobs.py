@@ -40,9 +40,16 @@ def latest_state(stored: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def once_each(log: DataFrame, key: str = "id", time: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Annotations of an append-only log, each one a single time."""
-    return log.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def once_each(log: DataFrame, key: str = "id", time: str | None = None, delay: str | None = None) -> DataFrame:
+    """Annotations of an append-only log, each one a single time.
+
+    All ids are remembered unless a ``delay`` is given; then ids, and entries arriving later than
+    that, are forgotten to bound the state.
+    """
+    if delay is None:
+        return log.dropDuplicates([key])
+    stamped = log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    return stamped.dropDuplicatesWithinWatermark([key])
 
 
 def apply_stream(log: DataFrame, path: str, checkpoint: str, hits) -> None:
