@@ -35,18 +35,23 @@ def scale_intensity(value: Column, lower: Column, upper: Column) -> Column:
     return F.when(high.isNull(), moved).otherwise(moved * factor)
 
 
-def recolour(value: Column, colour: Column) -> Column:
-    """Grey 0..255 to RGB in a colour, truncated, in 32-bit arithmetic; white only clips."""
-    grey = F.least(F.greatest(value.cast("double"), F.lit(0.0)), F.lit(255.0))
-    share = (grey.cast("float") / F.lit(255.0)).cast("float")
-    white = F.upper(colour) == "#FFFFFF"
+def colour_weights(colour: Column) -> Column:
+    """Per-component weights of a colour in 32-bit arithmetic; NULL for white, which is only clipped."""
     rgb = hex_to_rgb(colour)
 
-    def part(name: str) -> Column:
+    def weight(name: str) -> Column:
         unit = (rgb[name].cast("float") / F.lit(255.0)).cast("float")
-        weight = unit * F.lit(255.0).cast("float")
-        return F.when(white, F.floor(grey)).otherwise(F.floor(share * weight)).cast("int")
+        return unit * F.lit(255.0).cast("float")
+
+    parts = F.struct(*[weight(n).alias(n) for n in ("r", "g", "b")])
+    return F.when(F.upper(colour) != "#FFFFFF", parts)
 
+
+def recolour(value: Column, weights: Column) -> Column:
+    """Grey 0..255 to RGB with the weights of a colour, truncated."""
+    grey = F.least(F.greatest(value.cast("double"), F.lit(0.0)), F.lit(255.0))
+    share = (grey.cast("float") / F.lit(255.0)).cast("float")
+    part = lambda n: F.when(weights.isNull(), F.floor(grey)).otherwise(F.floor(share * weights[n])).cast("int")
     return F.struct(*[part(n).alias(n) for n in ("r", "g", "b")])
 
 

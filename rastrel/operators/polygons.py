@@ -17,47 +17,52 @@ from rastrel.functions.geometry import path_vertices
 from rastrel.operators.raster import pixels_in_spans
 
 
-def _merge(y: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """Union of closed integer intervals per row."""
-    if len(y) == 0:
-        return y, a, b
-    stride = int(b.max()) - min(int(a.min()), 0) + 3
-    order = np.lexsort((a, y))
-    start, end = (a + y * stride)[order], (b + y * stride)[order]
+def _merge(row: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Union of closed integer intervals per row number."""
+    if len(row) == 0:
+        return row, a, b
+    stride = int(b.max()) + 3
+    order = np.lexsort((a, row))
+    start, end = (a + row * stride)[order], (b + row * stride)[order]
     reach = np.maximum.accumulate(end)
-    new = np.r_[True, start[1:] > reach[:-1] + 1]
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1] + 1])
     last = np.r_[first[1:] - 1, len(start) - 1]
-    row = y[order][first]
-    return row, start[first] - row * stride, reach[last] - row * stride
+    kept = row[order][first]
+    return kept, start[first] - kept * stride, reach[last] - kept * stride
 
 
-def _enclosed_gaps(y: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """Gaps between spans that no 4-connected way links to the outside."""
-    same = np.flatnonzero(y[1:] == y[:-1])
+def _enclosed_gaps(row: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Gaps between runs that no 4-connected way links to the outside.
+
+    Rows of different polygons are never neighbours, as each polygon has its own row numbers.
+    """
+    same = np.flatnonzero(row[1:] == row[:-1])
     if len(same) == 0:
         return None
-    gaps = [(int(y[i]), int(b[i]) + 1, int(a[i + 1]) - 1) for i in same]
-    edges = {}
-    for row, lo, hi in zip(y.tolist(), a.tolist(), b.tolist()):
-        old = edges.get(row)
-        edges[row] = (lo, hi) if old is None else (min(old[0], lo), max(old[1], hi))
+    gaps = [(int(row[i]), int(b[i]) + 1, int(a[i + 1]) - 1) for i in same]
     by_row: dict[int, list[int]] = {}
-    for i, (row, _, _) in enumerate(gaps):
-        by_row.setdefault(row, []).append(i)
-
-    def open_to_outside(row: int, lo: int, hi: int) -> bool:
-        for other in (row - 1, row + 1):
-            limits = edges.get(other)
-            if limits is None or lo < limits[0] or hi > limits[1]:
+    for i, (r, _, _) in enumerate(gaps):
+        by_row.setdefault(r, []).append(i)
+    first, last = np.searchsorted(row, row, "left"), np.searchsorted(row, row, "right") - 1
+
+    def limits(r: int):
+        at = int(np.searchsorted(row, r))
+        if at == len(row) or row[at] != r:
+            return None
+        return int(a[first[at]]), int(b[last[at]])
+
+    def open_to_outside(r: int, lo: int, hi: int) -> bool:
+        for other in (r - 1, r + 1):
+            edge = limits(other)
+            if edge is None or lo < edge[0] or hi > edge[1]:
                 return True
         return False
 
     leaking = [i for i, g in enumerate(gaps) if open_to_outside(*g)]
     outside = set(leaking)
     while leaking:
-        row, lo, hi = gaps[leaking.pop()]
-        for other in (row - 1, row + 1):
+        r, lo, hi = gaps[leaking.pop()]
+        for other in (r - 1, r + 1):
             for j in by_row.get(other, ()):
                 if j not in outside and gaps[j][1] <= hi and gaps[j][2] >= lo:
                     outside.add(j)
@@ -66,69 +71,73 @@ def _enclosed_gaps(y: np.ndarray, a: np.ndarray, b: np.ndarray):
     return np.array(closed, dtype=np.int64).T if closed else None
 
 
-def spans_of_polygon(px: np.ndarray, py: np.ndarray, width: int, height: int, fill: bool = True):
-    """Covered pixel runs of one integer polygon, clipped to the image.
+def spans_of_polygons(xs: list, ys: list, width: np.ndarray, height: np.ndarray, fill: bool = True):
+    """Covered pixel runs (polygon, y, x0, x1) of a batch of integer polygons, clipped to their images.
 
     A pixel is covered when its centre is inside by the even-odd rule or lies on the outline;
-    with ``fill``, enclosed holes are covered too.
+    with ``fill``, enclosed holes are covered too. Work and memory follow the outlines.
     """
-    x1, y1 = px.astype(np.int64), py.astype(np.int64)
-    x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
+    sizes = np.array([len(x) for x in xs], dtype=np.int64)
+    owner = np.repeat(np.arange(len(xs)), sizes)
+    x1, y1 = np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64)
+    following = np.arange(1, len(x1) + 1)
+    ends = np.cumsum(sizes)[sizes > 0] - 1
+    following[ends] = ends + 1 - sizes[sizes > 0]
+    x2, y2 = x1[following], y1[following]
     up = y2 < y1
-    ax, ay = np.where(up, x2, x1), np.where(up, y2, y1)
-    bx, by = np.where(up, x1, x2), np.where(up, y1, y2)
-    rise = by - ay
-    lines = np.flatnonzero(rise > 0)
-    # one entry per edge and row, the upper end row included
-    steps = rise[lines] + 1
-    edge = np.repeat(lines, steps)
-    at = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
-    row = ay[edge] + at
-    top = ax[edge] * rise[edge] + at * (bx[edge] - ax[edge])
+    ax, ay, bx = np.where(up, x2, x1), np.where(up, y2, y1), np.where(up, x1, x2)
+    rise = np.abs(y2 - y1)
+    # one entry per sloped edge and row inside the image, the upper end row included
+    low, high = np.maximum(ay, 0), np.minimum(ay + rise, height[owner] - 1)
+    steps = np.where(rise > 0, np.maximum(high - low + 1, 0), 0)
+    edge = np.repeat(np.arange(len(x1)), steps)
+    y = low[edge] + np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+    top = ax[edge] * rise[edge] + (y - ay[edge]) * (bx[edge] - ax[edge])
     down = rise[edge]
-    half_open = at < down
-    hrow, htop, hdown = row[half_open], top[half_open], down[half_open]
-    order = np.lexsort((htop / hdown, hrow))
-    hrow, htop, hdown = hrow[order], htop[order], hdown[order]
-    enter = -((-htop[0::2]) // hdown[0::2])
-    leave = htop[1::2] // hdown[1::2]
+    # row numbers: a block of rows per polygon with an empty row between blocks
+    block = int(height.max()) + 2
+    line = owner[edge] * block + y
+    half_open = y < ay[edge] + rise[edge]
+    hline, htop, hdown = line[half_open], top[half_open], down[half_open]
+    order = np.lexsort((htop / hdown, hline))
+    hline, htop, hdown = hline[order], htop[order], hdown[order]
     on = top % down == 0
-    flat = np.flatnonzero(rise == 0)
-    y = np.r_[hrow[0::2], row[on], ay[flat]]
-    a = np.r_[enter, top[on] // down[on], np.minimum(x1, x2)[flat]]
-    b = np.r_[leave, top[on] // down[on], np.maximum(x1, x2)[flat]]
-    a, b = np.maximum(a, 0), np.minimum(b, width - 1)
-    keep = (a <= b) & (y >= 0) & (y < height)
-    y, a, b = _merge(y[keep], a[keep], b[keep])
-    if fill and len(y):
-        holes = _enclosed_gaps(y, a, b)
+    flat = np.flatnonzero((rise == 0) & (ay >= 0) & (ay < height[owner]))
+    row = np.r_[hline[0::2], line[on], owner[flat] * block + ay[flat]]
+    a = np.r_[-((-htop[0::2]) // hdown[0::2]), top[on] // down[on], np.minimum(x1, x2)[flat]]
+    b = np.r_[htop[1::2] // hdown[1::2], top[on] // down[on], np.maximum(x1, x2)[flat]]
+    a, b = np.maximum(a, 0), np.minimum(b, width[row // block] - 1)
+    keep = a <= b
+    row, a, b = _merge(row[keep], a[keep], b[keep])
+    if fill and len(row):
+        holes = _enclosed_gaps(row, a, b)
         if holes is not None:
-            y, a, b = _merge(np.r_[y, holes[0]], np.r_[a, holes[1]], np.r_[b, holes[2]])
-    return y, a, b
+            row, a, b = _merge(np.r_[row, holes[0]], np.r_[a, holes[1]], np.r_[b, holes[2]])
+    return row // block, row % block, a, b
 
 
 def polygon_spans(polygons: DataFrame, extent: DataFrame, fill: bool = True) -> DataFrame:
-    """(region, roi, y, x0, x1) of polygons with integer ``vertices``."""
+    """(region, roi, y, x0, x1) of polygons with integer ``vertices``.
+
+    Polygons are spread by their own key first: unrolling an outline costs far more than its row.
+    """
     region, roi = polygons.schema["region"].dataType, polygons.schema["roi"].dataType
     sized = polygons.join(extent.select("roi", "width", "height"), "roi").select(
         "region", "roi", F.col("vertices.x").alias("xs"), F.col("vertices.y").alias("ys"),
         "width", "height",
-    )
+    ).repartition("roi", "region")
 
     def unroll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [
-                spans_of_polygon(np.asarray(xs), np.asarray(ys), w, h, fill)
-                for xs, ys, w, h in zip(batch["xs"], batch["ys"], batch["width"], batch["height"])
-            ]
-            sizes = [len(f[0]) for f in found]
-            if not sum(sizes):
+            if batch.empty:
                 continue
-            joined = [np.concatenate([f[i] for f in found]) for i in range(3)]
+            owner, y, a, b = spans_of_polygons(
+                batch["xs"].to_list(), batch["ys"].to_list(),
+                batch["width"].to_numpy().astype(np.int64), batch["height"].to_numpy().astype(np.int64), fill,
+            )
             yield pd.DataFrame({
-                "region": np.repeat(batch["region"].to_numpy(), sizes),
-                "roi": np.repeat(batch["roi"].to_numpy(), sizes),
-                "y": joined[0], "x0": joined[1], "x1": joined[2],
+                "region": batch["region"].to_numpy()[owner], "roi": batch["roi"].to_numpy()[owner],
+                "y": y, "x0": a, "x1": b,
             })
 
     return sized.mapInPandas(

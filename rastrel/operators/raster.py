@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.functions.colour import gradient_colour, recolour, scale_intensity
+from rastrel.functions.colour import colour_weights, gradient_colour, recolour, scale_intensity
 from rastrel.plans.joins import lookup_join, over_tiles, points_in_boxes, tile_of
-from rastrel.plans.ranks import percentiles, take_smallest
+from rastrel.plans.ranks import IN_MEMORY, percentiles, take_smallest
 from rastrel.schema import q
 
 PIXEL = ["roi", "channel", "y", "x"]
@@ -156,9 +156,12 @@ def thumbnail_choice(pixels: DataFrame, extent: DataFrame, step: int, ratio: flo
 # ---------------------------------------------------------------- intensity bounds
 
 def channel_upper_bound(pixels: DataFrame, keys: Sequence[str] = ("roi", "channel"),
-                        percentile: float = 99.0) -> DataFrame:
-    """Default upper bound per channel: a percentile of its pixels, 1.0 when that is not above 0."""
-    ranked = percentiles(pixels, keys, "value", {"upper_bound": percentile / 100.0})
+                        percentile: float = 99.0, largest: int | None = None) -> DataFrame:
+    """Default upper bound per channel: a percentile of its pixels, 1.0 when that is not above 0.
+
+    ``largest`` is the checked pixel count of the largest group, where known.
+    """
+    ranked = percentiles(pixels, keys, "value", {"upper_bound": percentile / 100.0}, largest)
     return ranked.withColumn(
         "upper_bound", F.when(F.col("upper_bound") > 0, F.col("upper_bound")).otherwise(F.lit(1.0))
     )
@@ -209,9 +212,10 @@ def preset_params(params: DataFrame, preset: dict) -> DataFrame:
 
 def with_channel_params(pixels: DataFrame, params: DataFrame) -> DataFrame:
     """Pixels with their channel's bounds and colour, intensity scaled to 0..255 as ``scaled``."""
-    joined = lookup_join(
-        pixels, params.select("channel", "color", "x_lower_bound", "x_upper_bound"), ["channel"]
+    wanted = params.select(
+        "channel", "color", "x_lower_bound", "x_upper_bound", colour_weights(F.col("color")).alias("weights")
     )
+    joined = lookup_join(pixels, wanted, ["channel"], spread_by=["y", "x"])
     return joined.withColumn(
         "scaled", scale_intensity(F.col("value"), F.col("x_lower_bound"), F.col("x_upper_bound"))
     )
@@ -258,7 +262,7 @@ def apply_gradient(pixels: DataFrame, name: str) -> DataFrame:
 def blend(pixels: DataFrame, params: DataFrame, clip: bool = True) -> DataFrame:
     """Additive image (roi, y, x, r, g, b) of scaled, recoloured channels, clipped to 0..255."""
     coloured = with_channel_params(pixels, params).select(
-        "roi", "y", "x", recolour(F.col("scaled"), F.col("color")).alias("c")
+        "roi", "y", "x", recolour(F.col("scaled"), F.col("weights")).alias("c")
     )
     total = lambda n: F.sum(F.col(f"c.{n}").cast("bigint"))
     part = lambda n: (F.least(total(n), F.lit(255)) if clip else total(n)).alias(n)
@@ -328,16 +332,32 @@ def pixels_in_spans(pixels: DataFrame, spans: DataFrame, tile: int = 64) -> Data
     ).drop("_tx")
 
 
-def region_statistics(region_pixels: DataFrame, digits: int | None = 2) -> DataFrame:
-    """Mean, Max, Min, Median, SD (population) and Total per region and channel."""
+def largest_area(boxes: DataFrame) -> int:
+    """Pixels in the largest of some boxes (x_min, x_max, y_min, y_max): one row to the driver."""
+    sides = (F.col("x_max") - F.col("x_min") + 1) * (F.col("y_max") - F.col("y_min") + 1)
+    found = boxes.agg(F.max(sides.cast("bigint")).alias("n")).first()["n"]
+    return int(found or 0)
+
+
+def region_statistics(region_pixels: DataFrame, digits: int | None = 2, largest: int | None = None) -> DataFrame:
+    """Mean, Max, Min, Median, SD (population) and Total per region and channel.
+
+    With ``largest``, the checked pixel count of the largest region, medians of small regions come
+    from the same single aggregation; otherwise they are found by counting, without ever holding a
+    region's values in one task.
+    """
     keys = ["region", "channel"]
     value = F.col("value").cast("double")
-    basic = region_pixels.groupBy(*keys).agg(
+    basic = [
         F.avg(value).alias("Mean"), F.max(value).alias("Max"), F.min(value).alias("Min"),
         F.stddev_pop(value).alias("SD"), F.sum(value).alias("Total"),
-    )
-    middle = percentiles(region_pixels, keys, "value", {"Median": 0.5})
-    joined = basic.join(middle, keys)
+    ]
+    if largest is not None and largest <= IN_MEMORY:
+        joined = region_pixels.groupBy(*keys).agg(*basic, F.median(value).alias("Median"))
+    else:
+        joined = region_pixels.groupBy(*keys).agg(*basic).join(
+            percentiles(region_pixels, keys, "value", {"Median": 0.5}), keys
+        )
     shown = lambda c: (F.bround(c, digits) if digits is not None else F.col(c)).alias(c)
     return joined.select(*keys, *[shown(c) for c in STATISTICS])
 

@@ -58,13 +58,10 @@ def spatial_extent(spots: DataFrame, scales: DataFrame, border: float = BORDER)
     )
 
 
-def disk_offsets(radius: Column) -> Column:
-    """Pixel offsets of a disk: dy*dy + dx*dx < radius*radius."""
-    around = F.sequence(-radius, radius)
-    pairs = F.flatten(F.transform(around, lambda dy: F.transform(
-        around, lambda dx: F.struct(dy.alias("dy"), dx.alias("dx"))
-    )))
-    return F.filter(pairs, lambda o: o["dy"] * o["dy"] + o["dx"] * o["dx"] < radius * radius)
+def half_chord(radius: Column, dy: Column) -> Column:
+    """Largest dx of a disk row with dy*dy + dx*dx < radius*radius."""
+    left = radius * radius - dy * dy
+    return (F.ceil(F.sqrt(left.cast("double"))) - 1).cast("int")
 
 
 def rasterize_spots(values: DataFrame, scales: DataFrame, extents: DataFrame,
@@ -76,20 +73,22 @@ def rasterize_spots(values: DataFrame, scales: DataFrame, extents: DataFrame,
     """
     frame = extents.join(scales.select("roi", "scale", "radius"), "roi")
     size = F.floor(F.col("radius") * F.col("scale")).cast("int") if downscale else F.col("radius")
-    frame = frame.withColumn("_offsets", disk_offsets(size))
+    frame = frame.withColumn("_size", size)
     placed = lookup_join(values.where(F.col("value") > 0), frame, ["roi"])
     at = lambda c, low: _single(_single(_single(F.col(c)) * F.col("scale")).cast("double") - F.col(low)).cast("double")
-    whole = lambda c: c.cast("int")
-    drawn = placed.withColumns({"_y": at("y", "y_min"), "_x": at("x", "x_min")}).select(
-        "roi", F.col("gene").alias("channel"), "value", "_y", "_x", "grid_width", "grid_height",
-        F.explode("_offsets").alias("o"),
-    ).select(
-        "roi", "channel", "value", "grid_width", "grid_height",
-        whole(F.col("_y") + F.col("o.dy")).alias("y"), whole(F.col("_x") + F.col("o.dx")).alias("x"),
-    )
-    return drawn.where(
-        (F.col("y") >= 0) & (F.col("y") < F.col("grid_height")) & (F.col("x") >= 0) & (F.col("x") < F.col("grid_width"))
-    ).groupBy("roi", "channel", "y", "x").agg(F.max("value").alias("value"))
+    # a disk is unrolled row by row: the row is placed and tested before its pixels are made
+    lines = placed.where(F.col("_size") > 0).select(
+        "roi", F.col("gene").alias("channel"), "value", at("y", "y_min").alias("_y"), at("x", "x_min").alias("_x"),
+        "grid_width", "grid_height", "_size",
+        F.explode(F.sequence(1 - F.col("_size"), F.col("_size") - 1)).alias("dy"),
+    ).withColumn("y", (F.col("_y") + F.col("dy")).cast("int")).where(
+        (F.col("y") >= 0) & (F.col("y") < F.col("grid_height"))
+    ).withColumn("_reach", half_chord(F.col("_size"), F.col("dy")))
+    drawn = lines.select(
+        "roi", "channel", "value", "y", "_x", "grid_width",
+        F.explode(F.sequence(-F.col("_reach"), F.col("_reach"))).alias("dx"),
+    ).withColumn("x", (F.col("_x") + F.col("dx")).cast("int"))
+    return drawn.where((F.col("x") >= 0) & (F.col("x") < F.col("grid_width"))).groupBy("roi", "channel", "y", "x").agg(F.max("value").alias("value"))
 
 
 def number_spots(spots: DataFrame, order: str = "spot_id") -> DataFrame:

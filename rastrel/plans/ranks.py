@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from rastrel.schema import q
 
 
+# groups known to be at most this large may be ranked inside one aggregation buffer
+IN_MEMORY = 1 << 20
+
+
 def magnitude_bucket(value: Column, parts: int = 4096) -> Column:
     """Monotone bucket number: every power of two is cut into ``parts`` equal pieces.
 
@@ -34,13 +38,20 @@ def percentiles(
     keys: Sequence[str],
     value: str,
     points: Mapping[str, float],
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles of ``value`` per group (numpy's default rule).
 
     ``points`` maps an output column to a fraction in 0..1. NULL values are ignored. Equal
-    values are counted before anything else is shuffled by group.
+    values are counted before anything else is shuffled by group. When the caller has checked
+    that no group has more than ``largest`` rows and that is little, one aggregation does it.
     """
     ks = [q(k) for k in keys]
+    if largest is not None and largest <= IN_MEMORY:
+        number = q(value).cast("double")
+        return df.where(number.isNotNull()).groupBy(*ks).agg(
+            *[F.percentile(number, float(p)).alias(name) for name, p in points.items()]
+        )
     counted = (
         df.where(q(value).isNotNull())
         .groupBy(*ks, q(value).cast("double").alias("_v"))

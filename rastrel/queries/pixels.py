@@ -46,7 +46,18 @@ SELECT roi, channel, round(CASE WHEN quantile_cont(value, 0.99) > 0 THEN quantil
 FROM dense GROUP BY 1, 2"""))
 def channel_p99(spark, sf):
     """Default upper bound of each channel of each image."""
-    return ra.channel_upper_bound(views.dense(spark, sf)).withColumn("upper_bound", F.round("upper_bound", 6))
+    size = views.extent(spark, sf).agg(F.max(F.col("width") * F.col("height")).alias("n")).first()["n"]
+    bounds = ra.channel_upper_bound(views.dense(spark, sf), largest=size)
+    return bounds.withColumn("upper_bound", F.round("upper_bound", 6))
+
+
+@query(with_views("dense", """
+SELECT channel, round(CASE WHEN quantile_cont(value, 0.99) > 0 THEN quantile_cont(value, 0.99) ELSE 1.0 END, 6) AS upper_bound
+FROM dense GROUP BY 1"""))
+def channel_p99_pooled(spark, sf):
+    """Upper bound per channel over all images, groups of any size."""
+    bounds = ra.channel_upper_bound(views.dense(spark, sf), ["channel"])
+    return bounds.withColumn("upper_bound", F.round("upper_bound", 6))
 
 
 @query(with_views("dense", """

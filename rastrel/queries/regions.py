@@ -25,6 +25,16 @@ SELECT region, channel, {STATS} FROM regions r JOIN dense d ON d.roi = r.roi AND
   AND d.y >= y_min AND d.y < y_max GROUP BY 1, 2"""))
 def region_stats_rect(spark, sf):
     """Statistics of every channel in every drawn rectangle."""
+    regions = views.regions(spark, sf)
+    inside = ra.pixels_in_rectangles(views.dense(spark, sf), regions, tile=16)
+    return _rounded(ra.region_statistics(inside, None, ra.largest_area(regions)))
+
+
+@query(with_views("dense regions", f"""
+SELECT region, channel, {STATS} FROM regions r JOIN dense d ON d.roi = r.roi AND d.x >= x_min AND d.x < x_max
+  AND d.y >= y_min AND d.y < y_max GROUP BY 1, 2"""))
+def region_stats_any_size(spark, sf):
+    """The same without knowing how large the rectangles are."""
     inside = ra.pixels_in_rectangles(views.dense(spark, sf), views.regions(spark, sf), tile=16)
     return _rounded(ra.region_statistics(inside, None))
 
@@ -33,8 +43,10 @@ def region_stats_rect(spark, sf):
 SELECT region, channel, {STATS} FROM inside i JOIN dense d USING (roi, y, x) GROUP BY 1, 2"""))
 def region_stats_path(spark, sf):
     """Statistics of every channel in every drawn path."""
-    spans = po.path_spans(views.paths(spark, sf), views.extent(spark, sf))
-    return _rounded(ra.region_statistics(ra.pixels_in_spans(views.dense(spark, sf), spans, tile=16), None))
+    paths = views.paths(spark, sf)
+    inside = ra.pixels_in_spans(views.dense(spark, sf), po.path_spans(paths, views.extent(spark, sf)), tile=16)
+    boxes = paths.select(vertex_bounds(path_vertices(F.col("path"))).alias("b")).select("b.*")
+    return _rounded(ra.region_statistics(inside, None, ra.largest_area(boxes)))
 
 
 @query(with_views("inside", "SELECT region, roi, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM inside"))
