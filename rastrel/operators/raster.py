@@ -316,10 +316,20 @@ def marker_correlation(pixels: DataFrame, target: str, baseline: str, mask: Data
 STATISTICS = ["Mean", "Max", "Min", "Median", "SD", "Total"]
 
 
-def pixels_in_rectangles(pixels: DataFrame, regions: DataFrame, tile: int = 64) -> DataFrame:
-    """(region, channel, y, x, value) of half-open rectangles, corners truncated to integers."""
+def pixels_in_rectangles(pixels: DataFrame, regions: DataFrame, tile: int = 64,
+                         extent: DataFrame | None = None) -> DataFrame:
+    """(region, channel, y, x, value) of half-open rectangles, corners truncated to integers.
+
+    With image sizes, rectangles that reach beyond their image are left out.
+    """
     whole = lambda c: F.col(c).cast("int").alias(c)
     boxes = regions.select("region", "roi", *[whole(c) for c in ("x_min", "x_max", "y_min", "y_max")])
+    if extent is not None:
+        sized = boxes.join(extent.select("roi", "width", "height"), "roi")
+        boxes = sized.where(
+            (F.col("x_min") >= 0) & (F.col("y_min") >= 0)
+            & (F.col("x_max") <= F.col("width")) & (F.col("y_max") <= F.col("height"))
+        ).drop("width", "height")
     return points_in_boxes(pixels, boxes, ["roi"], tile=tile, closed=False)
 
 

@@ -1,14 +1,17 @@
 """Neighbourhood filters on dense rasters.
 
-Pixels are copied into the tiles whose windows reach them (a thin halo), shuffled once by tile,
-and filtered by window functions along columns and rows inside each tile, all in the JVM.
+Pixels are copied to the tiles whose windows reach them (a thin halo) and shuffled once by tile,
+so an image of any size is spread over many tasks. A task reads its tiles one after the other and
+filters each as a small array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,28 +21,8 @@ from rastrel.plans.joins import lookup_join
 from rastrel.schema import q
 
 TILE = 256
-EDGES = ("reflect", "mirror", "nearest")
-
-
-def _source(position: Column, size: Column, edge: str) -> Column:
-    """Pixel that stands for a position outside the image."""
-    if edge == "nearest":
-        return F.least(F.greatest(position, F.lit(0)), size - 1)
-    period = size * 2 if edge == "reflect" else F.greatest(size * 2 - 2, F.lit(1))
-    folded = F.pmod(position, period)
-    back = (size * 2 - 1 if edge == "reflect" else size * 2 - 2) - folded
-    return F.when(folded < size, folded).otherwise(back)
-
-
-def _copies(index: Column, size: Column, before: int, after: int, edge: str) -> Column:
-    """The pixel's own position and the border positions it stands for."""
-    outside = [F.lit(-i) for i in range(1, before + 1)] + [size + i for i in range(after)]
-    if not outside:
-        return F.array(index)
-    near = F.filter(F.array(*outside), lambda p: _source(p, size, edge) == index)
-    reach = max(before, after) + 1
-    border = (index < reach) | (index >= size - reach)
-    return F.when(border, F.concat(F.array(index), near)).otherwise(F.array(index))
+# names of the border rules and of the array padding that follows them
+EDGES = {"reflect": "symmetric", "mirror": "reflect", "nearest": "edge"}
 
 
 def _tiles(position: Column, size: Column, before: int, after: int, tile: int) -> Column:
@@ -49,41 +32,75 @@ def _tiles(position: Column, size: Column, before: int, after: int, tile: int) -
 
 
 def haloed_tiles(pixels: DataFrame, extent: DataFrame, keys: Sequence[str], image: Sequence[str],
-                 before: int, after: int, edge: str, tile: int = TILE) -> DataFrame:
-    """Pixels copied to every tile whose windows [-before, after] reach them, borders extended."""
+                 before: int, after: int, tile: int = TILE) -> DataFrame:
+    """Pixels copied to every tile (_ty, _tx) whose windows [-before, after] reach them."""
     sized = lookup_join(
         pixels.select(*[q(k) for k in keys], "y", "x", "value"),
-        extent.select(*[q(c) for c in image], "width", "height"), list(image), spread_by=["y", "x"],
-    )
-    w, h = F.col("width"), F.col("height")
-    spread = (
-        sized.withColumn("y", F.explode(_copies(F.col("y"), h, before, after, edge)))
-        .withColumn("x", F.explode(_copies(F.col("x"), w, before, after, edge)))
-        .withColumn("_ty", F.explode(_tiles(F.col("y"), h, before, after, tile)))
-        .withColumn("_tx", F.explode(_tiles(F.col("x"), w, before, after, tile)))
+        extent.select(*[q(c) for c in image], F.col("width").cast("int"), F.col("height").cast("int")),
+        list(image), spread_by=["y", "x"],
     )
+    spread = sized.withColumn(
+        "_ty", F.explode(_tiles(F.col("y"), F.col("height"), before, after, tile))
+    ).withColumn("_tx", F.explode(_tiles(F.col("x"), F.col("width"), before, after, tile)))
     return spread.repartition(*[q(k) for k in keys], "_ty", "_tx")
 
 
-def separable(pixels: DataFrame, extent: DataFrame, keys: Sequence[str], image: Sequence[str],
-              before: int, after: int, edge: str, fold: Callable[[Column, Window], Column],
-              between: Callable[[Column], Column] | None = None, tile: int = TILE) -> DataFrame:
-    """A filter applied along columns, then along rows: (keys, y, x, value)."""
-    tiles = haloed_tiles(pixels, extent, keys, image, before, after, edge, tile)
-    own = [*[q(k) for k in keys], "_ty", "_tx"]
-    column = Window.partitionBy(*own, "x").orderBy("y").rowsBetween(-before, after)
-    row = Window.partitionBy(*own, "y").orderBy("x").rowsBetween(-before, after)
-    step = between or (lambda c: c)
-    in_tile = lambda c, t, n: (F.col(c) >= 0) & (F.col(c) < F.col(n)) & (F.floor(F.col(c) / tile) == F.col(t))
-    down = (
-        tiles.withColumn("value", step(fold(F.col("value"), column)))
-        .where(in_tile("y", "_ty", "height"))
-    )
-    return (
-        down.withColumn("value", step(fold(F.col("value"), row)))
-        .where(in_tile("x", "_tx", "width"))
-        .select(*[q(k) for k in keys], "y", "x", "value")
-    )
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of equal keys in sorted batches; a run may go on in the next batch."""
+    pending: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        if pending and any(pending[-1][k].iat[-1] != batch[k].iat[0] for k in keys):
+            yield pd.concat(pending) if len(pending) > 1 else pending[0]
+            pending = []
+        changed = np.zeros(len(batch) - 1, dtype=bool)
+        for k in keys:
+            column = batch[k].to_numpy()
+            changed |= column[1:] != column[:-1]
+        cuts = np.r_[0, np.flatnonzero(changed) + 1, len(batch)]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            part = batch.iloc[start:end]
+            if start > 0:
+                yield pd.concat(pending) if len(pending) > 1 else pending[0]
+                pending = []
+            pending.append(part)
+    if pending:
+        yield pd.concat(pending) if len(pending) > 1 else pending[0]
+
+
+def on_tiles(pixels: DataFrame, extent: DataFrame, keys: Sequence[str], image: Sequence[str], before: int,
+             after: int, work: Callable, columns: str, tile: int = TILE) -> DataFrame:
+    """Run ``work(block, pads, rows, cols)`` on every tile and collect its columns under the keys.
+
+    ``block`` is the tile with as much halo as the image has; ``pads`` says how much is missing on
+    each side, ``rows`` and ``cols`` are the image positions the tile stands for.
+    """
+    tile = max(tile, before + after)
+    tiles = haloed_tiles(pixels, extent, keys, image, before, after, tile)
+    names = [*keys, "_ty", "_tx"]
+    kinds = ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _groups(batches, names):
+            first = part.iloc[0]
+            y0, x0 = int(first["_ty"]) * tile, int(first["_tx"]) * tile
+            y1, x1 = min(y0 + tile, int(first["height"])), min(x0 + tile, int(first["width"]))
+            ya, xa = max(y0 - before, 0), max(x0 - before, 0)
+            yb, xb = min(y1 + after, int(first["height"])), min(x1 + after, int(first["width"]))
+            value = part["value"].to_numpy()
+            block = np.zeros((yb - ya, xb - xa), dtype=value.dtype)
+            block[part["y"].to_numpy() - ya, part["x"].to_numpy() - xa] = value
+            pads = ((before - (y0 - ya), after - (yb - y1)), (before - (x0 - xa), after - (xb - x1)))
+            found = work(block, pads, np.arange(y0, y1), np.arange(x0, x1))
+            size = len(next(iter(found.values())))
+            yield pd.DataFrame({**{k: [first[k]] * size for k in keys}, **found})
+
+    return tiles.sortWithinPartitions(*[q(k) for k in names]).mapInPandas(run, f"{kinds}, {columns}")
+
+
+def _as_pixels(result: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> dict:
+    return {"y": np.repeat(rows, len(cols)), "x": np.tile(cols, len(rows)), "value": result.ravel()}
 
 
 def median_filter(pixels: DataFrame, extent: DataFrame, size: int, edge: str = "reflect",
@@ -93,11 +110,20 @@ def median_filter(pixels: DataFrame, extent: DataFrame, size: int, edge: str = "
     if size < 1:
         return pixels
     before, after = size // 2, size - size // 2 - 1
-    lines = separable(
-        pixels.withColumn("value", F.array(F.col("value"))), extent, keys, image, before, after, edge,
-        lambda c, w: F.flatten(F.collect_list(c).over(w)), tile=tile,
-    )
-    return lines.withColumn("value", F.sort_array("value")[size * size // 2])
+    rank = size * size // 2
+
+    def work(block, pads, rows, cols):
+        near = sliding_window_view(np.pad(block, pads, EDGES[edge]), (size, size))
+        # a few lines at a time keep large windows small in memory
+        step = max(1, 4_000_000 // (size * size * max(len(cols), 1)))
+        lines = [
+            np.partition(near[i:i + step].reshape(-1, size * size), rank, axis=1)[:, rank]
+            for i in range(0, len(rows), step)
+        ]
+        return _as_pixels(np.concatenate(lines), rows, cols)
+
+    kind = pixels.schema["value"].dataType.simpleString()
+    return on_tiles(pixels, extent, keys, image, before, after, work, f"y int, x int, value {kind}", tile)
 
 
 def gaussian_weights(size: int, sigma: float) -> list[float]:
@@ -124,18 +150,16 @@ def gaussian_filter(pixels: DataFrame, extent: DataFrame, size: int, sigma: floa
     """Gaussian blur with mirrored borders; only odd sizes change the image."""
     if size < 1 or size % 2 == 0:
         return pixels
-    weights = gaussian_weights(size, sigma)
+    weights = np.array(gaussian_weights(size, sigma))
 
-    def blur(value: Column, window) -> Column:
-        near = F.collect_list(value).over(window)
-        terms = [near[i] * w for i, w in enumerate(weights)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return total
+    def work(block, pads, rows, cols):
+        wide = np.pad(block, pads, EDGES["mirror"])
+        down = sliding_window_view(wide, size, axis=0) @ weights
+        return _as_pixels(sliding_window_view(down, size, axis=1) @ weights, rows, cols)
 
     doubles = pixels.withColumn("value", F.col("value").cast("double"))
-    return separable(doubles, extent, keys, image, size // 2, size // 2, "mirror", blur, tile=tile)
+    half = size // 2
+    return on_tiles(doubles, extent, keys, image, half, half, work, "y int, x int, value double", tile)
 
 
 def channel_filter(pixels: DataFrame, extent: DataFrame, kind: str | None, size: int | None,
@@ -166,20 +190,24 @@ def hot_pixel_diff(pixels: DataFrame, extent: DataFrame, size: int = 8, integer_
     """Largest difference between local maximum and local mean: (keys, hpf).
 
     ``integer_mean`` truncates the mean after each axis, as filters of whole-number images do.
+    Means see reflected borders, maxima mirrored ones. A tile passes on a single number.
     """
     before, after = size // 2, size - size // 2 - 1
+
+    def mean(array, axis):
+        found = sliding_window_view(array, size, axis=axis).mean(axis=-1)
+        return np.trunc(found) if integer_mean else found
+
+    def work(block, pads, rows, cols):
+        means = mean(mean(np.pad(block, pads, EDGES["reflect"]), 0), 1)
+        tops = np.pad(block, pads, EDGES["mirror"])
+        for axis in (0, 1):
+            tops = sliding_window_view(tops, size, axis=axis).max(axis=-1)
+        return {"hpf": [float((tops - means).max())]}
+
     doubles = pixels.withColumn("value", F.col("value").cast("double"))
-    toward_zero = lambda c: c.cast("bigint").cast("double")
-    means = separable(
-        doubles, extent, keys, image, before, after, "reflect",
-        lambda c, w: F.avg(c).over(w), toward_zero if integer_mean else None, tile,
-    ).withColumnRenamed("value", "mean")
-    tops = separable(
-        doubles, extent, keys, image, before, after, "mirror", lambda c, w: F.max(c).over(w), tile=tile
-    ).withColumnRenamed("value", "top")
-    return tops.join(means, [*keys, "y", "x"]).groupBy(*[q(k) for k in keys]).agg(
-        F.max(F.col("top") - F.col("mean")).alias("hpf")
-    )
+    tiles = on_tiles(doubles, extent, keys, image, before, after, work, "hpf double", tile)
+    return tiles.groupBy(*[q(k) for k in keys]).agg(F.max("hpf").alias("hpf"))
 
 
 def hot_pixel_diff_of_rectangles(pixels: DataFrame, regions: DataFrame, size: int = 8,
@@ -219,18 +247,16 @@ def mask_boundaries(mask: DataFrame, extent: DataFrame | None = None,
         extent = mask.groupBy("roi").agg(
             (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")
         )
+
+    def work(block, pads, rows, cols):
+        wide = np.pad(block, pads, EDGES["nearest"])
+        centre = wide[1:-1, 1:-1]
+        sides = [wide[:-2, 1:-1], wide[2:, 1:-1], wide[1:-1, :-2], wide[1:-1, 2:]]
+        y, x = np.nonzero((centre != 0) & np.logical_or.reduce([centre != side for side in sides]))
+        return {"y": rows[y], "x": cols[x], "object_id": centre[y, x]}
+
     labels = mask.select("roi", "y", "x", F.col("object_id").alias("value"))
-    tiles = haloed_tiles(labels, extent, ["roi"], ["roi"], 1, 1, "nearest", tile)
-    column = Window.partitionBy("roi", "_ty", "_tx", "x").orderBy("y").rowsBetween(-1, 1)
-    row = Window.partitionBy("roi", "_ty", "_tx", "y").orderBy("x").rowsBetween(-1, 1)
-    own = lambda c, t, n: (F.col(c) >= 0) & (F.col(c) < F.col(n)) & (F.floor(F.col(c) / tile) == F.col(t))
-    differs = lambda w: F.min("value").over(w) != F.max("value").over(w)
-    seen = tiles.withColumn("_c", differs(column)).withColumn("_r", differs(row)).where(
-        own("y", "_ty", "height") & own("x", "_tx", "width")
-    )
-    edge = seen.where((F.col("value") != 0) & (F.col("_c") | F.col("_r"))).select(
-        "roi", "y", "x", F.col("value").alias("object_id")
-    )
+    edge = on_tiles(labels, extent, ["roi"], ["roi"], 1, 1, work, "y int, x int, object_id bigint", tile)
     return edge if object_ids is None else edge.join(
         object_ids.select("roi", "object_id").distinct(), ["roi", "object_id"], "left_semi"
     ).select("roi", "y", "x", "object_id")

@@ -33,6 +33,19 @@ def tile_of(coordinate: Column, tile: int = TILE) -> Column:
     return F.floor(coordinate / tile).cast("int")
 
 
+def fitting_tile(boxes: DataFrame, largest: int = 256) -> int:
+    """Tile side about half the average box side, so that tiles hold little besides the boxes.
+
+    One averaged row comes to the driver. Any side gives right results.
+    """
+    side = F.least(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"))
+    mean = boxes.agg(F.avg(side.cast("double")).alias("s")).first()["s"] or 1.0
+    tile = 1
+    while tile * 4 <= mean and tile < largest:
+        tile *= 2
+    return tile
+
+
 def over_tiles(df: DataFrame, low: Column, high: Column, name: str, tile: int = TILE) -> DataFrame:
     """One row per tile that the interval [low, high] touches."""
     return df.withColumn(

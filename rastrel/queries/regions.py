@@ -9,6 +9,7 @@ from rastrel.operators import polygons as po
 from rastrel.operators import raster as ra
 from rastrel.operators import stencils as st
 from rastrel.plans import views
+from rastrel.plans.joins import fitting_tile
 from rastrel.plans.views import with_views
 from rastrel.queries.registry import query
 
@@ -26,7 +27,7 @@ SELECT region, channel, {STATS} FROM regions r JOIN dense d ON d.roi = r.roi AND
 def region_stats_rect(spark, sf):
     """Statistics of every channel in every drawn rectangle."""
     regions = views.regions(spark, sf)
-    inside = ra.pixels_in_rectangles(views.dense(spark, sf), regions, tile=16)
+    inside = ra.pixels_in_rectangles(views.dense(spark, sf), regions, fitting_tile(regions))
     return _rounded(ra.region_statistics(inside, None, ra.largest_area(regions)))
 
 
@@ -35,7 +36,7 @@ SELECT region, channel, {STATS} FROM regions r JOIN dense d ON d.roi = r.roi AND
   AND d.y >= y_min AND d.y < y_max GROUP BY 1, 2"""))
 def region_stats_any_size(spark, sf):
     """The same without knowing how large the rectangles are."""
-    inside = ra.pixels_in_rectangles(views.dense(spark, sf), views.regions(spark, sf), tile=16)
+    inside = ra.pixels_in_rectangles(views.dense(spark, sf), views.regions(spark, sf), tile=8)
     return _rounded(ra.region_statistics(inside, None))
 
 
@@ -44,8 +45,9 @@ SELECT region, channel, {STATS} FROM inside i JOIN dense d USING (roi, y, x) GRO
 def region_stats_path(spark, sf):
     """Statistics of every channel in every drawn path."""
     paths = views.paths(spark, sf)
-    inside = ra.pixels_in_spans(views.dense(spark, sf), po.path_spans(paths, views.extent(spark, sf)), tile=16)
     boxes = paths.select(vertex_bounds(path_vertices(F.col("path"))).alias("b")).select("b.*")
+    spans = po.path_spans(paths, views.extent(spark, sf))
+    inside = ra.pixels_in_spans(views.dense(spark, sf), spans, fitting_tile(boxes))
     return _rounded(ra.region_statistics(inside, None, ra.largest_area(boxes)))
 
 
@@ -91,7 +93,7 @@ SELECT d.roi, d.channel, d.y, d.x, CASE WHEN u.roi IS NULL THEN 0 ELSE d.value E
 def mask_pixels(spark, sf):
     """Pixels zeroed outside the paths of one kind."""
     drawn = views.paths(spark, sf).where(F.col("cell_type") == "click")
-    return ra.mask_pixels(views.dense(spark, sf), po.path_spans(drawn, views.extent(spark, sf)), tile=16)
+    return ra.mask_pixels(views.dense(spark, sf), po.path_spans(drawn, views.extent(spark, sf)), tile=8)
 
 
 @query(with_views("corners inside", """
