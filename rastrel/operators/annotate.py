@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rastrel.functions.geometry import path_vertices, vertex_bounds
 from rastrel.operators.polygons import objects_in_regions, path_spans
-from rastrel.plans.joins import over_tiles, points_in_boxes, tile_of
+from rastrel.plans.joins import over_tiles, points_in_boxes, tile_of, unrolled
 from rastrel.plans.ranks import rank_within
 from rastrel.schema import DEFAULT_CATEGORY, q
 
@@ -65,7 +65,7 @@ def click_hits(objects: DataFrame, clicks: DataFrame, mask: DataFrame | None = N
         F.col("roi").alias("sample"), "x", "y", "seq", "cell_type", "annotation_column",
         tile_of(F.col("x"), tile).alias("_tx"), tile_of(F.col("y"), tile).alias("_ty"),
     )
-    return boxes.join(at, ["sample", "_ty", "_tx"]).where(
+    return unrolled(boxes).join(at, ["sample", "_ty", "_tx"]).where(
         F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max"))
     ).select(*HIT)
 

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.functions.names import roi_parts, trailing_number
+from rastrel.functions.names import pad_index, roi_parts, trailing_number
+from rastrel.plans.joins import unrolled
 from rastrel.schema import ROI_DELIMITER
 
 OLD_MASK = "_ac_IA_mask"
@@ -87,14 +88,14 @@ def match_masks(rois: DataFrame, masks: DataFrame, delimiter: str = ROI_DELIMITE
 
     rows = known(known(known(keys, "roi"), "experiment"), "acq").join(old, "position", "left")
     rows = rows.join(
-        numbered.select(
+        unrolled(numbered).select(
             F.col("part").alias("experiment"), F.col("number").alias("acq_number"),
             F.col("hit").alias("numbered"),
         ), ["experiment", "acq_number"], "left",
     )
     for column in ("experiment", "acq"):
         rows = rows.join(
-            any_part.select(
+            unrolled(any_part).select(
                 F.col("part").alias(column), F.col("hit").alias(f"{column}_in"),
                 F.col("hit_position").alias(f"{column}_at"),
             ), column, "left",
@@ -163,8 +164,6 @@ def match_objects(rois: DataFrame, images: DataFrame, delimiter: str = ROI_DELIM
     mask matches it); the experiment (when listed, or the mask holding it). Then for sample: the
     mask; the experiment with the 1-based list position, which is not checked.
     """
-    from rastrel.functions.names import pad_index
-
     keys = _keyed(rois, delimiter).join(rois.select("roi", "mask"), "roi")
     mask, acq, exp = F.col("mask"), F.col("acq"), F.col("experiment")
     same_number = F.coalesce(trailing_number(mask) == F.col("acq_number"), F.lit(False))

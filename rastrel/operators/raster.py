@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastrel.functions.colour import colour_weights, gradient_colour, recolour, scale_intensity
-from rastrel.plans.joins import lookup_join, over_tiles, points_in_boxes, tile_of
-from rastrel.plans.ranks import IN_MEMORY, percentiles, take_smallest
+from rastrel.plans.joins import lookup_join, over_tiles, points_in_boxes, tile_of, unrolled
+from rastrel.plans.ranks import IN_MEMORY, counted_ranks, interpolated, percentiles, take_smallest
 from rastrel.schema import q
 
 PIXEL = ["roi", "channel", "y", "x"]
@@ -337,7 +337,7 @@ def pixels_in_spans(pixels: DataFrame, spans: DataFrame, tile: int = 64) -> Data
     """Pixels covered by region spans (region, roi, y, x0, x1), ends included."""
     cut = over_tiles(spans, F.col("x0"), F.col("x1"), "_tx", tile)
     rows = pixels.withColumn("_tx", tile_of(F.col("x"), tile))
-    return rows.join(cut, ["roi", "y", "_tx"]).where(
+    return rows.join(unrolled(cut), ["roi", "y", "_tx"]).where(
         (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1"))
     ).drop("_tx")
 
@@ -358,16 +358,18 @@ def region_statistics(region_pixels: DataFrame, digits: int | None = 2, largest:
     """
     keys = ["region", "channel"]
     value = F.col("value").cast("double")
-    basic = [
-        F.avg(value).alias("Mean"), F.max(value).alias("Max"), F.min(value).alias("Min"),
-        F.stddev_pop(value).alias("SD"), F.sum(value).alias("Total"),
-    ]
     if largest is not None and largest <= IN_MEMORY:
-        joined = region_pixels.groupBy(*keys).agg(*basic, F.median(value).alias("Median"))
-    else:
-        joined = region_pixels.groupBy(*keys).agg(*basic).join(
-            percentiles(region_pixels, keys, "value", {"Median": 0.5}), keys
+        away = F.col("_v") - F.col("_sum") / F.col("_total")
+        joined = counted_ranks(region_pixels, keys, "value").groupBy(*keys).agg(
+            F.max(F.col("_sum") / F.col("_total")).alias("Mean"), F.max("_v").alias("Max"), F.min("_v").alias("Min"),
+            F.sqrt(F.sum(F.col("_n") * away * away) / F.max("_total")).alias("SD"), F.max("_sum").alias("Total"),
+            interpolated(0.5).alias("Median"),
         )
+    else:
+        joined = region_pixels.groupBy(*keys).agg(
+            F.avg(value).alias("Mean"), F.max(value).alias("Max"), F.min(value).alias("Min"),
+            F.stddev_pop(value).alias("SD"), F.sum(value).alias("Total"),
+        ).join(percentiles(region_pixels, keys, "value", {"Median": 0.5}), keys)
     shown = lambda c: (F.bround(c, digits) if digits is not None else F.col(c)).alias(c)
     return joined.select(*keys, *[shown(c) for c in STATISTICS])
 

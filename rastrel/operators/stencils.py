@@ -31,45 +31,55 @@ def _tiles(position: Column, size: Column, before: int, after: int, tile: int) -
     return F.sequence(first.cast("int"), last.cast("int"))
 
 
-def haloed_tiles(pixels: DataFrame, extent: DataFrame, keys: Sequence[str], image: Sequence[str],
+def haloed_tiles(pixels: DataFrame, extent: DataFrame | None, keys: Sequence[str], image: Sequence[str],
                  before: int, after: int, tile: int = TILE) -> DataFrame:
-    """Pixels copied to every tile (_ty, _tx) whose windows [-before, after] reach them."""
-    sized = lookup_join(
-        pixels.select(*[q(k) for k in keys], "y", "x", "value"),
-        extent.select(*[q(c) for c in image], F.col("width").cast("int"), F.col("height").cast("int")),
-        list(image), spread_by=["y", "x"],
-    )
+    """Pixels copied to every tile (_ty, _tx) whose windows [-before, after] reach them.
+
+    Without ``extent`` the pixels carry the width and height of their image themselves.
+    """
+    sized = pixels
+    if extent is not None:
+        sized = lookup_join(
+            pixels.select(*[q(k) for k in keys], "y", "x", "value"),
+            extent.select(*[q(c) for c in image], F.col("width").cast("int"), F.col("height").cast("int")),
+            list(image), spread_by=["y", "x"],
+        )
     spread = sized.withColumn(
         "_ty", F.explode(_tiles(F.col("y"), F.col("height"), before, after, tile))
     ).withColumn("_tx", F.explode(_tiles(F.col("x"), F.col("width"), before, after, tile)))
     return spread.repartition(*[q(k) for k in keys], "_ty", "_tx")
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys in sorted batches; a run may go on in the next batch."""
-    pending: list[pd.DataFrame] = []
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of equal keys in sorted batches, as arrays; a run may go on in the next batch."""
+    pending: list[dict[str, np.ndarray]] = []
+
+    def flush():
+        if len(pending) == 1:
+            return pending[0]
+        return {c: np.concatenate([p[c] for p in pending]) for c in pending[0]}
+
     for batch in batches:
         if batch.empty:
             continue
-        if pending and any(pending[-1][k].iat[-1] != batch[k].iat[0] for k in keys):
-            yield pd.concat(pending) if len(pending) > 1 else pending[0]
+        arrays = {c: batch[c].to_numpy() for c in batch.columns}
+        if pending and any(pending[-1][k][-1] != arrays[k][0] for k in keys):
+            yield flush()
             pending = []
         changed = np.zeros(len(batch) - 1, dtype=bool)
         for k in keys:
-            column = batch[k].to_numpy()
-            changed |= column[1:] != column[:-1]
-        cuts = np.r_[0, np.flatnonzero(changed) + 1, len(batch)]
+            changed |= arrays[k][1:] != arrays[k][:-1]
+        cuts = np.r_[0, np.flatnonzero(changed) + 1, len(batch)].tolist()
         for start, end in zip(cuts[:-1], cuts[1:]):
-            part = batch.iloc[start:end]
             if start > 0:
-                yield pd.concat(pending) if len(pending) > 1 else pending[0]
+                yield flush()
                 pending = []
-            pending.append(part)
+            pending.append({c: a[start:end] for c, a in arrays.items()})
     if pending:
-        yield pd.concat(pending) if len(pending) > 1 else pending[0]
+        yield flush()
 
 
-def on_tiles(pixels: DataFrame, extent: DataFrame, keys: Sequence[str], image: Sequence[str], before: int,
+def on_tiles(pixels: DataFrame, extent: DataFrame | None, keys: Sequence[str], image: Sequence[str], before: int,
              after: int, work: Callable, columns: str, tile: int = TILE) -> DataFrame:
     """Run ``work(block, pads, rows, cols)`` on every tile and collect its columns under the keys.
 
@@ -82,23 +92,36 @@ def on_tiles(pixels: DataFrame, extent: DataFrame, keys: Sequence[str], image: S
     kinds = ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: list[tuple] = []
+        size = 0
         for part in _groups(batches, names):
-            first = part.iloc[0]
-            y0, x0 = int(first["_ty"]) * tile, int(first["_tx"]) * tile
-            y1, x1 = min(y0 + tile, int(first["height"])), min(x0 + tile, int(first["width"]))
-            ya, xa = max(y0 - before, 0), max(x0 - before, 0)
-            yb, xb = min(y1 + after, int(first["height"])), min(x1 + after, int(first["width"]))
-            value = part["value"].to_numpy()
-            block = np.zeros((yb - ya, xb - xa), dtype=value.dtype)
-            block[part["y"].to_numpy() - ya, part["x"].to_numpy() - xa] = value
+            height, width = int(part["height"][0]), int(part["width"][0])
+            y0, x0 = int(part["_ty"][0]) * tile, int(part["_tx"][0]) * tile
+            y1, x1 = min(y0 + tile, height), min(x0 + tile, width)
+            ya, xa, yb, xb = max(y0 - before, 0), max(x0 - before, 0), min(y1 + after, height), min(x1 + after, width)
+            block = np.zeros((yb - ya, xb - xa), dtype=part["value"].dtype)
+            block[part["y"] - ya, part["x"] - xa] = part["value"]
             pads = ((before - (y0 - ya), after - (yb - y1)), (before - (x0 - xa), after - (xb - x1)))
             found = work(block, pads, np.arange(y0, y1), np.arange(x0, x1))
-            size = len(next(iter(found.values())))
-            yield pd.DataFrame({**{k: [first[k]] * size for k in keys}, **found})
+            ready.append(([part[k][0] for k in keys], found))
+            size += len(next(iter(found.values())))
+            if size >= 50_000 or len(ready) >= 5_000:
+                yield _table(ready, keys)
+                ready, size = [], 0
+        if ready:
+            yield _table(ready, keys)
 
     return tiles.sortWithinPartitions(*[q(k) for k in names]).mapInPandas(run, f"{kinds}, {columns}")
 
 
+def _table(ready: list[tuple], keys: Sequence[str]) -> pd.DataFrame:
+    sizes = [len(next(iter(found.values()))) for _, found in ready]
+    columns = {k: np.repeat(np.array([own[i] for own, _ in ready]), sizes) for i, k in enumerate(keys)}
+    for name in ready[0][1]:
+        columns[name] = np.concatenate([found[name] for _, found in ready])
+    return pd.DataFrame(columns)
+
+
 def _as_pixels(result: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> dict:
     return {"y": np.repeat(rows, len(cols)), "x": np.tile(cols, len(rows)), "value": result.ravel()}
 
@@ -184,7 +207,7 @@ def global_filter(pixels: DataFrame, extent: DataFrame, kind: str | None, size:
     return median_filter(pixels, extent, int(size), edge="nearest") if int(size) in (1, 3, 5) else pixels
 
 
-def hot_pixel_diff(pixels: DataFrame, extent: DataFrame, size: int = 8, integer_mean: bool = False,
+def hot_pixel_diff(pixels: DataFrame, extent: DataFrame | None, size: int = 8, integer_mean: bool = False,
                    keys: Sequence[str] = ("roi", "channel"), image: Sequence[str] = ("roi",),
                    tile: int = TILE) -> DataFrame:
     """Largest difference between local maximum and local mean: (keys, hpf).
@@ -210,31 +233,34 @@ def hot_pixel_diff(pixels: DataFrame, extent: DataFrame, size: int = 8, integer_
     return tiles.groupBy(*[q(k) for k in keys]).agg(F.max("hpf").alias("hpf"))
 
 
-def hot_pixel_diff_of_rectangles(pixels: DataFrame, regions: DataFrame, size: int = 8,
-                                 integer_mean: bool = False) -> DataFrame:
+def hot_pixel_diff_of_rectangles(pixels: DataFrame, regions: DataFrame, extent: DataFrame, size: int = 8,
+                                 integer_mean: bool = False, tile: int = 64) -> DataFrame:
     """Hot-pixel difference inside each rectangle, its borders acting as image borders."""
-    found = pixels_in_rectangles(pixels, regions).select(
-        "region", "channel", (F.col("y") - F.col("y_min")).alias("y"),
-        (F.col("x") - F.col("x_min")).alias("x"), "value",
+    low = lambda c: F.greatest(F.col(c).cast("int"), F.lit(0)).alias(c)
+    high = lambda c, n: F.least(F.col(c).cast("int"), F.col(n)).alias(c)
+    clipped = regions.join(extent.select("roi", "width", "height"), "roi").select(
+        "region", "roi", low("x_min"), high("x_max", "width"), low("y_min"), high("y_max", "height")
     )
-    size_of = found.groupBy("region").agg(
-        (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")
+    found = pixels_in_rectangles(pixels, clipped, tile).select(
+        "region", "channel", (F.col("y") - F.col("y_min")).alias("y"), (F.col("x") - F.col("x_min")).alias("x"),
+        "value", (F.col("x_max") - F.col("x_min")).alias("width"), (F.col("y_max") - F.col("y_min")).alias("height"),
     )
-    return hot_pixel_diff(found, size_of, size, integer_mean, ("region", "channel"), ("region",))
+    return hot_pixel_diff(found, None, size, integer_mean, ("region", "channel"), ("region",))
 
 
 def hot_pixel_diff_of_paths(pixels: DataFrame, paths: DataFrame, extent: DataFrame, size: int = 8,
-                            integer_mean: bool = False) -> DataFrame:
+                            integer_mean: bool = False, tile: int = 64) -> DataFrame:
     """Hot-pixel difference inside drawn paths, on the covered pixels read row by row as one line."""
-    line = Window.partitionBy("region").orderBy("y", "x0")
+    line, whole = Window.partitionBy("region").orderBy("y", "x0"), Window.partitionBy("region")
     length = F.col("x1") - F.col("x0") + 1
-    spans = path_spans(paths, extent).withColumn("_first", F.sum(length).over(line) - length)
-    found = pixels_in_spans(pixels, spans).select(
-        "region", "channel", F.lit(0).alias("y"),
-        (F.col("_first") + F.col("x") - F.col("x0")).alias("x"), "value",
+    spans = path_spans(paths, extent).withColumns({
+        "_first": F.sum(length).over(line) - length, "width": F.sum(length).over(whole).cast("int"),
+    })
+    found = pixels_in_spans(pixels, spans, tile).select(
+        "region", "channel", F.lit(0).alias("y"), (F.col("_first") + F.col("x") - F.col("x0")).cast("int").alias("x"),
+        "value", "width", F.lit(1).alias("height"),
     )
-    size_of = spans.groupBy("region").agg(F.sum(length).alias("width"), F.lit(1).alias("height"))
-    return hot_pixel_diff(found, size_of, size, integer_mean, ("region", "channel"), ("region",))
+    return hot_pixel_diff(found, None, size, integer_mean, ("region", "channel"), ("region",))
 
 
 def mask_boundaries(mask: DataFrame, extent: DataFrame | None = None,

@@ -48,10 +48,8 @@ def percentiles(
     """
     ks = [q(k) for k in keys]
     if largest is not None and largest <= IN_MEMORY:
-        number = q(value).cast("double")
-        return df.where(number.isNotNull()).groupBy(*ks).agg(
-            *[F.percentile(number, float(p)).alias(name) for name, p in points.items()]
-        )
+        ranked = counted_ranks(df, keys, value)
+        return ranked.groupBy(*ks).agg(*[interpolated(p).alias(name) for name, p in points.items()])
     counted = (
         df.where(q(value).isNotNull())
         .groupBy(*ks, q(value).cast("double").alias("_v"))
@@ -95,6 +93,30 @@ def percentiles(
     return ranked.groupBy(*ks).agg(*columns)
 
 
+def counted_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Different values per group with their count, rank range and group size.
+
+    Columns (keys, _v, _n, _from, _to, _total, _sum): the value holds the 0-based ranks
+    _from.._to-1. For groups known to be small, as a group's values are sorted in one task.
+    """
+    ks = [q(k) for k in keys]
+    number = q(value).cast("double")
+    counted = df.where(number.isNotNull()).groupBy(*ks, number.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*ks)
+    return counted.withColumns({
+        "_to": F.sum("_n").over(group.orderBy("_v")), "_total": F.sum("_n").over(group),
+        "_sum": F.sum(F.col("_n") * F.col("_v")).over(group),
+    }).withColumn("_from", F.col("_to") - F.col("_n"))
+
+
+def interpolated(point: float) -> Column:
+    """Aggregate of counted ranks: the linear-interpolated percentile."""
+    position = F.lit(float(point)) * (F.col("_total") - 1)
+    at = lambda rank: F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_v")))
+    low, high = at(F.floor(position)), at(F.ceil(position))
+    return low + (high - low) * F.max(position - F.floor(position))
+
+
 def rank_within(
     df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 65536
 ) -> DataFrame:

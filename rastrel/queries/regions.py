@@ -132,7 +132,10 @@ WITH r AS (SELECT region, roi, x_min, x_max, y_min, y_max, x_max - x_min AS w, y
 SELECT region, channel, round(max(t - m), 6) AS hpf FROM m JOIN t USING (region, channel, y, x) GROUP BY 1, 2"""))
 def region_hot_pixels(spark, sf):
     """Hot-pixel difference inside each rectangle, in windows of 2 x 2."""
-    found = st.hot_pixel_diff_of_rectangles(views.dense(spark, sf), views.regions(spark, sf), 2)
+    regions = views.regions(spark, sf)
+    found = st.hot_pixel_diff_of_rectangles(
+        views.dense(spark, sf), regions, views.extent(spark, sf), 2, tile=fitting_tile(regions)
+    )
     return found.withColumn("hpf", F.round("hpf", 6))
 
 
@@ -147,7 +150,7 @@ WITH p AS (SELECT region, channel, row_number() OVER (PARTITION BY region, chann
 SELECT region, channel, round(max(t - m), 6) AS hpf FROM m JOIN t USING (region, channel, k) GROUP BY 1, 2"""))
 def path_hot_pixels(spark, sf):
     """Hot-pixel difference along the pixels of each drawn path, in windows of 2."""
-    found = st.hot_pixel_diff_of_paths(views.dense(spark, sf), views.paths(spark, sf), views.extent(spark, sf), 2)
+    found = st.hot_pixel_diff_of_paths(views.dense(spark, sf), views.paths(spark, sf), views.extent(spark, sf), 2, tile=8)
     return found.withColumn("hpf", F.round("hpf", 6))
 
 
