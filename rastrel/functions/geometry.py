@@ -80,7 +80,7 @@ def grid_positions(size: Column, dim: int = 100) -> Column:
     count = F.floor(size / dim).cast("int")
     last = size - 1
     # same two-step product as an evenly spaced range, whose end point is exact
-    step = last / (count - 1)
+    step = F.try_divide(last.cast("double"), (count - 1).cast("double"))
     spaced = F.transform(
         F.sequence(F.lit(0), count - 1),
         lambda i: F.when(i == count - 1, last).otherwise(F.floor(i * step)).cast("int"),

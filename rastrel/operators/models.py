@@ -258,7 +258,8 @@ def nearest_neighbours(df: DataFrame, key: str, columns: Sequence[str], k: int =
     def best(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = frame[frame["side"] == 0], frame[frame["side"] == 1]
         if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+            none = frame["id"].iloc[:0]
+            return pd.DataFrame({"id": none, "neighbour": none, "distance": pd.Series([], dtype=float)})
         va, vb = np.stack(a["v"].to_list()), np.stack(b["v"].to_list())
         ids, others = a["id"].to_numpy(), b["id"].to_numpy()
         square = (va**2).sum(1)[:, None] + (vb**2).sum(1)[None, :] - 2 * va @ vb.T

@@ -119,7 +119,7 @@ def mask_properties(mask: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
         (F.col("sx") / n).alias("centroid-1"),
         (F.sqrt(big) * 4).alias("axis_major_length"),
         (F.sqrt(small) * 4).alias("axis_minor_length"),
-        F.when(big > 0, F.sqrt(F.lit(1.0) - small / big)).otherwise(F.lit(0.0)).alias("eccentricity"),
+        F.coalesce(F.sqrt(F.lit(1.0) - F.try_divide(small, big)), F.lit(0.0)).alias("eccentricity"),
         *[c for c in sums.columns if c.startswith("_")],
     )
 

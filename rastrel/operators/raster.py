@@ -284,6 +284,8 @@ def marker_correlation(pixels: DataFrame, target: str, baseline: str, mask: Data
 
     Values below a channel's threshold count as 0; a share whose whole is 0 is NULL.
     """
+    # a constant channel has no correlation
+    pearson = F.try_divide(F.covar_pop("t", "b"), F.stddev_pop("t") * F.stddev_pop("b")).alias("pearson")
     cut = lambda c, t: F.when(F.col(c) < t, F.lit(0.0)).otherwise(F.col(c).cast("double"))
     both = (
         pixels.where(F.col("channel").isin(target, baseline))
@@ -295,7 +297,7 @@ def marker_correlation(pixels: DataFrame, target: str, baseline: str, mask: Data
         .withColumns({"t": cut("_t", target_threshold), "b": cut("_b", baseline_threshold)})
     )
     if mask is None:
-        return both.groupBy("roi").agg(F.corr("t", "b").alias("pearson"))
+        return both.groupBy("roi").agg(pearson)
     rows = both.join(mask.select("roi", "y", "x", "object_id"), ["roi", "y", "x"], "left")
     inside = F.col("object_id") > 0
     t_on, b_on = F.col("t") > target_threshold, F.col("b") > baseline_threshold
@@ -307,7 +309,7 @@ def marker_correlation(pixels: DataFrame, target: str, baseline: str, mask: Data
         share("t", t_on & inside, t_on).alias("target_in_mask"),
         share("t", t_on & inside & b_on, t_on & inside).alias("overlap_in_mask"),
         share("b", b_on & inside, b_on).alias("baseline_in_mask"),
-        F.corr("t", "b").alias("pearson"),
+        pearson,
     )
 
 

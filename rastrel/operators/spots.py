@@ -25,7 +25,7 @@ def with_spot_scale(meta: DataFrame, radius: int | None = None, downscale: bool
     own = F.floor(F.col("spot_diameter") / 2).cast("int")
     fallback = F.when(based, F.lit(SPOT_RADIUS)).otherwise(F.lit(radius or OTHER_RADIUS))
     chosen = F.coalesce(F.when(~based & F.lit(radius is not None), F.lit(radius)), own, fallback)
-    scaled = F.when(based & F.lit(downscale), CAPTURE_SIZE / (F.col("radius") * 2.0)).otherwise(F.lit(1.0))
+    scaled = F.when(based & F.lit(downscale), F.try_divide(F.lit(float(CAPTURE_SIZE)), F.col("radius") * 2.0)).otherwise(F.lit(1.0))
     return meta.withColumn("radius", chosen.cast("int")).withColumn("scale", scaled)
 
 
