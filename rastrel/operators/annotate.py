@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rastrel.functions.geometry import path_vertices, vertex_bounds
 from rastrel.operators.polygons import objects_in_regions, path_spans
-from rastrel.plans.joins import over_tiles, points_in_boxes, tile_of, unrolled
+from rastrel.plans.joins import lookup_join, over_tiles, points_in_boxes, tile_of, unrolled
 from rastrel.plans.ranks import rank_within
 from rastrel.schema import DEFAULT_CATEGORY, q
 
@@ -48,7 +48,9 @@ def click_hits(objects: DataFrame, clicks: DataFrame, mask: DataFrame | None = N
     """
     points = clicks.select("roi", "x", "y", "seq", "cell_type", "annotation_column")
     if mask is not None:
-        under = points.join(mask.select("roi", "y", "x", "object_id"), ["roi", "y", "x"])
+        # clicks on background have no object; they would all share one key
+        labels = mask.where(F.col("object_id") != 0).select("roi", "y", "x", "object_id")
+        under = points.join(labels, ["roi", "y", "x"])
         return objects.select("sample", "cell_id").join(
             under.select(
                 F.col("roi").alias("sample"), F.col("object_id").alias("cell_id"),
@@ -154,7 +156,7 @@ def _selected(annotations: DataFrame, indices: Sequence[int]) -> tuple[DataFrame
     """Annotations with their index, and the test for the listed ones; -1 is the last."""
     indexed = with_index(annotations)
     counts = annotations.groupBy("roi").agg(F.count(F.lit(1)).alias("_count"))
-    sized = indexed.join(counts, "roi")
+    sized = lookup_join(indexed, counts, ["roi"], spread_by=["seq"])
     test = F.col("index").isin([int(i) for i in indices])
     return sized, test | (F.col("index") - F.col("_count")).isin([int(i) for i in indices])
 
@@ -231,7 +233,7 @@ def annotation_mask(painted: DataFrame, annotations: DataFrame) -> DataFrame:
 def rectangle_pixels(boxes: DataFrame, extent: DataFrame) -> DataFrame:
     """Pixels of rectangle annotations (roi, y, x, seq), half-open, inside the image."""
     low = lambda c: F.greatest(F.col(c).cast("int"), F.lit(0))
-    sized = boxes.join(extent.select("roi", "width", "height"), "roi").select(
+    sized = lookup_join(boxes, extent.select("roi", "width", "height"), ["roi"], spread_by=["seq"]).select(
         "roi", "seq", low("x_min").alias("x0"), (F.least(F.col("x_max").cast("int"), F.col("width")) - 1).alias("x1"),
         low("y_min").alias("y0"), (F.least(F.col("y_max").cast("int"), F.col("height")) - 1).alias("y1"),
     ).where((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")))

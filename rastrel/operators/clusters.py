@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastrel.functions.names import hex_to_rgb
+from rastrel.plans.joins import lookup_join
 from rastrel.schema import object_id_column, q
 
 CATEGORY_LIMIT = 100
@@ -53,9 +54,10 @@ def transfer_category(objects: DataFrame, matches: DataFrame, categories: Sequen
     for name in ("description", "sample"):
         if name not in objects.columns:
             continue
-        part = objects.select(
+        rows = objects.select(
             q(name).cast("string").alias("value"), q(key).cast("bigint").alias(key), *[q(c).alias(f"cat_{c}") for c in categories]
-        ).join(wanted.where(F.col("column") == name).select("roi", "value"), "value")
+        )
+        part = lookup_join(rows, wanted.where(F.col("column") == name).select("roi", "value"), ["value"], spread_by=[key])
         part = part.select("roi", key, *[F.col(f"`cat_{c}`").alias(c) for c in categories])
         found = part if found is None else found.unionByName(part)
     return found if existing is None else merge_clusters(existing, found)
@@ -70,11 +72,9 @@ def assign_clusters(clusters: DataFrame, matches: DataFrame, existing: DataFrame
     for name in ("roi", "description"):
         if name in clusters.columns:
             named = matches.where((F.col("column") == name) & F.col("value").isNotNull())
-            parts.append(
-                clusters.withColumn("_value", q(name).cast("string")).drop("roi").join(
-                    named.select(F.col("value").alias("_value"), "roi"), "_value"
-                ).drop("_value")
-            )
+            rows = clusters.withColumn("_value", q(name).cast("string")).drop("roi")
+            images = named.select(F.col("value").alias("_value"), "roi")
+            parts.append(lookup_join(rows, images, ["_value"]).drop("_value"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p, allowMissingColumns=True)
@@ -143,12 +143,15 @@ def paint_mask(mask: DataFrame, clusters: DataFrame, colours: DataFrame, column:
     if gate is not None:
         kinds = kinds.join(gate.select("roi", "object_id").distinct(), ["roi", "object_id"], "left_semi")
     on = ["roi", "category"] if "roi" in colours.columns else ["category"]
-    painted = kinds.join(colours.select(*on, "color"), on, "left").groupBy("roi", "object_id").agg(
-        F.max(F.coalesce("color", F.lit(default))).alias("color")
-    )
+    painted = lookup_join(kinds, colours.select(*on, "color"), on, "left", spread_by=["object_id"]).groupBy(
+        "roi", "object_id"
+    ).agg(F.max(F.coalesce("color", F.lit(default))).alias("color"))
     rgb = hex_to_rgb(F.col("color"))
     part = lambda n: F.coalesce(rgb[n], F.lit(0)).alias(n)
-    return mask.join(painted, ["roi", "object_id"], "left").select("roi", "y", "x", part("r"), part("g"), part("b"))
+    # background never matches; it is spread over many keys instead of meeting under one
+    spread = F.when(F.col("object_id") == 0, -1 - F.pmod(F.xxhash64("y", "x"), F.lit(1024))).otherwise(F.col("object_id"))
+    keyed = mask.select("roi", "y", "x", spread.alias("object_id"))
+    return keyed.join(painted, ["roi", "object_id"], "left").select("roi", "y", "x", part("r"), part("g"), part("b"))
 
 
 def object_centroids(mask: DataFrame, clusters: DataFrame, column: str, radius: int = 2,

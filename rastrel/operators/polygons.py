@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from rastrel.functions.geometry import path_vertices
 from rastrel.operators.raster import pixels_in_spans
+from rastrel.plans.joins import lookup_join
+from rastrel.plans.ranks import rank_within
+from rastrel.session import cut_lineage
 
 
 def _merge(row: np.ndarray, a: np.ndarray, b: np.ndarray):
@@ -122,7 +125,9 @@ def polygon_spans(polygons: DataFrame, extent: DataFrame, fill: bool = True) ->
     Polygons are spread by their own key first: unrolling an outline costs far more than its row.
     """
     region, roi = polygons.schema["region"].dataType, polygons.schema["roi"].dataType
-    sized = polygons.join(extent.select("roi", "width", "height"), "roi").select(
+    sized = lookup_join(
+        polygons.select("region", "roi", "vertices"), extent.select("roi", "width", "height"), ["roi"], spread_by=["region"]
+    ).select(
         "region", "roi", F.col("vertices.x").alias("xs"), F.col("vertices.y").alias("ys"),
         "width", "height",
     ).repartition("roi", "region")
@@ -203,7 +208,7 @@ def mask_from_shapes(shapes: DataFrame, extent: DataFrame, flip: bool = False) -
     painted = spans_to_pixels(spans).groupBy("roi", "y", "x").agg(F.max("region").alias("object_id"))
     if not flip:
         return painted
-    sized = painted.join(extent.select("roi", "height"), "roi")
+    sized = lookup_join(painted, extent.select("roi", "height"), ["roi"], spread_by=["y", "x"])
     return sized.select("roi", (F.col("height") - 1 - F.col("y")).alias("y"), "x", "object_id")
 
 
@@ -218,8 +223,6 @@ def mask_from_polygons(polygons: DataFrame, extent: DataFrame, hole_types: tuple
     Other polygons get the ids 1, 2, ... in order; where one meets pixels already labelled it
     leaves them alone, unless it lies wholly on labelled pixels, then it takes them all.
     """
-    from rastrel.plans.ranks import rank_within
-
     is_hole = F.coalesce(F.col("classification").isin(list(hole_types)), F.lit(False))
     flagged = polygons.withColumn("hole", is_hole)
     kept = rank_within(flagged.where(~F.col("hole")), ["roi"], "seq", "feature")
@@ -241,8 +244,6 @@ def _resolve_overlaps(pixels: DataFrame) -> DataFrame:
     of earlier polygons. Rounds settle polygons in waves: a polygon is settled once every earlier
     polygon that shares a pixel with it is; disjoint polygons settle in the same round.
     """
-    from rastrel.session import cut_lineage
-
     steps = pixels.select("roi", "y", "x", _overlay_column(F.col("hole"), F.col("seq")).alias("s"))
     stacks = cut_lineage(
         steps.groupBy("roi", "y", "x").agg(F.sort_array(F.collect_list("s")).alias("stack"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastrel.functions.colour import colour_weights, gradient_colour, recolour, scale_intensity
+from rastrel.functions.geometry import grid_positions
 from rastrel.plans.joins import lookup_join, over_tiles, points_in_boxes, tile_of, unrolled
-from rastrel.plans.ranks import IN_MEMORY, counted_ranks, interpolated, percentiles, take_smallest
+from rastrel.plans.ranks import IN_MEMORY, counted_ranks, interpolated, percentiles, rank_within, take_smallest
 from rastrel.schema import q
 
 PIXEL = ["roi", "channel", "y", "x"]
@@ -381,8 +382,6 @@ def number_regions(shapes: DataFrame) -> DataFrame:
 
     ``shapes`` carries roi, seq, type and editable.
     """
-    from rastrel.plans.ranks import rank_within
-
     kept = shapes.where((F.col("type") != "line") & F.coalesce("editable", F.lit(False)))
     return rank_within(kept, ["roi"], "seq", "region")
 
@@ -401,8 +400,6 @@ def mask_pixels(pixels: DataFrame, spans: DataFrame, tile: int = 64) -> DataFram
 
 def grid_overlay(extent: DataFrame, dim: int = 100) -> DataFrame:
     """Grid lines of each image: (roi, axis, position)."""
-    from rastrel.functions.geometry import grid_positions
-
     rows = extent.withColumn("row", grid_positions(F.col("height"), dim)).withColumn(
         "col", grid_positions(F.col("width"), dim)
     )
