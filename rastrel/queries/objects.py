@@ -209,9 +209,9 @@ def ids_per_roi(spark, sf):
 
 
 @query(with_views("typed", """
-SELECT kind AS x, CAST(sample % 3 AS VARCHAR) AS "group", count(ch_qty) AS n, round(min(ch_qty), 6) AS low,
+SELECT kind AS x, CAST(sample % 3 AS VARCHAR) AS "group", count(ch_qty) AS n, CAST(min(ch_qty) AS DOUBLE) AS low,
   round(quantile_cont(ch_qty, 0.25), 6) AS q1, round(quantile_cont(ch_qty, 0.5), 6) AS median,
-  round(quantile_cont(ch_qty, 0.75), 6) AS q3, round(max(ch_qty), 6) AS high FROM typed GROUP BY 1, 2"""))
+  round(quantile_cont(ch_qty, 0.75), 6) AS q3, CAST(max(ch_qty) AS DOUBLE) AS high FROM typed GROUP BY 1, 2"""))
 def associate(spark, sf):
     """Five-number summary of a channel per category and group."""
     rows = views.typed_objects(spark, sf).withColumn("third", F.col("sample") % 3)

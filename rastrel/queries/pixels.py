@@ -82,8 +82,8 @@ def scale_intensity_by_channel(spark, sf):
 
 
 @query(with_views("px", """
-SELECT roi, channel, y, x, round(CASE WHEN value % 3 = 0 THEN greatest(value - 4, 0)
-  WHEN value % 3 = 1 THEN greatest(least(value, 20) - 20, 0) ELSE greatest(least(value, 9) - 30, 0) END, 6) AS value FROM px"""))
+SELECT roi, channel, y, x, CAST(CASE WHEN value % 3 = 0 THEN greatest(value - 4, 0)
+  WHEN value % 3 = 1 THEN greatest(least(value, 20) - 20, 0) ELSE greatest(least(value, 9) - 30, 0) END AS DOUBLE) AS value FROM px"""))
 def scale_intensity_edges(spark, sf):
     """Scaling without upper bound, with equal bounds and with swapped bounds."""
     kind = F.col("value") % 3

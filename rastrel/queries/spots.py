@@ -11,8 +11,8 @@ from rastrel.plans.views import with_views
 from rastrel.queries.registry import query
 
 # scale 65 / (2 * 13) = 2.5 for spot arrays; other images are drawn as they are
-SCALES = """sc AS (SELECT DISTINCT roi, roi % 10 = 0 AS based, CASE WHEN roi % 10 = 0 THEN 13 ELSE 3 END AS radius,
-    CASE WHEN roi % 10 = 0 THEN 2.5::DOUBLE ELSE 1.0 END AS scale FROM spots),
+SCALES = """sc AS (SELECT DISTINCT roi, roi % 50 = 0 AS based, CASE WHEN roi % 50 = 0 THEN 13 ELSE 3 END AS radius,
+    CASE WHEN roi % 50 = 0 THEN 2.5::DOUBLE ELSE 1.0 END AS scale FROM spots),
   bb AS (SELECT roi, any_value(based) AS based, min(x * scale) AS x0, max(x * scale) AS x1, min(y * scale) AS y0, max(y * scale) AS y1
     FROM spots JOIN sc USING (roi) GROUP BY roi),
   lo AS (SELECT roi, based, CASE WHEN based THEN trunc(x0 - trunc(0.03 * (x1 - x0))) ELSE x0 END AS x0, x1,
@@ -28,9 +28,9 @@ def _draw(values: str) -> str:
 
 
 def scales(spark, sf):
-    """Every tenth image is a spot array with spots 26 units wide, the others have markers of radius 3."""
+    """Every fiftieth image is a spot array with spots 26 units wide, the others have markers of radius 3."""
     images = views.spots(spark, sf).select("roi").distinct()
-    based = F.col("roi") % 10 == 0
+    based = F.col("roi") % 50 == 0
     meta = images.select(
         "roi", based.alias("spot_based"), F.when(based, 26.0).alias("spot_diameter")
     )
@@ -41,7 +41,7 @@ def extents(spark, sf):
     return sp.spatial_extent(views.spots(spark, sf), scales(spark, sf))
 
 
-@query(with_views("spots", "SELECT DISTINCT roi, CASE WHEN roi % 10 = 0 THEN 13 ELSE 3 END AS radius, CASE WHEN roi % 10 = 0 THEN 2.5::DOUBLE ELSE 1.0 END AS scale FROM spots"))
+@query(with_views("spots", "SELECT DISTINCT roi, CASE WHEN roi % 50 = 0 THEN 13 ELSE 3 END AS radius, CASE WHEN roi % 50 = 0 THEN 2.5::DOUBLE ELSE 1.0 END AS scale FROM spots"))
 def spot_scale(spark, sf):
     return scales(spark, sf).select("roi", "radius", "scale")
 
