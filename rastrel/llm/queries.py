@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import line_spread, sharding
+from rastrel.llm import language, line_quality, line_spread, pieces, sharding, simhash
 from rastrel.llm.common import table
 
 
+#: The vocabulary file of the registered queries; a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op4_piece_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents"), pieces.load_model(spark, f"file://{PIECES}"))
+
+
+def op5_language_back_off(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = language.fold() == 2
+    model = language.fit(docs.filter(~held_out))
+    out = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 def op6_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     out = line_spread.remove_spread_lines(table(spark, folder, "documents"))
     return out.select("row.doc_id", "row.source", "text", "n_removed")
@@ -24,5 +40,15 @@ def op7_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_line_spread, op7_hypergeometric_shards)}
+def op9_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.component_ids(simhash.near_duplicates(table(spark, folder, "documents")))
+
+
+def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return line_quality.judge(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op4_piece_paths, op5_language_back_off, op6_line_spread, op7_hypergeometric_shards, op9_simhash_components, op10_line_quality)
+}
 CHECKS: dict[str, str] = {"op6_line_spread": line_spread.SQL}
