@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import language, line_quality, line_spread, pieces, sharding, simhash
+from rastrel.llm import decontaminate, language, line_quality, line_spread, pieces, secrets, sharding, simhash
 from rastrel.llm.common import table
 
 
+def op2_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_same", "n_item", "longest")
+
+
+def op3_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(table(spark, folder, "documents"))
+
+
 #: The vocabulary file of the registered queries; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -49,6 +58,6 @@ def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_piece_paths, op5_language_back_off, op6_line_spread, op7_hypergeometric_shards, op9_simhash_components, op10_line_quality)
+    f.__name__: f for f in (op2_spaced_seeds, op3_trigram_secrets, op4_piece_paths, op5_language_back_off, op6_line_spread, op7_hypergeometric_shards, op9_simhash_components, op10_line_quality)
 }
-CHECKS: dict[str, str] = {"op6_line_spread": line_spread.SQL}
+CHECKS: dict[str, str] = {"op3_trigram_secrets": secrets.check_sql(), "op6_line_spread": line_spread.SQL}
