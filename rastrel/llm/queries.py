@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import decontaminate, language, line_quality, line_spread, pieces, secrets, sharding, simhash
+from rastrel.llm import decontaminate, fixity, language, line_quality, line_spread, main_text, pieces, secrets, sharding, simhash
 from rastrel.llm.common import table
 
 
+def op1_tree_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled pages are those whose address names the document they show."""
+    pages = table(spark, folder, "pages")
+    number = F.regexp_extract("url", r"^[a-z]+://[^/]+/[a-z]+/([0-9]{1,18})", 1).try_cast("long")
+    sample = pages.select("html", number.alias("doc_id")).filter("doc_id IS NOT NULL AND html IS NOT NULL")
+    sample = sample.orderBy(F.xxhash64("html"), "html", "doc_id").limit(main_text.SAMPLE)
+    labelled = sample.join(table(spark, folder, "documents").select("doc_id", F.col("text").alias("main")), "doc_id")
+    return main_text.main_text(pages, main_text.train(labelled)).drop("n_blocks")
+
+
 def op2_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", "n_same", "n_item", "longest")
@@ -49,6 +59,10 @@ def op7_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_merkle_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return fixity.audit(fixity.damaged_replica(table(spark, folder, "pages")))
+
+
 def op9_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.component_ids(simhash.near_duplicates(table(spark, folder, "documents")))
 
@@ -58,6 +72,8 @@ def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_spaced_seeds, op3_trigram_secrets, op4_piece_paths, op5_language_back_off, op6_line_spread, op7_hypergeometric_shards, op9_simhash_components, op10_line_quality)
+    f.__name__: f for f in (
+        op1_tree_marginals, op2_spaced_seeds, op3_trigram_secrets, op4_piece_paths, op5_language_back_off, op6_line_spread,
+        op7_hypergeometric_shards, op8_merkle_audit, op9_simhash_components, op10_line_quality)
 }
-CHECKS: dict[str, str] = {"op3_trigram_secrets": secrets.check_sql(), "op6_line_spread": line_spread.SQL}
+CHECKS: dict[str, str] = {"op3_trigram_secrets": secrets.check_sql(), "op6_line_spread": line_spread.SQL, "op8_merkle_audit": fixity.SQL}
