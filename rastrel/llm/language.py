@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) ->
             for lang, text in zip(*batch.to_pydict().values(), strict=True):
                 found[lang].update(words_of(text))
         for lang, c in found.items():
-            yield pa.record_batch([pa.array([lang] * len(c)), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "word", "n"])
+            yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "word", "n"])
 
     counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     languages = sorted(r["lang"] for r in totals.collect())

@@ -209,8 +209,10 @@ def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
 
     Null and empty texts have no ids, and count as equal to the empty decoding. Characters without a piece become their UTF-8
     bytes, so any text comes back as it was; only a literal U+2581 is read back as a blank, as with the library. Repeated rows
-    are encoded each; other columns are not read.
+    are encoded each; other columns are not read, and ``keep`` may not name the new ones.
     """
+    if {"ids", "n_ids", "round_trip"} & set(keep):
+        raise ValueError("the columns to keep clash with the new ones")
     rows = docs.select(*keep, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
