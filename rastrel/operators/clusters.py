@@ -12,7 +12,8 @@ from rastrel.functions.names import hex_to_rgb
 from rastrel.plans.joins import lookup_join
 from rastrel.schema import object_id_column, q
 
-CATEGORY_LIMIT = 100
+#: Different colours of the default palette; further categories start over.
+PALETTE_SIZE = 100
 
 
 def merge_key(df: DataFrame) -> str:
@@ -104,21 +105,19 @@ def hue_palette(count: int) -> list[str]:
 
 
 def assign_palette(clusters: DataFrame, column: str, position: str, palette: Sequence[str] | None = None,
-                   keys: Sequence[str] = ("roi",), limit: int = CATEGORY_LIMIT) -> DataFrame:
+                   keys: Sequence[str] = ("roi",)) -> DataFrame:
     """Colour per category in order of first appearance: (keys, category, color).
 
-    Columns with ``limit`` or more categories in an image get no colours.
+    The palette starts over when an image has more categories than it has colours.
     """
-    colours = F.array(*[F.lit(c) for c in (palette or hue_palette(limit))])
+    colours = F.array(*[F.lit(c) for c in (palette or hue_palette(PALETTE_SIZE))])
     ks = [q(k) for k in keys]
     first = clusters.groupBy(*ks, q(column).cast("string").alias("category")).agg(
         F.min(q(position)).alias("_first")
     )
-    sizes = first.groupBy(*ks).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") < limit)
-    few = first.join(sizes, list(keys)) if keys else first.where(sizes.agg(F.max("_size").alias("m")).scalar() < limit)
     order = F.row_number().over(Window.partitionBy(*ks).orderBy("_first", "category"))
     place = F.pmod(order - 1, F.size(colours)) + 1
-    return few.select(*ks, "category", F.element_at(colours, place).alias("color"))
+    return first.select(*ks, "category", F.element_at(colours, place).alias("color"))
 
 
 def palette_changed(current: Mapping[str, str] | None, incoming: Sequence) -> bool:

@@ -63,10 +63,10 @@ def training_rows(df: DataFrame, in_col: str) -> DataFrame:
 
 
 def _forest(options: dict, weight: str | None = None) -> RandomForestClassifier:
-    # Defaults of the usual random forest, 100 trees that may grow deep.
+    # 100 trees without a depth limit; 30 is the deepest that MLlib grows.
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", predictionCol="_prediction",
-        numTrees=int(options.get("n_estimators", 100)), maxDepth=int(options.get("max_depth", 10)),
+        numTrees=int(options.get("n_estimators", 100)), maxDepth=int(options.get("max_depth", 30)),
         seed=int(options.get("seed", 0)),
     )
     return forest.setWeightCol(weight) if weight else forest
@@ -110,7 +110,7 @@ def adaboost_labels(df: DataFrame, in_col: str | None, out_col: str = "adaboost"
     state = cut_lineage(indexer.transform(training).select("_features", "_label").withColumn("_w", F.lit(1.0)))
     n_classes = len(indexer.labels)
     votes: list[tuple[float, object]] = []
-    settings = {"n_estimators": 10, "max_depth": 5, **options}
+    settings = dict(options)
     for i in range(rounds):
         model = _forest({**settings, "seed": 10 + i}, "_w").fit(state)
         judged = model.transform(state).withColumn("_miss", (F.col("_prediction") != F.col("_label")).cast("double"))
@@ -206,15 +206,6 @@ def scale_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return named.select(*[one(c, place[c]).alias(c) if c in place else q(c) for c in df.columns])
 
 
-def embedding_settings(rows: int, limit: int = 100_000, min_dist: float | None = None) -> dict:
-    """Neighbour count, epochs and distance an embedding uses by table size."""
-    small = rows <= limit
-    return {
-        "n_neighbors": 15 if small else 10, "n_epochs": 100 if small else 25,
-        "min_dist": min_dist if min_dist is not None else (0.1 if small else 0.05),
-    }
-
-
 def pca_project(df: DataFrame, columns: Sequence[str], components: int | None = None) -> DataFrame:
     """Centred principal component scores PC1.. of standardised columns, min(25, columns/2) by default."""
     k = components or max(1, min(25, len(columns) // 2))

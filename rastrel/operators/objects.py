@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastrel.plans.joins import lookup_join
+from rastrel.plans.joins import lookup_join, unrolled
 from rastrel.plans.ranks import percentiles, take_smallest
 from rastrel.schema import (
     IDENTIFIER_COLUMNS,
@@ -18,8 +18,6 @@ from rastrel.schema import (
     q,
 )
 
-MAX_CHANNELS = 1000
-
 
 class ObjectTableError(ValueError):
     """An object table lacks the columns that link rows to images."""
@@ -28,17 +26,27 @@ class ObjectTableError(ValueError):
 # ---------------------------------------------------------------- measurement
 
 def labelled_pixels(pixels: DataFrame, mask: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """Pixels that lie in an object. Background is dropped before the join."""
+    """Pixels that lie in an object. Background is dropped before the join.
+
+    A mask has a row per pixel, so it is never broadcast, whatever its size is taken for.
+    """
     objects = mask.where(F.col("object_id") != 0).select("roi", "y", "x", "object_id", *columns)
-    return pixels.join(objects, ["roi", "y", "x"])
+    return pixels.join(unrolled(objects), ["roi", "y", "x"])
 
 
-def quantify_channel(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    """Mean of every channel per object, long: (roi, object_id, channel, mean)."""
-    return (
-        labelled_pixels(pixels, mask)
-        .groupBy("roi", "object_id", "channel")
-        .agg(F.avg(F.col("value").cast("double")).alias("mean"))
+def quantify_channel(pixels: DataFrame, mask: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """Mean of every channel per object, long: (roi, object_id, channel, mean).
+
+    Pixels may be stored sparsely: those of an object that are absent count as 0.
+    """
+    named = F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel")
+    areas = mask.where(F.col("object_id") != 0).groupBy("roi", "object_id").agg(F.count(F.lit(1)).alias("area"))
+    sums = (
+        labelled_pixels(pixels.where(F.col("channel").isin(list(channels))), mask)
+        .groupBy("roi", "object_id", "channel").agg(F.sum(F.col("value").cast("double")).alias("s"))
+    )
+    return areas.select("roi", "object_id", "area", named).join(sums, ["roi", "object_id", "channel"], "left").select(
+        "roi", "object_id", "channel", (F.coalesce("s", F.lit(0.0)) / F.col("area")).alias("mean")
     )
 
 
@@ -48,12 +56,14 @@ def quantify(
     channels: Sequence[str],
     aliases: Mapping[str, str] | None = None,
     shape: bool = True,
+    catalog: DataFrame | None = None,
 ) -> DataFrame | None:
     """Object table of segmented images: channel means, then description, cell_id, sample, shape.
 
     Returns None when there is no channel to measure. Columns carry the alias of a channel when
     one is given. ``mask`` needs (mask_name, roi, y, x, object_id); without mask_name the image
-    key is used.
+    key is used. Pixels may be stored sparsely: absent ones count as 0. With ``catalog`` (roi, channel),
+    a channel that an image doesn't have is NULL for its objects.
     """
     if not channels:
         return None
@@ -62,16 +72,20 @@ def quantify(
         labelled_pixels(pixels.where(F.col("channel").isin(list(channels))), mask)
         .groupBy("roi", "object_id")
         .pivot("channel", list(channels))
-        .agg(F.avg(F.col("value").cast("double")))
-        .dropna(subset=[f"`{c}`" for c in channels])
+        .agg(F.sum(F.col("value").cast("double")))
     )
     if "mask_name" in mask.columns:
         # the name is constant per image, so it travels through the shape aggregate
         props = mask_properties(mask, [F.first("mask_name").alias("_mask")])
     else:
         props = mask_properties(mask, [F.first(F.col("roi").cast("string")).alias("_mask")])
-    joined = wide.join(props, ["roi", "object_id"])
-    measured = [q(c).alias(names[c]) for c in channels]
+    joined = props.join(wide, ["roi", "object_id"], "left")
+    mean = {c: F.coalesce(q(c), F.lit(0.0)) / F.col("area") for c in channels}
+    if catalog is not None:
+        has = catalog.groupBy("roi").agg(F.collect_set(F.when(F.col("channel").isin(list(channels)), F.col("channel"))).alias("_has"))
+        joined = lookup_join(joined, has, ["roi"], "left", spread_by=["object_id"])
+        mean = {c: F.when(F.array_contains("_has", c), m) for c, m in mean.items()}
+    measured = [mean[c].alias(names[c]) for c in channels]
     shapes = [
         "area", "centroid-0", "centroid-1", "axis_major_length", "axis_minor_length",
         "eccentricity",
@@ -85,6 +99,13 @@ def quantify(
     )
 
 
+def mask_fits_image(mask_extent: DataFrame, extent: DataFrame) -> DataFrame:
+    """(roi, fits): whether a mask has the width and height of its image; FALSE without an image."""
+    sizes = extent.select("roi", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    same = (F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h"))
+    return mask_extent.join(sizes, "roi", "left").select("roi", F.coalesce(same, F.lit(False)).alias("fits"))
+
+
 def mask_properties(mask: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
     """Area, centroid, axis lengths and eccentricity per object from six running sums."""
     y, x = F.col("y").cast("bigint"), F.col("x").cast("bigint")
@@ -151,11 +172,6 @@ def append_quantification(existing: DataFrame | None, new: DataFrame | None) ->
     return existing.where(overlap.scalar() == 0).unionByName(new)
 
 
-def within_marker_limit(channels: Sequence[str], limit: int = MAX_CHANNELS) -> list[str]:
-    """The channel list if it is short enough to measure, else an empty list."""
-    return list(channels) if len(channels) < limit else []
-
-
 # ---------------------------------------------------------------- validation, selection
 
 def validate_objects(df: DataFrame, required: Sequence[str] = ("sample", "cell_id")):
@@ -386,39 +402,33 @@ def expression_of_window(
     return scaled.where(in_embedding_window(window))
 
 
-def distribution(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
-    """(Value, Counts, Proportion) per category, proportion to 3 decimals, most frequent first.
+def distribution(df: DataFrame, column: str) -> DataFrame:
+    """(Value, Counts, Proportion, n_values) per category, proportion to 3 decimals, most frequent first.
 
-    More than ``limit`` categories give a single row saying so, with NULL counts.
+    ``n_values`` is the number of different categories, so a caller can tell a long table from a short one.
     """
     counts = df.groupBy(q(column).cast("string").alias("Value")).agg(
         F.count(F.lit(1)).alias("Counts")
     )
-    return _proportions(counts, column, limit)
+    return _proportions(counts)
 
 
-def _proportions(counts: DataFrame, column: str, limit: int) -> DataFrame:
+def _proportions(counts: DataFrame) -> DataFrame:
     totals = counts.agg(
         F.struct(F.sum(F.abs("Counts")).alias("rows"), F.count(F.lit(1)).alias("values")).alias("s")
     )
     named = counts.withColumn("_t", totals.scalar())
-    table = named.where(F.col("_t.values") <= limit).select(
+    return named.select(
         "Value", "Counts",
         # rounding a frame scales, rounds half to even and scales back
         (F.rint(F.try_divide(F.col("Counts").cast("double"), F.col("_t.rows").cast("double")) * 1000)
-         / 1000).alias("Proportion"),
-    )
-    note = totals.where(F.col("s.values") > limit).select(
-        F.lit(f"NA ({column} > {limit} unique values)").alias("Value"),
-        F.lit(None).cast("bigint").alias("Counts"),
-        F.lit(None).cast("double").alias("Proportion"),
-    )
-    return table.unionByName(note).orderBy(F.desc_nulls_last("Counts"), "Value")
+         / 1000).alias("Proportion"), F.col("_t.values").alias("n_values"),
+    ).orderBy(F.desc_nulls_last("Counts"), "Value")
 
 
-def distribution_of_counts(counts: DataFrame, column: str = "Value", limit: int = 100) -> DataFrame:
+def distribution_of_counts(counts: DataFrame, column: str = "Value") -> DataFrame:
     """Same table from ready (Value, Counts) rows."""
-    return _proportions(counts.select("Value", F.col("Counts").cast("bigint").alias("Counts")), column, limit)
+    return _proportions(counts.select(q(column).alias("Value"), F.col("Counts").cast("bigint").alias("Counts")))
 
 
 def ids_per_image(df: DataFrame, image: str = "sample", object_id: str = "cell_id",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rastrel.functions.colour import colour_weights, gradient_colour, recolour, scale_intensity
 from rastrel.functions.geometry import grid_positions
 from rastrel.plans.joins import lookup_join, over_tiles, points_in_boxes, tile_of, unrolled
-from rastrel.plans.ranks import IN_MEMORY, counted_ranks, interpolated, percentiles, rank_within, take_smallest
+from rastrel.plans.ranks import percentiles, rank_within, take_smallest
 from rastrel.schema import q
 
 PIXEL = ["roi", "channel", "y", "x"]
@@ -47,6 +47,18 @@ def densify(pixels: DataFrame, extent: DataFrame, channels: Sequence[str]) -> Da
     )
 
 
+def absent_pixels(pixels: DataFrame, extent: DataFrame, channels: Sequence[str],
+                  keys: Sequence[str] = ("roi", "channel")) -> DataFrame:
+    """(keys, zeros): how many pixels of the images each group lacks, so zeros need not be stored."""
+    cells = F.col("width").cast("bigint") * F.col("height")
+    whole = extent.select("roi", cells.alias("cells")).withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
+    ks = [q(k) for k in keys]
+    stored = pixels.groupBy(*ks).agg(F.count(F.lit(1)).alias("stored"))
+    return whole.groupBy(*ks).agg(F.sum("cells").alias("cells")).join(stored, list(keys), "left").select(
+        *ks, (F.col("cells") - F.coalesce("stored", F.lit(0))).alias("zeros")
+    )
+
+
 def roi_summary(pixels: DataFrame) -> DataFrame:
     """Image catalog: width, height, channel count, 'WxH' and 'N markers'."""
     per_channel = pixels.groupBy("roi", "channel").agg(
@@ -135,11 +147,12 @@ def downsample(pixels: DataFrame, step: int) -> DataFrame:
     ).agg(F.avg(F.col("value").cast("double")).alias("value"))
 
 
-def thumbnail_choice(pixels: DataFrame, extent: DataFrame, step: int, ratio: float = 0.75,
-                     largest: int = 3000, keep_below: int = 562_500) -> DataFrame:
+def thumbnail_choice(pixels: DataFrame, extent: DataFrame, step: int, ratio: float,
+                     largest: int, keep_below: int) -> DataFrame:
     """Whether a channel thumbnail is the shrunk image, by size and by signal kept.
 
-    The signal kept is the mean of the shrunk image over the mean of the whole one.
+    Images of ``keep_below`` pixels or fewer stay whole; others are shrunk if they keep more than ``ratio``
+    of the signal or have a side over ``largest``. The usual values are 562500, 0.75 and 3000. The signal kept is the mean of the shrunk image over the mean of the whole one.
     """
     small = downsample(pixels, step).groupBy("roi", "channel").agg(F.avg("value").alias("small"))
     whole = pixels.groupBy("roi", "channel").agg(F.avg(F.col("value").cast("double")).alias("whole"))
@@ -156,13 +169,14 @@ def thumbnail_choice(pixels: DataFrame, extent: DataFrame, step: int, ratio: flo
 
 # ---------------------------------------------------------------- intensity bounds
 
-def channel_upper_bound(pixels: DataFrame, keys: Sequence[str] = ("roi", "channel"),
-                        percentile: float = 99.0, largest: int | None = None) -> DataFrame:
+def channel_upper_bound(pixels: DataFrame, keys: Sequence[str] = ("roi", "channel"), percentile: float = 99.0,
+                        extent: DataFrame | None = None, channels: Sequence[str] = ()) -> DataFrame:
     """Default upper bound per channel: a percentile of its pixels, 1.0 when that is not above 0.
 
-    ``largest`` is the checked pixel count of the largest group, where known.
+    With image sizes and channel names, pixels may be stored sparsely: absent ones count as 0.
     """
-    ranked = percentiles(pixels, keys, "value", {"upper_bound": percentile / 100.0}, largest)
+    zeros = None if extent is None else absent_pixels(pixels, extent, channels, keys)
+    ranked = percentiles(pixels, keys, "value", {"upper_bound": percentile / 100.0}, zeros)
     return ranked.withColumn(
         "upper_bound", F.when(F.col("upper_bound") > 0, F.col("upper_bound")).otherwise(F.lit(1.0))
     )
@@ -222,12 +236,14 @@ def with_channel_params(pixels: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
-def autoscale(pixels: DataFrame, extent: DataFrame, percentile: float = 99.0, size_limit: int = 100,
-              exclude: Sequence[str] = (), subsample: int | None = None, seed: int = 0) -> DataFrame:
-    """Upper bound per channel pooled over images larger than ``size_limit`` on both axes.
+def autoscale(pixels: DataFrame, extent: DataFrame, size_limit: int, percentile: float = 99.0,
+              exclude: Sequence[str] = (), subsample: int | None = None, seed: int = 0,
+              channels: Sequence[str] = ()) -> DataFrame:
+    """Upper bound per channel pooled over images larger than ``size_limit`` on both axes (usually 100).
 
-    Pixels are truncated to whole numbers. With ``subsample`` each image gives that many pixels
-    per channel, chosen by hash; without it every pixel counts.
+    Pixels are truncated to whole numbers. With ``subsample`` each image gives that many of the pixels
+    in the table per channel, chosen by hash; without it every pixel counts, and with channel names absent
+    pixels count as 0.
     """
     images = extent.where((F.col("height") > size_limit) & (F.col("width") > size_limit))
     for word in exclude:
@@ -237,7 +253,8 @@ def autoscale(pixels: DataFrame, extent: DataFrame, percentile: float = 99.0, si
     if subsample:
         hashed = rows.withColumn("_h", F.xxhash64(*PIXEL, F.lit(seed)))
         rows = take_smallest(hashed, ["roi", "channel"], "_h", subsample)
-    return percentiles(rows, ["channel"], "value", {"x_upper_bound": percentile / 100.0}).withColumn(
+    zeros = absent_pixels(rows, images, channels, ["channel"]) if channels and not subsample else None
+    return percentiles(rows, ["channel"], "value", {"x_upper_bound": percentile / 100.0}, zeros).withColumn(
         "x_lower_bound", F.lit(0.0)
     )
 
@@ -260,57 +277,94 @@ def apply_gradient(pixels: DataFrame, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- blends and correlation
 
-def blend(pixels: DataFrame, params: DataFrame, clip: bool = True) -> DataFrame:
-    """Additive image (roi, y, x, r, g, b) of scaled, recoloured channels, clipped to 0..255."""
-    coloured = with_channel_params(pixels, params).select(
-        "roi", "y", "x", recolour(F.col("scaled"), F.col("weights")).alias("c")
+def blend(pixels: DataFrame, params: DataFrame, clip: bool = True, extent: DataFrame | None = None) -> DataFrame:
+    """Additive image (roi, y, x, r, g, b) of scaled, recoloured channels, clipped to 0..255.
+
+    Pixels given sparsely need the image sizes: every place starts with what a zero of each channel adds,
+    and stored pixels add their difference from that.
+    """
+    parts = ("r", "g", "b")
+    nothing = scale_intensity(F.lit(0.0), F.col("x_lower_bound"), F.col("x_upper_bound"))
+    rows = with_channel_params(pixels, params).select(
+        "roi", "y", "x", recolour(F.col("scaled"), F.col("weights")).alias("c"),
+        recolour(nothing, F.col("weights")).alias("z"),
     )
-    total = lambda n: F.sum(F.col(f"c.{n}").cast("bigint"))
-    part = lambda n: (F.least(total(n), F.lit(255)) if clip else total(n)).alias(n)
-    return coloured.groupBy("roi", "y", "x").agg(part("r"), part("g"), part("b"))
+    zero = 0 if extent is None else 1
+    summed = rows.groupBy("roi", "y", "x").agg(
+        *[F.sum(F.col(f"c.{n}").cast("bigint") - zero * F.col(f"z.{n}").cast("bigint")).alias(n) for n in parts]
+    )
+    cut = lambda c: F.least(c, F.lit(255)) if clip else c
+    if extent is None:
+        return summed.select("roi", "y", "x", *[cut(F.col(n)).alias(n) for n in parts])
+    wanted = params.select(recolour(nothing, colour_weights(F.col("color"))).alias("z"))
+    start = wanted.agg(F.struct(*[F.sum(F.col(f"z.{n}").cast("bigint")).alias(n) for n in parts]).alias("z")).scalar()
+    grid = full_grid(extent).join(summed, ["roi", "y", "x"], "left").withColumn("_z", start)
+    return grid.select("roi", "y", "x", *[cut(F.coalesce(n, F.lit(0)) + F.col(f"_z.{n}")).alias(n) for n in parts])
 
 
 def overlay_mask(image: DataFrame, mask: DataFrame, level: float | None = 35.0) -> DataFrame:
     """Add a white mask to a blend with weight level/100, saturating at 255."""
     weight = 1.0 if level is None else level / 100.0
     white = F.when(F.col("object_id") > 0, F.lit(255.0 * weight)).otherwise(F.lit(0.0))
-    joined = image.join(mask.select("roi", "y", "x", "object_id"), ["roi", "y", "x"], "left")
+    joined = image.join(unrolled(mask.select("roi", "y", "x", "object_id")), ["roi", "y", "x"], "left")
     lit = lambda c: F.least(F.bround(F.col(c) + white), F.lit(255.0)).cast("bigint").alias(c)
     return joined.select("roi", "y", "x", lit("r"), lit("g"), lit("b"))
 
 
 def marker_correlation(pixels: DataFrame, target: str, baseline: str, mask: DataFrame | None = None,
-                       target_threshold: float = 0.0, baseline_threshold: float = 0.0) -> DataFrame:
-    """Per image: Pearson correlation and the mask shares of two channels of a dense raster.
-
-    Values below a channel's threshold count as 0; a share whose whole is 0 is NULL.
+                       target_threshold: float = 0.0, baseline_threshold: float = 0.0,
+                       extent: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """Per image: Pearson correlation and the mask shares of two channels.
+
+    Values below a channel's threshold count as 0; a share whose whole is 0 is NULL. With image sizes
+    (roi, width, height) pixels may be stored sparsely and absent ones count as 0; for a window crop the
+    pixels and give the window's size. ``bounds`` (channel, x_lower_bound, x_upper_bound) stretches the
+    channels first, as the blend does.
     """
-    # a constant channel has no correlation
-    pearson = F.try_divide(F.covar_pop("t", "b"), F.stddev_pop("t") * F.stddev_pop("b")).alias("pearson")
+    rows = pixels.where(F.col("channel").isin(target, baseline))
+    if bounds is not None:
+        limits = bounds.select("channel", "x_lower_bound", "x_upper_bound")
+        rows = lookup_join(rows, limits, ["channel"], spread_by=["y", "x"]).withColumn(
+            "value", scale_intensity(F.col("value"), F.col("x_lower_bound"), F.col("x_upper_bound"))
+        )
     cut = lambda c, t: F.when(F.col(c) < t, F.lit(0.0)).otherwise(F.col(c).cast("double"))
+    one = lambda c: F.coalesce(F.max(F.when(F.col("channel") == c, F.col("value"))).cast("double"), F.lit(0.0))
     both = (
-        pixels.where(F.col("channel").isin(target, baseline))
-        .groupBy("roi", "y", "x")
-        .agg(
-            F.max(F.when(F.col("channel") == target, F.col("value"))).alias("_t"),
-            F.max(F.when(F.col("channel") == baseline, F.col("value"))).alias("_b"),
-        )
+        rows.groupBy("roi", "y", "x").agg(one(target).alias("_t"), one(baseline).alias("_b"))
         .withColumns({"t": cut("_t", target_threshold), "b": cut("_b", baseline_threshold)})
     )
-    if mask is None:
-        return both.groupBy("roi").agg(pearson)
-    rows = both.join(mask.select("roi", "y", "x", "object_id"), ["roi", "y", "x"], "left")
-    inside = F.col("object_id") > 0
-    t_on, b_on = F.col("t") > target_threshold, F.col("b") > baseline_threshold
-    part = lambda c, test: F.sum(F.when(test, F.col(c)))
-    share = lambda c, test, whole: F.try_divide(
-        F.coalesce(part(c, test), F.lit(0.0)), part(c, whole)
+    shares = []
+    if mask is not None:
+        both = both.join(unrolled(mask.select("roi", "y", "x", "object_id")), ["roi", "y", "x"], "left")
+        inside = F.col("object_id") > 0
+        t_on, b_on = F.col("t") > target_threshold, F.col("b") > baseline_threshold
+        part = lambda c, test: F.sum(F.when(test, F.col(c)))
+        share = lambda c, test, whole: F.try_divide(
+            F.coalesce(part(c, test), F.lit(0.0)), part(c, whole)
+        )
+        shares = [
+            share("t", t_on & inside, t_on).alias("target_in_mask"),
+            share("t", t_on & inside & b_on, t_on & inside).alias("overlap_in_mask"),
+            share("b", b_on & inside, b_on).alias("baseline_in_mask"),
+        ]
+    stored = both.groupBy("roi").agg(
+        *shares, F.count(F.lit(1)).alias("_n"), F.avg("t").alias("_mt"), F.avg("b").alias("_mb"),
+        F.covar_pop("t", "b").alias("_tb"), F.var_pop("t").alias("_tt"), F.var_pop("b").alias("_bb"),
+    )
+    if extent is None:
+        sized = stored.withColumn("_all", F.col("_n"))
+    else:
+        cells = (F.col("width").cast("bigint") * F.col("height")).alias("_all")
+        sized = extent.select("roi", cells).join(stored, "roi", "left").na.fill(0, ["_n", "_mt", "_mb", "_tb", "_tt", "_bb"])
+    # the moments of the stored pixels and of the zeros, joined at the mean of all
+    n, total = F.col("_n"), F.col("_all")
+    joint = lambda c, a, b: (
+        n * F.col(c) + n * (total - n) / total * F.col(a) * F.col(b)
     )
-    return rows.groupBy("roi").agg(
-        share("t", t_on & inside, t_on).alias("target_in_mask"),
-        share("t", t_on & inside & b_on, t_on & inside).alias("overlap_in_mask"),
-        share("b", b_on & inside, b_on).alias("baseline_in_mask"),
-        pearson,
+    return sized.select(
+        "roi", *[F.col(c) for c in ("target_in_mask", "overlap_in_mask", "baseline_in_mask") if shares],
+        # a constant channel has no correlation
+        F.try_divide(joint("_tb", "_mt", "_mb"), F.sqrt(joint("_tt", "_mt", "_mt") * joint("_bb", "_mb", "_mb"))).alias("pearson"),
     )
 
 
@@ -345,34 +399,46 @@ def pixels_in_spans(pixels: DataFrame, spans: DataFrame, tile: int = 64) -> Data
     ).drop("_tx")
 
 
-def largest_area(boxes: DataFrame) -> int:
-    """Pixels in the largest of some boxes (x_min, x_max, y_min, y_max): one row to the driver."""
-    sides = (F.col("x_max") - F.col("x_min") + 1) * (F.col("y_max") - F.col("y_min") + 1)
-    found = boxes.agg(F.max(sides.cast("bigint")).alias("n")).first()["n"]
-    return int(found or 0)
+def rectangle_areas(regions: DataFrame, extent: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """(region, channel, area): pixels of half-open rectangles inside their image, for each channel."""
+    sized = lookup_join(regions.select("region", "roi", "x_min", "x_max", "y_min", "y_max"), extent.select("roi", "width", "height"), ["roi"], spread_by=["region"])
+    side = lambda low, high, size: F.greatest(
+        F.least(F.col(high).cast("int"), F.col(size)) - F.greatest(F.col(low).cast("int"), F.lit(0)), F.lit(0)
+    ).cast("bigint")
+    return sized.select("region", F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel"),
+                        (side("x_min", "x_max", "width") * side("y_min", "y_max", "height")).alias("area")).where("area > 0")
+
 
+def span_areas(spans: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """(region, channel, area) of regions given as runs of pixels."""
+    areas = spans.groupBy("region").agg(F.sum((F.col("x1") - F.col("x0") + 1).cast("bigint")).alias("area"))
+    return areas.select("region", F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel"), "area")
 
-def region_statistics(region_pixels: DataFrame, digits: int | None = 2, largest: int | None = None) -> DataFrame:
+
+def region_statistics(region_pixels: DataFrame, digits: int | None = 2, areas: DataFrame | None = None) -> DataFrame:
     """Mean, Max, Min, Median, SD (population) and Total per region and channel.
 
-    With ``largest``, the checked pixel count of the largest region, medians of small regions come
-    from the same single aggregation; otherwise they are found by counting, without ever holding a
-    region's values in one task.
+    With ``areas`` (region, channel, area) pixels may be stored sparsely: absent ones count as 0. Medians
+    are found by counting, without ever holding a region's values in one task.
     """
     keys = ["region", "channel"]
     value = F.col("value").cast("double")
-    if largest is not None and largest <= IN_MEMORY:
-        away = F.col("_v") - F.col("_sum") / F.col("_total")
-        joined = counted_ranks(region_pixels, keys, "value").groupBy(*keys).agg(
-            F.max(F.col("_sum") / F.col("_total")).alias("Mean"), F.max("_v").alias("Max"), F.min("_v").alias("Min"),
-            F.sqrt(F.sum(F.col("_n") * away * away) / F.max("_total")).alias("SD"), F.max("_sum").alias("Total"),
-            interpolated(0.5).alias("Median"),
-        )
+    stored = region_pixels.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"), F.max(value).alias("Max"), F.min(value).alias("Min"),
+        F.var_pop(value).alias("_var"), F.sum(value).alias("Total"),
+    )
+    if areas is None:
+        sized, zeros = stored.withColumn("area", F.col("_n")), None
     else:
-        joined = region_pixels.groupBy(*keys).agg(
-            F.avg(value).alias("Mean"), F.max(value).alias("Max"), F.min(value).alias("Min"),
-            F.stddev_pop(value).alias("SD"), F.sum(value).alias("Total"),
-        ).join(percentiles(region_pixels, keys, "value", {"Median": 0.5}), keys)
+        sized = areas.join(stored, keys, "left").na.fill(0, ["_n", "_mean", "_var", "Total"])
+        zeros = sized.select(*keys, (F.col("area") - F.col("_n")).alias("zeros"))
+    n, area = F.col("_n"), F.col("area")
+    absent = F.when(n < area, F.lit(0.0))
+    named = sized.withColumns({
+        "Mean": F.col("Total") / area, "Max": F.greatest("Max", absent), "Min": F.least("Min", absent),
+        "SD": F.sqrt((n * F.col("_var") + n * (area - n) / area * F.col("_mean") * F.col("_mean")) / area),
+    })
+    joined = named.join(percentiles(region_pixels, keys, "value", {"Median": 0.5}, zeros), keys)
     shown = lambda c: (F.bround(c, digits) if digits is not None else F.col(c)).alias(c)
     return joined.select(*keys, *[shown(c) for c in STATISTICS])
 

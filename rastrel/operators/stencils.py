@@ -197,14 +197,14 @@ def channel_filter(pixels: DataFrame, extent: DataFrame, kind: str | None, size:
 
 def global_filter(pixels: DataFrame, extent: DataFrame, kind: str | None, size: int | None,
                   sigma: float = 1.0) -> DataFrame:
-    """Filter of a whole blend: odd sizes only; the median works up to 5 on real-valued images."""
+    """Filter of a whole blend: odd sizes only."""
     if kind is None or size is None or int(size) % 2 == 0:
         return pixels
     if kind not in ("gaussian", "median"):
         raise TypeError("the global filter is either gaussian or median")
     if kind == "gaussian":
         return gaussian_filter(pixels, extent, int(size), float(sigma))
-    return median_filter(pixels, extent, int(size), edge="nearest") if int(size) in (1, 3, 5) else pixels
+    return median_filter(pixels, extent, int(size), edge="nearest")
 
 
 def hot_pixel_diff(pixels: DataFrame, extent: DataFrame | None, size: int = 8, integer_mean: bool = False,

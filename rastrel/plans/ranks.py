@@ -16,21 +16,25 @@ from pyspark.sql import functions as F
 from rastrel.schema import q
 
 
-# groups known to be at most this large may be ranked inside one aggregation buffer
-IN_MEMORY = 1 << 20
+NAN_BUCKET = (1 << 63) - 1
 
 
 def magnitude_bucket(value: Column, parts: int = 4096) -> Column:
     """Monotone bucket number: every power of two is cut into ``parts`` equal pieces.
 
     Heavy-tailed intensities spread over many buckets; 32-bit floats leave at most 2048
-    different values per bucket.
+    different values per bucket. Infinities have the outermost buckets, NaN one above them.
     """
     size = F.abs(value)
     exponent = F.floor(F.log2(size)).cast("int")
     piece = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * parts)
     number = ((exponent + 1100) * parts + piece).cast("bigint")
-    return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, number).otherwise(-number)
+    return (
+        F.when(F.isnan(value), F.lit(NAN_BUCKET))
+        .when(size == F.lit(float("inf")), F.when(value > 0, F.lit(NAN_BUCKET - 1)).otherwise(F.lit(1 - NAN_BUCKET)))
+        .when(value == 0, F.lit(0).cast("bigint"))
+        .when(value > 0, number).otherwise(-number)
+    )
 
 
 def percentiles(
@@ -38,30 +42,31 @@ def percentiles(
     keys: Sequence[str],
     value: str,
     points: Mapping[str, float],
-    largest: int | None = None,
+    zeros: DataFrame | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles of ``value`` per group (numpy's default rule).
 
-    ``points`` maps an output column to a fraction in 0..1. NULL values are ignored. Equal
-    values are counted before anything else is shuffled by group. When the caller has checked
-    that no group has more than ``largest`` rows and that is little, one aggregation does it.
+    ``points`` maps an output column to a fraction in 0..1. NULL values are ignored; a group with a
+    NaN gives NaN. Equal values are counted before anything else is shuffled by group. ``zeros``
+    (keys, zeros) adds that many values 0 to a group without storing them.
     """
     ks = [q(k) for k in keys]
-    if largest is not None and largest <= IN_MEMORY:
-        ranked = counted_ranks(df, keys, value)
-        return ranked.groupBy(*ks).agg(*[interpolated(p).alias(name) for name, p in points.items()])
     counted = (
         df.where(q(value).isNotNull())
         .groupBy(*ks, q(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", magnitude_bucket(F.col("_v")))
     )
+    if zeros is not None:
+        more = zeros.where(F.col("zeros") > 0).select(*ks, F.lit(0.0).alias("_v"), F.col("zeros").cast("bigint").alias("_n"))
+        counted = counted.union(more).groupBy(*ks, "_v").agg(F.sum("_n").alias("_n"))
+    counted = counted.withColumn("_b", magnitude_bucket(F.col("_v")))
     group = Window.partitionBy(*ks)
     buckets = (
         counted.groupBy(*ks, "_b").agg(F.sum("_n").alias("_n"))
         .withColumn("_end", F.sum("_n").over(group.orderBy("_b")))
         .withColumn("_total", F.sum("_n").over(group))
         .withColumn("_start", F.col("_end") - F.col("_n"))
+        .withColumn("_nan", F.max(F.col("_b") == F.lit(NAN_BUCKET)).over(group))
     )
     targets = F.array(*[
         F.struct(
@@ -75,7 +80,7 @@ def percentiles(
     wanted = (
         buckets.withColumn("_t", F.explode(targets))
         .where(inside(low, "_start", "_end") | inside(high, "_start", "_end"))
-        .select(*ks, "_b", "_start", "_t")
+        .select(*ks, "_b", "_start", "_nan", "_t")
     )
     cells = Window.partitionBy(*ks, "_b", "_t.name").orderBy("_v")
     ranked = (
@@ -89,34 +94,11 @@ def percentiles(
         lo = F.max(F.when(here & inside(low, "_from", "_to"), F.col("_v")))
         hi = F.max(F.when(here & inside(high, "_from", "_to"), F.col("_v")))
         part = F.max(F.when(here, F.col("_t.pos") - low))
-        columns.append((lo + (hi - lo) * part).alias(name))
+        between = F.when((part == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * part)
+        columns.append(F.when(F.max("_nan"), F.lit(float("nan"))).otherwise(between).alias(name))
     return ranked.groupBy(*ks).agg(*columns)
 
 
-def counted_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Different values per group with their count, rank range and group size.
-
-    Columns (keys, _v, _n, _from, _to, _total, _sum): the value holds the 0-based ranks
-    _from.._to-1. For groups known to be small, as a group's values are sorted in one task.
-    """
-    ks = [q(k) for k in keys]
-    number = q(value).cast("double")
-    counted = df.where(number.isNotNull()).groupBy(*ks, number.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*ks)
-    return counted.withColumns({
-        "_to": F.sum("_n").over(group.orderBy("_v")), "_total": F.sum("_n").over(group),
-        "_sum": F.sum(F.col("_n") * F.col("_v")).over(group),
-    }).withColumn("_from", F.col("_to") - F.col("_n"))
-
-
-def interpolated(point: float) -> Column:
-    """Aggregate of counted ranks: the linear-interpolated percentile."""
-    position = F.lit(float(point)) * (F.col("_total") - 1)
-    at = lambda rank: F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_v")))
-    low, high = at(F.floor(position)), at(F.ceil(position))
-    return low + (high - low) * F.max(position - F.floor(position))
-
-
 def rank_within(
     df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 65536
 ) -> DataFrame:

@@ -19,7 +19,7 @@ SELECT object_id AS cell_id, CAST(roi AS VARCHAR) AS sample,
 FROM dense WHERE object_id <> 0 GROUP BY roi, object_id"""))
 def quantify_objects(spark, sf):
     """Mean of every channel and area per object of every image."""
-    table = ob.quantify(views.dense(spark, sf), views.mask(spark, sf), views.CHANNELS)
+    table = ob.quantify(views.pixels(spark, sf), views.mask(spark, sf), views.CHANNELS)
     return table.select("cell_id", "sample", *[F.round(c, 6).alias(c) for c in views.CHANNELS], "area")
 
 
@@ -49,7 +49,7 @@ def quantify_shape(spark, sf):
 SELECT roi, object_id, channel, round(avg(value), 6) AS mean FROM dense WHERE object_id <> 0 GROUP BY 1, 2, 3"""))
 def quantify_long(spark, sf):
     """Mean per object and channel in long form."""
-    long = ob.quantify_channel(views.dense(spark, sf), views.mask(spark, sf))
+    long = ob.quantify_channel(views.pixels(spark, sf), views.mask(spark, sf), views.CHANNELS)
     return long.withColumn("mean", F.round("mean", 6))
 
 
@@ -121,7 +121,7 @@ SELECT roi, channel, round(small / nullif(whole, 0), 6) AS signal_ratio,
   coalesce(small / nullif(whole, 0) > 0.75, FALSE) AS shrunk FROM a JOIN b USING (roi, channel)"""))
 def thumbnail_choice(spark, sf):
     """Signal kept by a shrunk channel image, and whether to show it."""
-    chosen = ra.thumbnail_choice(views.dense(spark, sf), views.extent(spark, sf), 8, keep_below=0)
+    chosen = ra.thumbnail_choice(views.dense(spark, sf), views.extent(spark, sf), 8, 0.75, 3000, keep_below=0)
     return chosen.withColumn("signal_ratio", F.round("signal_ratio", 6))
 
 

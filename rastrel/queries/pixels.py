@@ -46,8 +46,7 @@ SELECT roi, channel, round(CASE WHEN quantile_cont(value, 0.99) > 0 THEN quantil
 FROM dense GROUP BY 1, 2"""))
 def channel_p99(spark, sf):
     """Default upper bound of each channel of each image."""
-    size = views.extent(spark, sf).agg(F.max(F.col("width") * F.col("height")).alias("n")).first()["n"]
-    bounds = ra.channel_upper_bound(views.dense(spark, sf), largest=size)
+    bounds = ra.channel_upper_bound(views.pixels(spark, sf), extent=views.extent(spark, sf), channels=views.CHANNELS)
     return bounds.withColumn("upper_bound", F.round("upper_bound", 6))
 
 
@@ -56,7 +55,7 @@ SELECT channel, round(CASE WHEN quantile_cont(value, 0.99) > 0 THEN quantile_con
 FROM dense GROUP BY 1"""))
 def channel_p99_pooled(spark, sf):
     """Upper bound per channel over all images, groups of any size."""
-    bounds = ra.channel_upper_bound(views.dense(spark, sf), ["channel"])
+    bounds = ra.channel_upper_bound(views.pixels(spark, sf), ["channel"], extent=views.extent(spark, sf), channels=views.CHANNELS)
     return bounds.withColumn("upper_bound", F.round("upper_bound", 6))
 
 
@@ -98,7 +97,7 @@ def scale_intensity_edges(spark, sf):
 WITH {PARAMS}, {BLEND} SELECT roi, y, x, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM blend"""))
 def blend(spark, sf):
     """Additive colour image of all channels."""
-    return ra.blend(views.dense(spark, sf), parameters(spark, sf))
+    return ra.blend(views.pixels(spark, sf), parameters(spark, sf), extent=views.extent(spark, sf))
 
 
 @query(with_views("dense", f"""
@@ -107,7 +106,7 @@ SELECT roi, y, x, CAST(least(round_even(r + w, 0), 255) AS BIGINT) AS r, CAST(le
   CAST(least(round_even(b + w, 0), 255) AS BIGINT) AS b FROM blend JOIN w USING (roi, y, x)"""))
 def blend_with_mask(spark, sf):
     """Colour image with the mask laid over it at half weight."""
-    image = ra.blend(views.dense(spark, sf), parameters(spark, sf))
+    image = ra.blend(views.pixels(spark, sf), parameters(spark, sf), extent=views.extent(spark, sf))
     return ra.overlay_mask(image, views.mask(spark, sf), 50.0)
 
 
@@ -121,7 +120,7 @@ SELECT roi, round(coalesce(sum(t) FILTER (t > 8 AND object_id > 0), 0) / nullif(
   round(corr(t, b), 6) AS pearson FROM c GROUP BY roi"""))
 def marker_correlation(spark, sf):
     """Correlation and mask shares of two channels."""
-    table = ra.marker_correlation(views.dense(spark, sf), "A", "R", views.mask(spark, sf), 8.0, 3.0)
+    table = ra.marker_correlation(views.pixels(spark, sf), "A", "R", views.mask(spark, sf), 8.0, 3.0, views.extent(spark, sf))
     return table.select("roi", *[F.round(c, 6).alias(c) for c in table.columns if c != "roi"])
 
 
@@ -130,7 +129,7 @@ SELECT channel, round(quantile_cont(value, 0.99), 6) AS x_upper_bound, 0.0::DOUB
 FROM dense WHERE CAST(roi AS VARCHAR) NOT LIKE '%7%' GROUP BY channel"""))
 def autoscale(spark, sf):
     """Upper bound per channel over all images not excluded by name."""
-    scaled = ra.autoscale(views.dense(spark, sf), views.extent(spark, sf), size_limit=16, exclude=["7"])
+    scaled = ra.autoscale(views.pixels(spark, sf), views.extent(spark, sf), size_limit=16, exclude=["7"], channels=views.CHANNELS)
     return scaled.withColumn("x_upper_bound", F.round("x_upper_bound", 6))
 
 

@@ -27,15 +27,15 @@ SELECT region, channel, {STATS} FROM regions r JOIN dense d ON d.roi = r.roi AND
 def region_stats_rect(spark, sf):
     """Statistics of every channel in every drawn rectangle."""
     regions = views.regions(spark, sf)
-    inside = ra.pixels_in_rectangles(views.dense(spark, sf), regions, fitting_tile(regions))
-    return _rounded(ra.region_statistics(inside, None, ra.largest_area(regions)))
+    inside = ra.pixels_in_rectangles(views.pixels(spark, sf), regions, fitting_tile(regions))
+    return _rounded(ra.region_statistics(inside, None, ra.rectangle_areas(regions, views.extent(spark, sf), views.CHANNELS)))
 
 
 @query(with_views("dense regions", f"""
 SELECT region, channel, {STATS} FROM regions r JOIN dense d ON d.roi = r.roi AND d.x >= x_min AND d.x < x_max
   AND d.y >= y_min AND d.y < y_max GROUP BY 1, 2"""))
 def region_stats_any_size(spark, sf):
-    """The same without knowing how large the rectangles are."""
+    """The same from a dense raster."""
     inside = ra.pixels_in_rectangles(views.dense(spark, sf), views.regions(spark, sf), tile=8)
     return _rounded(ra.region_statistics(inside, None))
 
@@ -47,8 +47,8 @@ def region_stats_path(spark, sf):
     paths = views.paths(spark, sf)
     boxes = paths.select(vertex_bounds(path_vertices(F.col("path"))).alias("b")).select("b.*")
     spans = po.path_spans(paths, views.extent(spark, sf))
-    inside = ra.pixels_in_spans(views.dense(spark, sf), spans, fitting_tile(boxes))
-    return _rounded(ra.region_statistics(inside, None, ra.largest_area(boxes)))
+    inside = ra.pixels_in_spans(views.pixels(spark, sf), spans, fitting_tile(boxes))
+    return _rounded(ra.region_statistics(inside, None, ra.span_areas(spans, views.CHANNELS)))
 
 
 @query(with_views("inside", "SELECT region, roi, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM inside"))

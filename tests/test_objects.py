@@ -78,7 +78,25 @@ def test_quantify_layout(spark):
     assert table.columns[:5] == ["two", "c3", "description", "cell_id", "sample"]
     assert {(r["two"], r["c3"], r["sample"], r["area"]) for r in table.collect()} == {(2.0, 3.0, "set1", 8)}
     assert ob.quantify(pix, mask, []) is None
-    assert ob.within_marker_limit([str(i) for i in range(1000)]) == []
+
+
+def test_quantify_sparse_pixels(spark):
+    pix = spark.createDataFrame([("r", "a", 0, 0, 10.0), ("r", "a", 0, 1, 20.0), ("s", "a", 0, 0, 4.0), ("s", "b", 0, 0, 6.0)],
+                                "roi string, channel string, y int, x int, value double")
+    mask = spark.createDataFrame([("r", 0, x, 1) for x in range(3)] + [("r", 1, 0, 2), ("r", 1, 1, 0), ("s", 0, 0, 1), ("s", 0, 1, 1)], "roi string, y int, x int, object_id bigint")
+    means = lambda t: {(r["sample"], r["cell_id"]): (r["a"], r["b"]) for r in t.collect()}
+    assert means(ob.quantify(pix, mask, ["a", "b"])) == {("r", 1): (10.0, 0.0), ("r", 2): (0.0, 0.0), ("s", 1): (2.0, 3.0)}
+    known = spark.createDataFrame([("r", "a"), ("s", "a"), ("s", "b")], "roi string, channel string")
+    assert means(ob.quantify(pix, mask, ["a", "b"], catalog=known)) == {("r", 1): (10.0, None), ("r", 2): (0.0, None), ("s", 1): (2.0, 3.0)}
+    long = {(r["roi"], r["object_id"], r["channel"]): r["mean"] for r in ob.quantify_channel(pix, mask, ["a", "b"]).collect()}
+    assert len(long) == 6 and long["r", 1, "a"] == 10.0 and long["r", 2, "b"] == 0.0
+
+
+def test_mask_fits_image(spark):
+    sizes = "roi string, width int, height int"
+    masks = spark.createDataFrame([("a", 3, 4), ("b", 3, 4), ("c", 3, 4)], sizes)
+    fits = ob.mask_fits_image(masks, spark.createDataFrame([("a", 3, 4), ("b", 4, 3)], sizes))
+    assert {r["roi"]: r["fits"] for r in fits.collect()} == {"a": True, "b": False, "c": False}
 
 
 def test_append(spark):
@@ -96,7 +114,7 @@ def test_distribution_golden(spark):
     ready = spark.createDataFrame([("test_1", 97), ("test_2", 8)], "Value string, Counts int")
     assert [r.Proportion for r in ob.distribution_of_counts(ready).collect()] == [0.924, 0.076]
     many = spark.range(200).withColumn("gene", F.col("id"))
-    assert [tuple(r) for r in ob.distribution(many, "gene").collect()] == [("NA (gene > 100 unique values)", None, None)]
+    assert ob.distribution(many, "gene").count() == many.select("gene").distinct().count()
 
 
 def test_toggle_categories():
@@ -129,14 +147,13 @@ def test_gate_helpers():
     assert ga.update_gate(gates, "c5", (0.51, 0.33))["c5"] == {"lower_bound": 0.33, "upper_bound": 0.51}
 
 
-@pytest.mark.parametrize("largest", [None, 100_000])
-def test_percentiles_match_numpy(spark, largest):
+def test_percentiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     data = np.r_[rng.lognormal(2, 3, 3000), -rng.lognormal(0, 2, 500), np.zeros(700), [5.0] * 300]
     groups = np.where(rng.random(len(data)) < 0.8, "hot", "cold")
     df = spark.createDataFrame(list(zip(groups.tolist(), data.tolist())), "g string, v double")
     points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    for r in percentiles(df, ["g"], "v", points, largest).collect():
+    for r in percentiles(df, ["g"], "v", points).collect():
         want = np.percentile(data[groups == r.g], [0, 25, 50, 99, 100])
         assert np.allclose([r[p] for p in points], want, rtol=1e-12)
 
