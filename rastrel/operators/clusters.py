@@ -175,3 +175,10 @@ def object_centroids(mask: DataFrame, clusters: DataFrame, column: str, radius:
         (whole("cx") - radius).alias("x0"), (whole("cx") + radius).alias("x1"),
         (whole("cy") - radius).alias("y0"), (whole("cy") + radius).alias("y1"),
     )
+
+
+def default_cluster_column(df: DataFrame, current: str | None = None) -> str | None:
+    """The category column to show: the current one if the table has it, else its first that is no id."""
+    key = object_id_column(df)
+    columns = [c for c in df.columns if c != key and c != "roi"]
+    return current if current in columns else next(iter(columns), None)

@@ -447,23 +447,19 @@ def ids_per_image(df: DataFrame, image: str = "sample", object_id: str = "cell_i
     )
 
 
-def embedding_overlay(df: DataFrame, overlay: str, position: str, limit: int = 100) -> DataFrame:
+def embedding_overlay(df: DataFrame, overlay: str, position: str, categorical: bool) -> DataFrame:
     """UMAP rows with the overlay as text category and its rank of first appearance, or as number.
 
-    Adds ``category`` and ``category_position`` (NULL for a numeric overlay) and ``number``.
+    Adds ``category`` and ``category_position`` (NULL for a numeric overlay) and ``number`` (NULL for
+    a categorical one); the caller says which it is.
     """
-    categorical = is_categorical(df, overlay, limit)
-    first = category_order(df, overlay, position)
-    text = q(overlay).cast("string")
-    flagged = df.withColumn("_categorical", categorical).withColumn(
-        "category", F.when(F.col("_categorical"), text)
-    )
-    joined = lookup_join(flagged, first, ["category"], "left", spread_by=[position])
-    return joined.select(
-        *[q(c) for c in df.columns], "category",
-        F.col("first_position").alias("category_position"),
-        F.when(~F.col("_categorical"), q(overlay).try_cast("double")).alias("number"),
-    )
+    own = [q(c) for c in df.columns]
+    if not categorical:
+        return df.select(*own, F.lit(None).cast("string").alias("category"), F.lit(None).cast("bigint").alias("category_position"),
+                         q(overlay).try_cast("double").alias("number"))
+    flagged = df.withColumn("category", q(overlay).cast("string"))
+    joined = lookup_join(flagged, category_order(df, overlay, position), ["category"], "left", spread_by=[position])
+    return joined.select(*own, "category", F.col("first_position").alias("category_position"), F.lit(None).cast("double").alias("number"))
 
 
 def associate(df: DataFrame, x: str, y: str, grouping: str | None = None) -> DataFrame:
@@ -479,3 +475,9 @@ def associate(df: DataFrame, x: str, y: str, grouping: str | None = None) -> Dat
     ranked = percentiles(rows, ["x", "group"], "y", points)
     counts = rows.groupBy("x", "group").agg(F.count("y").alias("n"))
     return ranked.join(counts, ["x", "group"]).select("x", "group", "n", *points)
+
+
+def associate_numbers(df: DataFrame, x: str, y: str, grouping: str | None = None) -> DataFrame:
+    """(x, y, group) of every row for a numeric ``x``: the points of a scatter."""
+    group = q(grouping).cast("string") if grouping else F.lit(None).cast("string")
+    return df.select(q(x).try_cast("double").alias("x"), q(y).try_cast("double").alias("y"), group.alias("group"))

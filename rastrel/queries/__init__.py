@@ -1,6 +1,7 @@
 from rastrel.queries import (  # noqa: F401
     annotations,
     cohorts,
+    display,
     measures,
     models,
     names,

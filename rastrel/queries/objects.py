@@ -80,10 +80,26 @@ SELECT sample, cell_id, kind AS category, min(cell_id) OVER (PARTITION BY kind)
   CAST(NULL AS DOUBLE) AS number FROM typed"""))
 def embedding_overlay(spark, sf):
     """Objects with a category overlay in order of first appearance."""
-    shown = ob.embedding_overlay(views.typed_objects(spark, sf), "kind", "cell_id")
+    shown = ob.embedding_overlay(views.typed_objects(spark, sf), "kind", "cell_id", True)
     return shown.select("sample", "cell_id", "category", "category_position", "number")
 
 
+@query(with_views("objects", """
+SELECT sample, cell_id, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS BIGINT) AS category_position, CAST(area AS DOUBLE) AS number FROM objects"""))
+def embedding_overlay_number(spark, sf):
+    """Objects with a numeric overlay."""
+    shown = ob.embedding_overlay(views.objects(spark, sf), "area", "cell_id", False)
+    return shown.select("sample", "cell_id", "category", "category_position", "number")
+
+
+@query(with_views("objects", """
+SELECT CAST(area AS DOUBLE) AS x, CAST(ch_qty AS DOUBLE) AS y, CAST(sample % 3 AS VARCHAR) AS "group" FROM objects"""))
+def associate_numbers(spark, sf):
+    """Area against a channel as points."""
+    rows = views.objects(spark, sf).withColumn("third", F.col("sample") % 3)
+    return ob.associate_numbers(rows, "area", "ch_qty", "third")
+
+
 @query(with_views("objects", f"WITH {SCALED} SELECT sample, cell_id FROM s WHERE (nq >= 0.2 AND nq <= 0.45) OR nd >= 0.31"))
 def gate_union(spark, sf):
     return ga.gate(views.objects(spark, sf), GATES, SELECTED).select("sample", "cell_id")
