@@ -193,46 +193,98 @@ def objects_in_regions(mask: DataFrame, spans: DataFrame, threshold: float = 0.8
 
 # ---------------------------------------------------------------- label masks from polygons
 
-def mask_from_shapes(shapes: DataFrame, extent: DataFrame, flip: bool = False) -> DataFrame:
-    """Label mask of segmentation polygons; where two meet, the later shape wins.
+def centre_spans(shapes: DataFrame) -> DataFrame:
+    """(region, roi, y, x0, x1): pixels whose centre lies inside a shape of real-valued rings.
 
-    ``shapes`` carries roi, shape_id (1-based, drawing order) and vertices. ``flip`` mirrors rows.
+    ``shapes`` carries region, roi, width, height and ``rings`` (arrays of x, y; even-odd over all rings, so
+    inner rings are holes). A centre on an outline belongs to the shape on its right or lower side, so shapes
+    that share an edge don't overlap. Every edge gives one crossing per row of pixels it passes, and the
+    crossings of a row pair up.
     """
-    whole = F.transform(
-        "vertices",
-        lambda v: F.struct(F.rint(v["x"]).cast("int").alias("x"), F.rint(v["y"]).cast("int").alias("y")),
+    number = lambda v: F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y"))
+    rings = shapes.select("region", "roi", "width", "height", F.explode("rings").alias("ring"))
+    points = rings.withColumn("ring", F.transform("ring", number)).where(F.size("ring") > 2)
+    ends = F.concat(F.slice("ring", F.lit(2), F.size("ring") - 1), F.slice("ring", 1, 1))
+    edges = points.select(
+        "region", "roi", "width", "height", F.explode(F.arrays_zip(F.col("ring").alias("a"), ends.alias("b"))).alias("e")
+    ).select("region", "roi", "width", "height", "e.a.x", "e.a.y", F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+    low = F.greatest(F.ceil(F.least("y", "y2") - 0.5), F.lit(0)).cast("int")
+    high = F.least(F.ceil(F.greatest("y", "y2") - 0.5) - 1, F.col("height") - 1).cast("int")
+    rows = edges.where(F.col("y") != F.col("y2")).withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    at = rows.withColumn("row", F.explode(F.sequence("_low", "_high")))
+    cross = F.col("x") + (F.col("row") + 0.5 - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y"))
+    lines = at.groupBy("region", "roi", "width", "row").agg(F.array_sort(F.collect_list(cross)).alias("c"))
+    pairs = lines.select(
+        "region", "roi", "width", F.col("row").alias("y"),
+        F.explode(F.sequence(F.lit(0), F.size("c") - 2, F.lit(2))).alias("k"), "c",
     )
-    spans = polygon_spans(
-        shapes.select(F.col("shape_id").alias("region"), "roi", whole.alias("vertices")), extent, fill=False
+    first, last = F.ceil(F.get("c", F.col("k")) - 0.5), F.ceil(F.get("c", F.col("k") + 1) - 0.5) - 1
+    return pairs.select(
+        "region", "roi", "y", F.greatest(first, F.lit(0)).cast("int").alias("x0"),
+        F.least(last, F.col("width") - 1).cast("int").alias("x1"),
+    ).where("x0 <= x1")
+
+
+def _with_rings(df: DataFrame) -> DataFrame:
+    """Shapes with ``rings``; a table with ``vertices`` only has one ring per shape."""
+    return df if "rings" in df.columns else df.withColumn("rings", F.array("vertices"))
+
+
+def mask_from_shapes(shapes: DataFrame, extent: DataFrame, flip: bool = True, scale_factor: float | None = None) -> DataFrame:
+    """Label mask of segmentation polygons; where two meet, the later shape wins.
+
+    ``shapes`` carries roi, shape_id (1-based, drawing order) and real-valued vertices (or rings). ``extent``
+    gives the raster of an image: (roi, width, height) with its origin at 0, or the bounds of its spots
+    (roi, x_min, y_min, x_max, y_max), of which the sides are cut to whole pixels. Coordinates are divided by
+    ``scale_factor`` first. With ``flip`` rows follow the coordinate; without it the image stands upside down.
+    """
+    if "x_min" in extent.columns:
+        side = lambda low, high: (F.col(high) - F.col(low)).cast("int")
+        raster = extent.select(
+            "roi", F.col("x_min").cast("double").alias("_x"), F.col("y_min").cast("double").alias("_y"),
+            side("x_min", "x_max").alias("width"), side("y_min", "y_max").alias("height"),
+            (side("x_min", "x_max") / (F.col("x_max") - F.col("x_min"))).alias("_sx"),
+            (side("y_min", "y_max") / (F.col("y_max") - F.col("y_min"))).alias("_sy"),
+        )
+    else:
+        one, zero = F.lit(1.0), F.lit(0.0)
+        raster = extent.select("roi", zero.alias("_x"), zero.alias("_y"), "width", "height", one.alias("_sx"), one.alias("_sy"))
+    scale = F.lit(float(scale_factor or 1))
+    placed = lambda v: F.struct(
+        ((v["x"] / scale - F.col("_x")) * F.col("_sx")).alias("x"), ((v["y"] / scale - F.col("_y")) * F.col("_sy")).alias("y")
     )
+    sized = lookup_join(_with_rings(shapes).select("roi", "shape_id", "rings"), raster, ["roi"], spread_by=["shape_id"])
+    rings = F.transform("rings", lambda ring: F.transform(ring, placed))
+    spans = centre_spans(sized.select(F.col("shape_id").alias("region"), "roi", "width", "height", rings.alias("rings")))
     painted = spans_to_pixels(spans).groupBy("roi", "y", "x").agg(F.max("region").alias("object_id"))
-    if not flip:
+    if flip:
         return painted
-    sized = lookup_join(painted, extent.select("roi", "height"), ["roi"], spread_by=["y", "x"])
-    return sized.select("roi", (F.col("height") - 1 - F.col("y")).alias("y"), "x", "object_id")
+    turned = lookup_join(painted, raster.select("roi", "height"), ["roi"], spread_by=["y", "x"])
+    return turned.select("roi", (F.col("height") - 1 - F.col("y")).alias("y"), "x", "object_id")
 
 
 def _overlay_column(hole: Column, seq: Column) -> Column:
-    return F.struct(seq.alias("seq"), hole.alias("hole"), F.col("feature").alias("feature"))
+    return F.struct(seq.alias("seq"), hole.alias("hole"), F.col("feature").alias("feature"), F.col("many").alias("many"))
 
 
 def mask_from_polygons(polygons: DataFrame, extent: DataFrame, hole_types: tuple[str, ...] = ()) -> DataFrame:
-    """Label mask of ordered classified polygons with hole rules.
+    """Label mask of ordered classified polygons with hole rules, by pixel centres.
 
-    ``polygons`` carries roi, seq, classification and vertices. Holes clear what lies under them.
-    Other polygons get the ids 1, 2, ... in order; where one meets pixels already labelled it
-    leaves them alone, unless it lies wholly on labelled pixels, then it takes them all.
+    ``polygons`` carries roi, seq, classification and vertices or rings, and where some of them are
+    multi-polygons the flag ``many``. Holes clear what lies under them. Multi-polygons paint 1 over everything.
+    Other polygons get the ids 1, 2, ... in order; where one meets pixels already labelled it leaves them
+    alone, unless it lies wholly on labelled pixels, then it takes them all.
     """
-    is_hole = F.coalesce(F.col("classification").isin(list(hole_types)), F.lit(False))
-    flagged = polygons.withColumn("hole", is_hole)
-    kept = rank_within(flagged.where(~F.col("hole")), ["roi"], "seq", "feature")
-    holes = flagged.where(F.col("hole")).withColumn("feature", F.lit(0).cast("bigint"))
-    shapes = kept.unionByName(holes)
-    spans = polygon_spans(
-        shapes.select(F.col("seq").alias("region"), "roi", "vertices"), extent, fill=False
-    )
-    pixels = spans_to_pixels(spans).withColumnRenamed("region", "seq").join(
-        shapes.select("roi", "seq", "hole", "feature"), ["roi", "seq"]
+    many = F.coalesce("many", F.lit(False)) if "many" in polygons.columns else F.lit(False)
+    is_hole = F.coalesce(F.col("classification").isin(list(hole_types)), F.lit(False)) & ~many
+    flagged = _with_rings(polygons).withColumns({"hole": is_hole, "many": many})
+    single = ~F.col("hole") & ~F.col("many")
+    kept = rank_within(flagged.where(single), ["roi"], "seq", "feature")
+    others = flagged.where(~single).withColumn("feature", F.col("many").cast("bigint"))
+    shapes = kept.unionByName(others)
+    sized = lookup_join(shapes.select(F.col("seq").alias("region"), "roi", "rings"), extent.select("roi", "width", "height"), ["roi"], spread_by=["region"])
+    pixels = spans_to_pixels(centre_spans(sized)).withColumnRenamed("region", "seq").join(
+        shapes.select("roi", "seq", "hole", "feature", "many"), ["roi", "seq"]
     )
     return _resolve_overlaps(pixels)
 
@@ -248,14 +300,14 @@ def _resolve_overlaps(pixels: DataFrame) -> DataFrame:
     stacks = cut_lineage(
         steps.groupBy("roi", "y", "x").agg(F.sort_array(F.collect_list("s")).alias("stack"))
     )
-    shapes = pixels.where(~F.col("hole")).select("roi", "seq").distinct()
+    shapes = pixels.where(~F.col("hole") & ~F.col("many")).select("roi", "seq").distinct()
     takes = shapes.withColumn("takes", F.lit(False))
     settled = cut_lineage(takes)
     while True:
         # a polygon's own verdict under the present verdicts of earlier ones
         entered = stacks.select(
             "roi", "y", "x", F.posexplode("stack").alias("place", "step"), "stack"
-        ).where(~F.col("step.hole"))
+        ).where(~F.col("step.hole") & ~F.col("step.many"))
         now = _labels_before(entered, settled)
         verdict = now.groupBy("roi", F.col("seq")).agg(
             (F.sum(F.when(F.col("below") == 0, 1).otherwise(0)) == 0).alias("takes")
@@ -275,11 +327,11 @@ def _with_verdicts(rows: DataFrame, settled: DataFrame) -> DataFrame:
     steps = rows.select("roi", "y", "x", F.explode("stack").alias("step"))
     marked = steps.select(
         "roi", "y", "x", F.col("step.seq").alias("seq"), F.col("step.hole").alias("hole"),
-        F.col("step.feature").alias("feature"),
+        F.col("step.feature").alias("feature"), F.col("step.many").alias("many"),
     ).join(settled, ["roi", "seq"], "left")
     return marked.groupBy("roi", "y", "x").agg(
         F.sort_array(F.collect_list(F.struct(
-            "seq", "hole", "feature", F.coalesce("takes", F.lit(False)).alias("takes")
+            "seq", "hole", "feature", "many", (F.col("many") | F.coalesce("takes", F.lit(False))).alias("takes")
         ))).alias("stack")
     )
 
@@ -297,7 +349,7 @@ def _labels_before(entered: DataFrame, settled: DataFrame) -> DataFrame:
     """Label found by each polygon step at its pixel: (roi, seq, below)."""
     stacks = _with_verdicts(entered.select("roi", "y", "x", "stack").distinct(), settled)
     steps = stacks.select("roi", "stack", F.posexplode("stack").alias("place", "step")).where(
-        ~F.col("step.hole")
+        ~F.col("step.hole") & ~F.col("step.many")
     )
     below = _paint(F.slice(F.col("stack"), F.lit(1), F.col("place")))
     return steps.select("roi", F.col("step.seq").alias("seq"), below.alias("below"))

@@ -206,6 +206,11 @@ SQL = {
           OR bool_or((b.x - e.x1) * (e.y2 - e.y1) = (b.y - e.y1) * (e.x2 - e.x1)
              AND b.x BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
              AND b.y BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))""",
+    # pixels whose centre lies in the path, by the crossings of the line through it
+    "centres": """SELECT region, roi, cell_type, CAST(gy.range AS INT) AS y, CAST(gx.range AS INT) AS x FROM edges, range(32) gy, range(32) gx
+        WHERE (y1 <= gy.range + 0.5::DOUBLE) <> (y2 <= gy.range + 0.5::DOUBLE)
+          AND gx.range + 0.5::DOUBLE >= x1 + (gy.range + 0.5::DOUBLE - y1) * (x2 - x1) / CAST(y2 - y1 AS DOUBLE)
+        GROUP BY 1, 2, 3, 4, 5 HAVING count(*) % 2 = 1""",
     "roi_meta": """SELECT 'exp' || (p_partkey % 7) || '+++slide' || (p_partkey % 3) || '+++' || p_type
         || '_' || p_partkey AS roi, p_size * 20 AS width, CAST(p_partkey % 50 AS INT) * 20 AS height
         FROM part""",
@@ -215,7 +220,7 @@ SQL = {
 }
 NEEDS = {
     "dense": ["px", "mask"], "typed": ["objects"], "edges": ["corners"],
-    "inside": ["corners", "edges"],
+    "inside": ["corners", "edges"], "centres": ["corners", "edges"],
 }
 
 

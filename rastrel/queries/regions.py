@@ -96,16 +96,31 @@ def mask_pixels(spark, sf):
     return ra.mask_pixels(views.dense(spark, sf), po.path_spans(drawn, views.extent(spark, sf)), tile=8)
 
 
-@query(with_views("corners inside", """
-WITH n AS (SELECT region, roi, row_number() OVER (PARTITION BY roi ORDER BY region) AS id FROM (SELECT DISTINCT region, roi FROM corners))
-SELECT i.roi, CAST(i.y AS INT) AS y, CAST(i.x AS INT) AS x, max(n.id) AS object_id FROM inside i JOIN n USING (region, roi) GROUP BY 1, 2, 3"""))
-def mask_from_shapes(spark, sf):
-    """Label mask of all outlines of an image, later ones on top."""
+NUMBERED = """n AS (SELECT region, roi, cell_type, row_number() OVER (PARTITION BY roi ORDER BY region) AS id FROM corners)"""
+
+
+def _shapes(spark, sf):
     from rastrel.plans.ranks import rank_within
 
     shapes = rank_within(views.paths(spark, sf), ["roi"], "region", "shape_id")
-    drawn = shapes.withColumn("vertices", path_vertices(F.col("path")))
-    return po.mask_from_shapes(drawn, views.extent(spark, sf))
+    return shapes.withColumn("vertices", path_vertices(F.col("path")))
+
+
+@query(with_views("centres", f"""
+WITH {NUMBERED} SELECT c.roi, c.y, c.x, max(n.id) AS object_id FROM centres c JOIN n USING (region, roi) GROUP BY 1, 2, 3"""))
+def mask_from_shapes(spark, sf):
+    """Label mask of all outlines of an image, later ones on top."""
+    return po.mask_from_shapes(_shapes(spark, sf), views.extent(spark, sf))
+
+
+@query(with_views("centres", f"""
+WITH {NUMBERED} SELECT c.roi, 15 - (c.y - 4) AS y, c.x - 4 AS x, max(n.id) AS object_id FROM centres c JOIN n USING (region, roi)
+WHERE c.y BETWEEN 4 AND 19 AND c.x BETWEEN 4 AND 27 GROUP BY 1, 2, 3"""))
+def mask_from_shapes_in_bounds(spark, sf):
+    """The same inside the bounds of spots, at half scale, upside down."""
+    bounds = views.extent(spark, sf).select("roi", *[F.lit(v).alias(c) for c, v in (("x_min", 4.0), ("y_min", 4.0), ("x_max", 28.0), ("y_max", 20.0))])
+    doubled = _shapes(spark, sf).withColumn("vertices", F.transform("vertices", lambda v: F.struct((v["x"] * 2.0).alias("x"), (v["y"] * 2.0).alias("y"))))
+    return po.mask_from_shapes(doubled, bounds, flip=False, scale_factor=2)
 
 
 @query()

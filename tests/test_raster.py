@@ -157,26 +157,62 @@ def test_gaussian_matches_brute_force(spark):
         st.global_filter(same, None, "other", 3)
 
 
+def centre_raster(rings, shape):
+    """Even-odd test of every pixel centre against every edge."""
+    out = np.zeros(shape, bool)
+    for y in range(shape[0]):
+        for x in range(shape[1]):
+            odd = False
+            for ring in rings:
+                for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                    if (y1 <= y + 0.5) != (y2 <= y + 0.5) and x + 0.5 >= x1 + (y + 0.5 - y1) * (x2 - x1) / (y2 - y1):
+                        odd = not odd
+            out[y, x] = odd
+    return out
+
+
+VERTICES = "array<struct<x: double, y: double>>"
+
+
+def test_square_covers_its_own_area(spark):
+    squares = [("r", 1, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]), ("r", 2, [(4.0, 0.0), (8.0, 0.0), (8.0, 4.0), (4.0, 4.0)])]
+    df = spark.createDataFrame(squares, f"roi string, shape_id long, vertices {VERTICES}")
+    rows = po.mask_from_shapes(df, extent_of(spark, {"r": (10, 10)})).groupBy("object_id").count().collect()
+    assert {r["object_id"]: r["count"] for r in rows} == {1: 16, 2: 16}
+
+
+def test_real_vertices_and_rings(spark):
+    rng = np.random.default_rng(8)
+    shapes = [[[(float(x), float(y)) for x, y in rng.uniform(-3, 23, (k, 2))]] for k in rng.integers(3, 8, 25)]
+    shapes.append([[(1.0, 1.0), (15.0, 2.0), (14.5, 16.0), (2.0, 13.0)], [(4.2, 4.1), (9.0, 4.7), (8.0, 9.9)]])
+    df = spark.createDataFrame([(i, "r", r, 20, 20) for i, r in enumerate(shapes)], f"region int, roi string, rings array<{VERTICES}>, width int, height int")
+    got = np.zeros((len(shapes), 20, 20), bool)
+    for s in po.centre_spans(df).collect():
+        got[s.region, s.y, s.x0:s.x1 + 1] = True
+    for i, r in enumerate(shapes):
+        assert np.array_equal(got[i], centre_raster(r, (20, 20))), i
+
+
 def test_polygon_mask_rules(spark):
-    """Paint order with holes, partial overlap and nesting, against the rules played on an array."""
+    """Paint order with holes, multi-polygons, partial overlap and nesting, against the rules played on an array."""
     rng = np.random.default_rng(5)
     boxes = [(int(x), int(y), int(x + w), int(y + h)) for x, y, w, h in zip(*(rng.integers(0, 14, 25), rng.integers(0, 14, 25), rng.integers(1, 6, 25), rng.integers(1, 6, 25)))]
     boxes += [(1, 1, 18, 18), (3, 3, 6, 6), (4, 4, 5, 5)]
-    kinds = ["hole" if i % 6 == 5 else "cell" for i in range(len(boxes))]
+    kinds = ["hole" if i % 6 == 5 else "many" if i % 11 == 7 else "cell" for i in range(len(boxes))]
     want = np.zeros((20, 20), int)
     index = 1
     for (x0, y0, x1, y1), kind in zip(boxes, kinds):
         img = np.zeros((20, 20), bool)
-        img[y0:y1 + 1, x0:x1 + 1] = True
-        if kind == "hole":
-            want[img] = 0
+        img[y0:y1, x0:x1] = True
+        if kind != "cell":
+            want[img] = kind == "many"
             continue
         if (want[img] == 0).any():
             img &= want == 0
         want[img] = index
         index += 1
-    rows = [("r", i, k, [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]) for i, ((x0, y0, x1, y1), k) in enumerate(zip(boxes, kinds))]
-    df = spark.createDataFrame(rows, "roi string, seq bigint, classification string, vertices array<struct<x: int, y: int>>")
+    rows = [("r", i, k, k == "many", [(float(x), float(y)) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]) for i, ((x0, y0, x1, y1), k) in enumerate(zip(boxes, kinds))]
+    df = spark.createDataFrame(rows, f"roi string, seq bigint, classification string, many boolean, vertices {VERTICES}")
     got = np.zeros((20, 20), int)
     for r in po.mask_from_polygons(df, extent_of(spark, {"r": (20, 20)}), ("hole",)).collect():
         got[r.y, r.x] = r.object_id
