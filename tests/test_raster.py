@@ -13,13 +13,9 @@ from rastrel.operators import polygons as po
 from rastrel.operators import raster as ra
 from rastrel.operators import stencils as st
 
-PATH = (
-    "M222.86561906127866,131.26498798809564L232.88973251102587,145.5851500591631L235.75376492483935,151.8860213704328L"
-    "235.467361683818,158.18689268170246L231.74411954534048,161.33732833733728L224.58403850980676,162.4829413030227L"
-    "212.84150561153143,161.33732833733728L204.82221485173366,157.3276829574384L201.67177919609884,152.45882785327547L"
-    "199.6669565061494,145.0123435763204L199.95335974757074,138.99787550647207L202.24458567894152,135.84743985083725L"
-    "202.5309889203629,133.55621391946644L202.5309889203629,133.84261716088778Z"
-)
+#: A drawn outline with real-valued corners, and its corners as whole pixels.
+PATH = "M50.4,11.6L83.7,14.2L90.1,45.8L71.5,67.3L38.2,65.9L22.6,32.4Z"
+CORNERS = [(50, 12), (84, 14), (90, 46), (72, 67), (38, 66), (23, 32)]
 
 
 def pixels_of(spark, arrays: dict):
@@ -87,20 +83,25 @@ def test_polygons_match_brute_force():
         assert np.array_equal(plain[i], want) and np.array_equal(filled[i], closed), (xs, ys)
 
 
-def test_path_golden(spark):
+def test_drawn_path(spark):
     paths = spark.createDataFrame([(1, "r", PATH)], "region int, roi string, path string")
-    pix = {(p.y, p.x) for p in po.spans_to_pixels(po.path_spans(paths, extent_of(spark, {"r": (600, 600)}))).collect()}
-    ys, xs = zip(*pix)
-    assert (min(xs), max(xs), min(ys), max(ys)) == (200, 236, 131, 162)
-    assert (131, 223) in pix and (130, 223) not in pix
+    spans = po.path_spans(paths, extent_of(spark, {"r": (80, 100)}))
+    want = closed_polygon(*map(list, zip(*CORNERS)), (80, 100))[0]
+    got = np.zeros((80, 100), bool)
+    for p in po.spans_to_pixels(spans).collect():
+        got[p.y, p.x] = True
+    assert np.array_equal(got, want)
     b = paths.select(vertex_bounds(path_vertices(F.col("path"))).alias("b")).first().b
-    assert (b.x_min, b.x_max, b.y_min, b.y_max) == (200, 236, 131, 162)
-    # a single bright pixel in the path, as in the statistics of the drawn region
-    a = np.zeros((170, 240))
-    a[131, 223] = 5000
-    spans = po.path_spans(paths, extent_of(spark, {"r": (600, 600)}))
-    r = ra.region_statistics(ra.pixels_in_spans(pixels_of(spark, {("r", "c"): a}), spans), None).first()
-    assert r.Mean > 0 and r.Max == 5000 and r.Min == 0 and r.Total == 5000 and 170 < r.SD < 171
+    assert (b.x_min, b.x_max, b.y_min, b.y_max) == (23, 90, 12, 67)
+    a = np.zeros((80, 100))
+    a[12, 50], a[5, 5] = 700, 900
+    dense = pixels_of(spark, {("r", "c"): a})
+    r = ra.region_statistics(ra.pixels_in_spans(dense, spans), None).first()
+    inside = a[want]
+    assert (r.Max, r.Min, r.Total, r.Median) == (700, 0, 700, 0) and r.Mean == pytest.approx(inside.mean()) and r.SD == pytest.approx(inside.std())
+    stored = ra.region_statistics(ra.pixels_in_spans(ra.sparsify(dense), spans), None, ra.span_areas(spans, ["c", "none"]))
+    got = {x.channel: x for x in stored.collect()}
+    assert all(got["c"][k] == pytest.approx(r[k]) for k in ra.STATISTICS) and all(got["none"][k] == 0 for k in ra.STATISTICS)
 
 
 def test_path_over_border(spark):
@@ -124,16 +125,17 @@ def test_hot_pixels_golden(spark):
     assert st.hot_pixel_diff_of_rectangles(pixels_of(spark, {("r", "c"): a}), rect, ext, integer_mean=True).first().hpf == 25
 
 
-def test_hot_pixels_in_path_golden(spark):
-    a = np.full((170, 240), 255)
+def test_hot_pixels_in_path(spark):
+    a = np.full((80, 100), 90)
     paths = spark.createDataFrame([(1, "r", PATH)], "region int, roi string, path string")
-    ext = extent_of(spark, {"r": (170, 240)})
+    ext = extent_of(spark, {"r": (80, 100)})
     hpf = lambda: st.hot_pixel_diff_of_paths(pixels_of(spark, {("r", "c"): a}), paths, ext, integer_mean=True).first().hpf
     assert hpf() == 0
-    a[143, 219] = 301
-    assert hpf() == 41
-    a[165, 5] = 302
-    assert hpf() == 41
+    a[40, 60] = 200
+    inside = hpf()
+    assert 50 < inside <= 110
+    a[75, 5] = 999  # not in the path
+    assert hpf() == inside
 
 
 @pytest.mark.parametrize("size, tile", [(3, 7), (4, 7), (5, 64), (1, 8)])

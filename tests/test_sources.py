@@ -28,27 +28,28 @@ def mask_of(spark, key, *masks, delimiter="+++"):
     return ma.match_masks(rois(spark, key), names(spark, *masks), delimiter).first().mask_name
 
 
-def test_mask_names(spark):
-    assert mask_of(spark, "Patient1+++slide0+++pos_1_3_3", "Patient1_002", "Patient1_003") == "Patient1_003"
-    masks = [f"patient7B_SPS23_836_2_3_{i}" for i in ("002", "006", "007")]
-    assert mask_of(spark, "patient7B_SPS23_836_2_3---slide0---ROI_006_6", *masks, delimiter="---") == masks[1]
-    assert mask_of(spark, "MCD1+++slide0+++roi_1", "other") is None
-    assert mask_of(spark, "MCD1+++slide0+++roi_1", "x_roi_1_mask", "MCD1") == "MCD1"
-    assert mask_of(spark, "A+++s+++b", "file_s0_a1_ac_IA_mask") == "file_s0_a1_ac_IA_mask"
+KEY = "liver+++deck+++spot_4"
+
+
+def test_mask_of_an_image_by_each_rule(spark):
+    assert mask_of(spark, KEY, "liver", "spot_4", KEY) == KEY  # the whole key
+    assert mask_of(spark, KEY, "spot_4", "scan_s0_a1_ac_IA_mask") == "scan_s0_a1_ac_IA_mask"  # number of the list position
+    assert mask_of(spark, KEY, "in_spot_4_too", "spot_4", "liver") == "liver"  # the experiment
+    assert mask_of(spark, KEY, "in_liver_too", "spot_4") == "spot_4"  # the acquisition
+    assert mask_of(spark, KEY, "liver_part_03", "liver_part_04", "lung_04") == "liver_part_04"  # experiment and equal number
+    assert mask_of(spark, KEY, "lung_old", "my_liver_old", "with_spot_4_in") == "my_liver_old"  # part of the name
+    assert mask_of(spark, KEY, "lung_1", "spot_5") is None
+    assert mask_of(spark, "liver::deck::spot_4", "liver_part_04", "x_liver", delimiter="::") == "liver_part_04"
 
 
 @pytest.mark.parametrize("mask, images, want", [
-    ("query_s0_a2_ac_IA_mask", ["query_1", "query_2", "query_3", "query_4"], "query_2"),
-    ("query_3", ["query_1", "query_2", "query_3", "query_4"], "query_3"),
-    ("query_5", ["query_1", "query_2", "query_3", "query_4"], None),
-    ("sampletest", ["sampletest"], "sampletest"),
-    ("Kidney7_Sector2Row9Column6_SlideStart_mask", ["Kidney7_Sector2Row9Column6_SlideStart", "Other"], "Kidney7_Sector2Row9Column6_SlideStart"),
-    ("Kidney6_Sector2Row9Column6_SlideStart_mask", ["Kidney7_Sector2Row9Column6_SlideStart", "Other"], None),
-    ("patient1_003", ["pos1_3_3", "Other"], "pos1_3_3"),
-    ("patient7B_SPS23_836_2_3_11", ["ROI_011_11", "ROI_012_12", "Other_mask"], "ROI_011_11"),
-    ("patient1_002", ["pos1_3_3", "Other"], None),
+    ("lung_b", ["lung_a", "lung_b"], "lung_b"),  # equal names
+    ("west_lung_b_mask", ["lung_b", "west", "none"], "west"),  # the last image found in the name
+    ("scan_s0_a3_ac_IA_mask", ["area_1", "area_2", "area_3"], "area_3"),  # the older form's number
+    ("liver_9", ["area_8", "area_09", "more_9"], "area_09"),  # the first with an equal number
+    ("liver_7", ["area_8", "area"], None),
 ])
-def test_mask_to_image(spark, mask, images, want):
+def test_image_of_a_mask_by_each_rule(spark, mask, images, want):
     assert ma.match_masks_to_images(names(spark, mask), names(spark, *images)).first().image == want
 
 
@@ -58,18 +59,16 @@ def found(spark, keys, columns, delimiter="+++", mask=None, has_sample=False):
     return r.value, r.column
 
 
-def test_object_names(spark):
-    key = "mcd1+++slide0+++Dilution_series_1_1"
-    sample = [("sample", "Dilution_series_1_1")]
-    table = ma.match_objects(rois(spark, "roi_1", key, "roi_3"), spark.createDataFrame(sample, "column string, name string"))
-    got = {r.roi: (r.value, r.column) for r in table.collect()}
-    assert got[key] == ("mcd1_2", "sample")
-    assert found(spark, [key], [("description", "Dilution_series_1_1")]) == ("Dilution_series_1_1", "description")
-    assert found(spark, ["mcd1+++slide0+++roi_1"], [("description", "Dilution_series_1_1")]) == (None, None)
-    assert found(spark, ["test---slide0---chr10-h54h54-Gd158_2_18"], [("description", "test_018")], "---", "test_018") == ("test_018", "description")
-    mask = "MB0653_1_63_fullstack_mask"
-    assert found(spark, ["MB0653_1_63_fullstack---slide0---acq0"], [("description", mask)], "---", mask)[0] == mask
-    assert found(spark, ["Patient1---slide0---pos_1_3_3"], [("sample", "pos1_3_3")], "---", "Patient1_003", True) == ("Patient1_003", "sample")
+def test_object_rows_of_an_image_by_each_rule(spark):
+    assert found(spark, [KEY], [("description", "liver_004"), ("description", "spot_4")]) == ("spot_4", "description")  # a listed acquisition
+    assert found(spark, [KEY], [("description", "liver_004")]) == ("liver_004", "description")  # experiment and padded number
+    assert found(spark, [KEY], [("description", "liver")]) == ("liver", "description")  # the experiment
+    assert found(spark, [KEY], [("description", "other")]) == (None, None)
+    assert found(spark, [KEY], [("description", "x")], mask="old_liver_scan") == ("old_liver_scan", "description")  # the mask holds the experiment
+    assert found(spark, [KEY], [("sample", "x")], mask="m_4", has_sample=True) == ("m_4", "sample")  # the mask's number
+    assert found(spark, ["a+++b+++c", KEY][:1], [("sample", "x")], has_sample=True) == ("a_1", "sample")  # the list position
+    both = ma.match_objects(rois(spark, "first", KEY), spark.createDataFrame([("sample", "x")], "column string, name string"))
+    assert {r.roi: r.value for r in both.collect()}[KEY] == "liver_2"
 
 
 def test_ordered_csv_and_embedding(spark, tmp_path):
