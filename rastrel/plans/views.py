@@ -235,7 +235,7 @@ def with_views(names: str, query: str) -> str:
 
     for name in names.split():
         add(name)
-    parts = [f"{n} AS ({SQL[n]})" for n in SQL if n in wanted]
+    parts = [f"{n} AS MATERIALIZED ({SQL[n]})" for n in SQL if n in wanted]
     text = query.strip()
     if text.upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + text[5:]

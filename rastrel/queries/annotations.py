@@ -247,14 +247,15 @@ def export_points(spark, sf):
 
 # ---------------------------------------------------------------- clusters
 
-MC = """mc AS (SELECT DISTINCT m.roi, m.object_id, c.cluster FROM mask m JOIN clusters c ON c.object_id = (m.roi * 31 + m.object_id * 7) % 500
+MC = """mc AS (SELECT DISTINCT m.roi, m.object_id, c.cluster FROM mask m JOIN clusters c ON c.object_id = (m.roi * 31 + m.object_id * 7) % (SELECT max(object_id) + 1 FROM clusters)
   WHERE m.object_id <> 0)"""
 
 
 def _mask_clusters(spark, sf):
     """Cluster of each mask object, taken from the labelled embeddings."""
     objects = _mask_objects(spark, sf).select(F.col("sample").alias("roi"), F.col("cell_id").alias("object_id"))
-    key = ((F.col("roi") * 31 + F.col("object_id") * 7) % 500).alias("_k")
+    size = views.clusters(spark, sf).agg((F.max("object_id") + 1).alias("n")).scalar()
+    key = ((F.col("roi") * 31 + F.col("object_id") * 7) % size).alias("_k")
     return objects.select("*", key).join(
         views.clusters(spark, sf).withColumnRenamed("object_id", "_k"), "_k"
     ).select("roi", "object_id", "cluster")
@@ -284,10 +285,11 @@ def transfer_category(spark, sf):
 
 
 @query(with_views("clusters", """
-SELECT 'set+++slide+++' || s_suppkey AS roi, c.object_id, c.cluster FROM clusters c JOIN supplier ON s_suppkey = c.object_id % 13"""))
+SELECT 'set+++slide+++' || s_suppkey AS roi, c.object_id, c.cluster FROM clusters c JOIN supplier ON s_suppkey = c.object_id % (SELECT max(s_suppkey) + 1 FROM supplier)"""))
 def assign_clusters(spark, sf):
     """Uploaded clusters of several images attached to the images of the session."""
-    upload = views.clusters(spark, sf).withColumn("description", (F.col("object_id") % 13).cast("string"))
+    size = views.table(spark, sf, "supplier").agg((F.max("s_suppkey") + 1).alias("n")).scalar()
+    upload = views.clusters(spark, sf).withColumn("description", (F.col("object_id") % size).cast("string"))
     images = views.extent(spark, sf).select(
         F.concat(F.lit("set+++slide+++"), F.col("roi").cast("string")).alias("roi"),
         F.col("roi").cast("string").alias("value"), F.lit("description").alias("column"),
