@@ -50,7 +50,7 @@ def click_hits(objects: DataFrame, clicks: DataFrame, mask: DataFrame | None = N
     if mask is not None:
         # clicks on background have no object; they would all share one key
         labels = mask.where(F.col("object_id") != 0).select("roi", "y", "x", "object_id")
-        under = points.join(labels, ["roi", "y", "x"])
+        under = points.join(unrolled(labels), ["roi", "y", "x"])
         return objects.select("sample", "cell_id").join(
             under.select(
                 F.col("roi").alias("sample"), F.col("object_id").alias("cell_id"),
@@ -269,4 +269,4 @@ def point_export(points: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     if mask is None:
         return rows
     under = mask.select(F.col("roi").alias("ROI"), "y", "x", F.col("object_id").alias("mask_cell_id"))
-    return rows.join(under, ["ROI", "y", "x"], "left")
+    return rows.join(unrolled(under), ["ROI", "y", "x"], "left")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastrel.plans.joins import lookup_join
 from rastrel.plans.ranks import rank_within
 
+#: Side of the arrays that spots are painted on.
+TILE = 128
+
 # Default marker radii and the numerator of the spot array scale.
 SPOT_RADIUS = 55
 OTHER_RADIUS = 1
@@ -58,37 +66,86 @@ def spatial_extent(spots: DataFrame, scales: DataFrame, border: float = BORDER)
     )
 
 
-def half_chord(radius: Column, dy: Column) -> Column:
-    """Largest dx of a disk row with dy*dy + dx*dx < radius*radius."""
-    left = radius * radius - dy * dy
-    return (F.ceil(F.sqrt(left.cast("double"))) - 1).cast("int")
+@cache
+def disk(size: int) -> np.ndarray:
+    """Pixels (dy, dx) with dy*dy + dx*dx < size*size, around the middle of a (2*size - 1)-sided square."""
+    d = np.arange(1 - size, size, dtype=np.int64) ** 2
+    return d[:, None] + d[None, :] < size * size
+
+
+def _paint(tile: np.ndarray, y0: int, x0: int, spot: tuple, height: int, width: int) -> None:
+    """Raise the tile's pixels under one disk to the spot's value."""
+    fy, oy, fx, ox, size, value = spot
+    stamp, side = disk(size), tile.shape[0]
+    ys, xs = fy + np.arange(1 - size, size), fx + np.arange(1 - size, size)
+    # positions are cut towards zero, so those between -1 and 0 land on the first row or column as well
+    for rows in (ys, np.where(ys == -1, 0, -1)) if oy and fy - size < -1 else (ys,):
+        for cols in (xs, np.where(xs == -1, 0, -1)) if ox and fx - size < -1 else (xs,):
+            r = (rows >= max(y0, 0)) & (rows < min(y0 + side, height))
+            c = (cols >= max(x0, 0)) & (cols < min(x0 + side, width))
+            if r.any() and c.any():
+                at = np.ix_(rows[r] - y0, cols[c] - x0)
+                tile[at] = np.maximum(tile[at], np.where(stamp[np.ix_(r, c)], value, 0))
 
 
 def rasterize_spots(values: DataFrame, scales: DataFrame, extents: DataFrame,
-                    downscale: bool = True) -> DataFrame:
+                    downscale: bool = True, tile: int = TILE) -> DataFrame:
     """Markers as disks on a raster; where disks meet, the largest value stays.
 
     ``values`` is (roi, gene, x, y, value); only values above 0 are drawn. Result is sparse:
-    (roi, channel, y, x, value).
+    (roi, channel, y, x, value). Spots at one place are reduced to their largest value first, which bounds
+    what a tile can hold; then each spot goes to the tiles it touches, and a tile is painted as one array.
     """
     frame = extents.join(scales.select("roi", "scale", "radius"), "roi")
-    size = F.floor(F.col("radius") * F.col("scale")).cast("int") if downscale else F.col("radius")
-    frame = frame.withColumn("_size", size)
-    placed = lookup_join(values.where(F.col("value") > 0), frame, ["roi"])
+    size = F.floor(F.col("radius") * F.col("scale")).cast("int") if downscale else F.col("radius").cast("int")
+    placed = lookup_join(values.where(F.col("value") > 0), frame.withColumn("_size", size), ["roi"]).where(F.col("_size") > 0)
     at = lambda c, low: _single(_single(_single(F.col(c)) * F.col("scale")).cast("double") - F.col(low)).cast("double")
-    # a disk is unrolled row by row: the row is placed and tested before its pixels are made
-    lines = placed.where(F.col("_size") > 0).select(
+    spots = placed.select(
         "roi", F.col("gene").alias("channel"), "value", at("y", "y_min").alias("_y"), at("x", "x_min").alias("_x"),
-        "grid_width", "grid_height", "_size",
-        F.explode(F.sequence(1 - F.col("_size"), F.col("_size") - 1)).alias("dy"),
-    ).withColumn("y", (F.col("_y") + F.col("dy")).cast("int")).where(
-        (F.col("y") >= 0) & (F.col("y") < F.col("grid_height"))
-    ).withColumn("_reach", half_chord(F.col("_size"), F.col("dy")))
-    drawn = lines.select(
-        "roi", "channel", "value", "y", "_x", "grid_width",
-        F.explode(F.sequence(-F.col("_reach"), F.col("_reach"))).alias("dx"),
-    ).withColumn("x", (F.col("_x") + F.col("dx")).cast("int"))
-    return drawn.where((F.col("x") >= 0) & (F.col("x") < F.col("grid_width"))).groupBy("roi", "channel", "y", "x").agg(F.max("value").alias("value"))
+        F.col("grid_width").cast("int").alias("_w"), F.col("grid_height").cast("int").alias("_h"), "_size",
+    ).withColumns({"fy": F.floor("_y").cast("int"), "fx": F.floor("_x").cast("int")})
+    spots = spots.withColumns({"oy": F.col("_y") != F.col("fy"), "ox": F.col("_x") != F.col("fx")})
+    once = spots.groupBy("roi", "channel", "_w", "_h", "_size", "fy", "oy", "fx", "ox").agg(F.max("value").alias("value"))
+
+    def touched(place: str, off: str, length: str) -> Column:
+        low = F.greatest(F.col(place) - F.col("_size") + 1, F.lit(0))
+        end = F.col(place) + F.col("_size") - 1
+        end = F.when((end == -1) & F.col(off), F.lit(0)).otherwise(end)
+        high = F.least(end, F.col(length) - 1)
+        # a disk beside the raster touches no tile
+        return F.when(low <= high, F.sequence(F.floor(low / tile).cast("int"), F.floor(high / tile).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    key = ["roi", "channel", "ty", "tx"]
+    tiled = once.withColumn("ty", F.explode(touched("fy", "oy", "_h"))).withColumn("tx", F.explode(touched("fx", "ox", "_w")))
+    dealt = tiled.repartition(*key).sortWithinPartitions(*key)
+    kinds = {c: dealt.schema[c].dataType.simpleString() for c in ("roi", "channel", "value")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, canvas = None, None
+
+        def finished() -> pd.DataFrame:
+            y, x = np.nonzero(canvas)
+            return pd.DataFrame({
+                "roi": [open_key[0]] * len(y), "channel": [open_key[1]] * len(y),
+                "y": (y + open_key[2] * tile).astype(np.int32), "x": (x + open_key[3] * tile).astype(np.int32), "value": canvas[y, x],
+            })
+
+        for batch in batches:
+            ready = []
+            for row in batch.itertuples(index=False):
+                now = (row.roi, row.channel, row.ty, row.tx)
+                if now != open_key:
+                    if open_key is not None:
+                        ready.append(finished())
+                    open_key, canvas = now, np.zeros((tile, tile), dtype=batch["value"].dtype)
+                _paint(canvas, row.ty * tile, row.tx * tile, (row.fy, row.oy, row.fx, row.ox, row[size_at], row.value), row[height_at], row[width_at])
+            if ready:
+                yield pd.concat(ready, ignore_index=True)
+        if open_key is not None:
+            yield finished()
+
+    size_at, height_at, width_at = (dealt.columns.index(c) for c in ("_size", "_h", "_w"))
+    return dealt.mapInPandas(run, f"roi {kinds['roi']}, channel {kinds['channel']}, y int, x int, value {kinds['value']}")
 
 
 def number_spots(spots: DataFrame, order: str = "spot_id") -> DataFrame:
