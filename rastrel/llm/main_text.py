@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages taken from a table at most. The layouts kept here weigh as much as the sample.
-SAMPLE = 400
+#: Labelled pages taken from a table at most, and how many times their weight the layouts kept here have together.
+SAMPLE, LAYOUTS_WEIGH = 400, 3.0
+#: The facts of one node weigh this much in log odds at most, so that its neighbours can outweigh them.
+EVIDENCE = 6.0
 PRIOR = 0.5
 
 #: The kinds of HTML elements.
@@ -124,7 +126,7 @@ def parse(page: str) -> Tree:
             attributes = token[3] or ""
             named = {w.lower() for m in NAMED.finditer(attributes) for w in WORD.findall(m[2] or m[3] or m[4] or "")}
             marked = stack[-1][2] or bool(MARKED.search(attributes))
-            node = tree.add(stack[-1][1], None, [f"tag:{name}", *(f"name:{w}" for w in sorted(named))], marked)
+            node = tree.add(stack[-1][1], None, [f"tag:{name}", f"in:{stack[-1][0]}>{name}", *(f"name:{w}" for w in sorted(named))], marked)
             if not attributes.endswith("/"):
                 stack.append((name, node, marked))
     flush()
@@ -151,15 +153,31 @@ LAYOUTS = (
     <section class="article-body story text" data-main><div><p>The council met on Monday to talk about the new school.</p></div><div><p>After four hours it had decided nothing.</p><h3>Next steps</h3>
     <p>It meets again in May.</p></div></section><section class="reviews user-comments responses"><div><p>They never decide anything at all, and nobody is surprised by it any more.</p></div></section>
     <aside><p>The council has nine members, elected every four years by all citizens.</p></aside><form class="search"><p>Search this site</p></form><div class="legal copyright"><p>© The paper</p></div></body>""",
+    """<html><body><div class="wrapper container"><header id="masthead"><div class="logo"><a>The Daily</a></div><nav class="navbar"><ul class="menu"><li><a>World</a></li><li><a>Sport</a></li></ul></nav></header>
+    <article><h1 class="title headline" data-main>Snow in May</h1><p data-main>Snow fell in the hills on Tuesday, to the surprise of everybody who had planted beans.</p>
+    <p data-main>The beans are lost.</p><div class="ad advertisement"><p>Beans of the best kind, sent to your door.</p></div><p data-main>Farmers hope for a warm June, which would save what is left of the barley.</p>
+    <aside class="related-links"><h4>More</h4><p>Snow was last seen in May forty years ago.</p></aside><footer class="article-footer tags"><a>snow</a> <a>hills</a></footer>
+    <section class="comments-area" id="respond"><h3>3 comments</h3><ol class="comment-list"><li class="comment"><p>We lost all our tomatoes too, and the roses as well, it is a shame.</p></li>
+    <li class="comment"><p>First!</p></li></ol><form class="comment-respond"><p>Write a comment</p></form></section></article>
+    <div id="secondary" class="widget-area sidebar"><section class="widget"><h2>Most read</h2><ul><li><a>Rain in June</a></li></ul></section></div>
+    <footer id="colophon" class="site-footer"><div class="site-info">The Daily, printed since 1900 in the old town.</div></footer></div></body></html>""",
+    """<body><div class="topbar notice alert"><p>Our office is closed on Friday, please call again on Monday morning.</p></div><div role="navigation"><a>Start</a> <a>Guides</a></div>
+    <div class="modal popup" id="newsletter"><h2>Stay in touch</h2><p>Get one letter a month, no more than that.</p><form class="signup"><label>Mail</label></form></div>
+    <div role="main" id="main"><div class="page-content body" data-main><h1>How to mend a tyre</h1><h2>Find the hole</h2><p>Pump the tyre up and hold it under water: where bubbles rise, there is the hole.</p>
+    <dl><dt>Small hole</dt><dd>Use a patch.</dd></dl><h2>Close it</h2><ol><li>Dry the place and make it rough.</li><li>Wait five minutes.</li></ol><table><tr><th>Size</th><td>28</td></tr></table></div>
+    <div class="pagination pager"><a>Previous</a><a>Next</a></div><div class="toc"><ul><li><a>Find the hole</a></li><li><a>Close it</a></li></ul></div></div>
+    <div role="complementary" class="banner sponsor promotion"><p>This guide was paid for by a maker of tyres and patches.</p></div>
+    <div class="feedback responses"><p>It took me four attempts, but now the tyre holds and I can ride again.</p></div><div role="contentinfo"><p>Imprint and privacy</p></div></body>""",
 )
 
 
 def _labels(tree: Tree, content: list[bool]) -> list[int]:
-    """Labels of all nodes from those of the leaves: an element is content if most of its characters are."""
+    """Labels of all nodes from those of the leaves: an element is content if over a third of its characters are, so an article stays
+    one under long comments."""
     weight = [0] * len(tree.parent)
     for k in range(len(tree.parent) - 1, -1, -1):
         if tree.text[k] is not None:
-            weight[k] = len(tree.text[k]) if content[k] else -len(tree.text[k])
+            weight[k] = 2 * len(tree.text[k]) if content[k] else -len(tree.text[k])
         if k:
             weight[tree.parent[k]] += weight[k]
     return [int(w > 0) for w in weight]
@@ -241,9 +259,9 @@ def marginals(tree: Tree, model: Model) -> list[float]:
             w = model.facts.get(f)
             if w:
                 d += w[1] - w[0]
-        d = max(-30.0, min(30.0, d))
+        d = max(-EVIDENCE, min(EVIDENCE, d))
         own1[k] = 1 / (1 + exp(-d))
-        own0[k] = 1 - own1[k] if d < 30 else 1e-13
+        own0[k] = 1 - own1[k]
     own0[0], own1[0] = own0[0] * model.root[0], own1[0] * model.root[1]
     for k in range(n - 1, 0, -1):
         (e00, e01), (e10, e11) = edges[k]
@@ -282,7 +300,7 @@ def train(labelled: DataFrame | None = None, sample: int = SAMPLE) -> Model:
         rows = labelled.select("html", "main").filter("html IS NOT NULL AND main IS NOT NULL")
         for r in rows.orderBy(F.xxhash64("html"), "html", "main").limit(sample).collect():
             trees.append((*aligned_labels(r["html"], r["main"]), 1.0))
-    weight = max(1.0, len(trees) / len(LAYOUTS))
+    weight = max(1.0, LAYOUTS_WEIGH * len(trees) / len(LAYOUTS))
     return fit(trees + [(*marked_labels(x), weight) for x in LAYOUTS])
 
 
