@@ -300,7 +300,7 @@ def train(labelled: DataFrame | None = None, sample: int = SAMPLE) -> Model:
         rows = labelled.select("html", "main").filter("html IS NOT NULL AND main IS NOT NULL")
         for r in rows.orderBy(F.xxhash64("html"), "html", "main").limit(sample).collect():
             trees.append((*aligned_labels(r["html"], r["main"]), 1.0))
-    weight = max(1.0, LAYOUTS_WEIGH * len(trees) / len(LAYOUTS))
+    weight = max(20.0, LAYOUTS_WEIGH * len(trees) / len(LAYOUTS))
     return fit(trees + [(*marked_labels(x), weight) for x in LAYOUTS])
 
 
