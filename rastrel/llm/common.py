@@ -39,3 +39,25 @@ def plain_line(line: Column) -> Column:
 def host(source: str = "source") -> Column:
     """The site a row is from, never null: rows without a source make up one site of their own."""
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
+
+
+#: Values a Python worker remembers per function, before the older ones go.
+REMEMBERED = 250_000
+
+
+class Remembered(dict):
+    """Values of a function by key. When ``most`` are held they become the old ones, of which those asked for again stay."""
+
+    def __init__(self, of, most: int = REMEMBERED):
+        super().__init__()
+        self.of, self.most, self.old = of, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.of(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

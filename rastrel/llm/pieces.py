@@ -24,13 +24,15 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from rastrel.llm.common import Remembered
+
 #: The blank of the piece alphabet, and the numbers of model and piece kinds in the model format.
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
-#: Remembered parts and neighbours per Python worker; beyond that the dictionary starts anew.
-REMEMBERED = 300_000
+#: Parts up to this many characters are searched from the end, with the paths of their beginnings remembered.
+SHORT = 40
 #: Characters that are cut into parts at once.
 STRETCH = 1 << 20
 INF = float("inf")
@@ -62,24 +64,6 @@ def parse_model(m) -> Model:
     return Model(m.trainer_spec.model_type, [(p.piece, p.score, p.type) for p in m.pieces], m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces)
 
 
-class Remembered(dict):
-    """Values of a function by key. When ``most`` are held they become the old ones, of which those asked for again stay."""
-
-    def __init__(self, of, most: int = REMEMBERED):
-        super().__init__()
-        self.of, self.most, self.old = of, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.of(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 @dataclass
 class Transducer:
     model: Model
@@ -89,6 +73,7 @@ class Transducer:
         pieces = self.model.pieces
         self.number = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
         self.weight = {p: -pieces[i][1] for p, i in self.number.items()}
+        self.longest = max(map(len, self.number), default=1)
         self.prefixes = {p[:k] for p in self.number for k in range(1, len(p))}
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
@@ -96,6 +81,8 @@ class Transducer:
         self.out = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(BLANK, " ").encode() for p, _, kind in pieces]
         self.merging = Remembered(self._merging)
         self.may_follow = Remembered(self._may_follow)
+        self.path = Remembered(self._path)
+        self.path[""] = (0.0, "", ())
         self.part = Remembered(self._encode_part)
         self.cut = re.compile(self._cuts(), re.S)
 
@@ -169,16 +156,35 @@ class Transducer:
             i = start[i]
         return out[::-1]
 
+    def _ids(self, piece: str) -> tuple[int, ...]:
+        if piece in self.number:
+            return (self.number[piece],)
+        return tuple(self.byte[b] for b in piece.encode()) if self.byte else (self.unknown,)
+
+    def _path(self, text: str) -> tuple[float, str, tuple[int, ...]]:
+        """The same search from the end: weight, last piece and numbers of the best path, from those of the beginnings of the
+        text. Words share beginnings, so most of them are known."""
+        if not text:
+            return 0.0, "", ()
+        number, ranks, best = self.number, self.model.kind == BPE, (INF, "", ())
+        for size in range(min(len(text), self.longest), 0, -1):
+            p = text[-size:]
+            if p in number or size == 1:
+                so_far, before, ids = self.path[text[:-size]]
+                if ranks:
+                    if self.may_follow[before, p]:
+                        return 0.0, p, ids + self._ids(p)
+                else:
+                    w = so_far + self.weight.get(p, self.unknown_weight)
+                    if w < best[0]:
+                        best = (w, p, ids + self._ids(p))
+        return best
+
     def _encode_part(self, text: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for p in self.shortest_path(text):
-            if p in self.number:
-                ids.append(self.number[p])
-            elif self.byte:
-                ids.extend(self.byte[b] for b in p.encode())
-            elif not ids or ids[-1] != self.unknown or self.model.kind == BPE:
-                ids.append(self.unknown)
-        return tuple(ids)
+        ids = self.path[text][2] if len(text) <= SHORT else tuple(chain.from_iterable(map(self._ids, self.shortest_path(text))))
+        if not self.byte and self.model.kind == UNIGRAM:  # unknown characters in a row are one unknown piece
+            ids = tuple(i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i)
+        return ids
 
     def normalise(self, text: str) -> str:
         if self.model.squeeze_blanks:
