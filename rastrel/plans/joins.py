@@ -19,6 +19,16 @@ def unrolled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows of an unrolled side that may be broadcast; a row of a tiled box takes about 100 bytes.
+MOST_BROADCAST = 100_000
+
+
+def measured(df: DataFrame, rows: int) -> DataFrame:
+    """An unrolled side with its counted size: broadcast when that is small, so that the other side need not
+    be shuffled, else marked as ``unrolled``."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else unrolled(df)
+
+
 def lookup_join(
     rows: DataFrame,
     groups: DataFrame,
@@ -74,7 +84,8 @@ def points_in_boxes(
     """Range join as an equi join on tiles, followed by the exact test.
 
     ``boxes`` carries x_min, x_max, y_min, y_max. Points keep one row each; only boxes are
-    copied, once per tile touched, which is at most 1/tile**2 of the area they select.
+    copied, once per tile touched, which is at most 1/tile**2 of the area they select. The number of
+    copies is counted first: few are broadcast, many are shuffled with the points.
     """
     tiled_boxes = over_tiles(
         over_tiles(boxes, F.col("x_min"), F.col("x_max"), "_tx", tile),
@@ -84,7 +95,9 @@ def points_in_boxes(
         "_ty", tile_of(F.col(y), tile)
     )
     upper = (lambda c, hi: c <= hi) if closed else (lambda c, hi: c < hi)
-    joined = tiled_points.join(unrolled(tiled_boxes), [*on, "_ty", "_tx"])
+    tiles = lambda low, high: (tile_of(F.col(high), tile) - tile_of(F.col(low), tile) + 1).cast("bigint")
+    rows = boxes.agg(F.sum(tiles("x_min", "x_max") * tiles("y_min", "y_max")).alias("n")).first()["n"] or 0
+    joined = tiled_points.join(measured(tiled_boxes, rows), [*on, "_ty", "_tx"])
     return joined.where(
         (F.col(x) >= F.col("x_min")) & upper(F.col(x), F.col("x_max"))
         & (F.col(y) >= F.col("y_min")) & upper(F.col(y), F.col("y_max"))
