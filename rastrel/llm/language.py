@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rastrel.llm.common import Remembered, written
+
 UNKNOWN = "und"
 DOCUMENTS = 4000
 WORDS = 30_000
 LONGEST = 5
 #: Added to every count; words count as evidence up to this many when the score is made.
 PRIOR, EVIDENCE = 0.5, 20
-REMEMBERED = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words of a text counted at once.
 STRETCH = 1 << 20
@@ -74,10 +75,11 @@ def fit(labelled: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) ->
     The sample keeps ``documents`` rows of a language on average; the driver receives ``words`` counted words per language.
     """
     rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    totals = rows.groupBy("lang").count()
-    shares = totals.select("lang", (F.lit(float(documents)) / F.col("count")).alias("share"))
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     chance = F.xxhash64(F.lit(3), "text") / F.lit(2.0**64) + 0.5
-    sample = rows.withColumn("chance", chance).join(shares, "lang").filter("chance < share").select("lang", "text")
+    # shares as constants: joining them would shuffle every text by its language
+    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in totals.items() for v in (lang, documents / n)]), F.col("lang")) if totals else F.lit(0.0)
+    sample = rows.filter(chance < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -87,8 +89,8 @@ def fit(labelled: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) ->
         for lang, c in found.items():
             yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    languages = sorted(r["lang"] for r in totals.collect())
+    counted = written(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    languages = sorted(totals)
     most = [Counter({r["word"]: r["n"] for r in counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(words).collect()}) for lang in languages]
     word_keys, word_weights = _weights(most) if languages else ({}, np.zeros((0, 0)))
     gram_keys, gram_weights = [], []
@@ -108,37 +110,37 @@ def fit(labelled: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) ->
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.unseen = model, {}
+        self.model = model
+        self.grams = [{g: tuple(w[k].tolist()) for g, k in keys.items()} for keys, w in zip(model.grams, model.gram_weights, strict=True)]
+        self.unseen = Remembered(self.back_off)
 
-    def back_off(self, word: str) -> np.ndarray:
+    def back_off(self, word: str) -> tuple[float, ...]:
         """Mean log frequency of the known n-grams of the longest order that has any; zero without."""
         for n in range(LONGEST, 0, -1):
-            known = [k for g in grams(word, n) if (k := self.model.grams[n - 1].get(g)) is not None]
+            known = [w for g in grams(word, n) if (w := self.grams[n - 1].get(g)) is not None]
             if known:
-                return self.model.gram_weights[n - 1][known].mean(0)
-        return np.zeros(len(self.model.languages))
+                return tuple(sum(c) / len(known) for c in zip(*known, strict=True))
+        return (0.0,) * len(self.model.languages)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words_of(text) if text else None
         if not found or not self.model.languages:
             return UNKNOWN, 0.0
         known = self.model.words
-        rows, times = [], []
-        total = np.zeros(len(self.model.languages))
+        rows, times, others, counts = [], [], [], []
         for word, n in found.items():
             at = known.get(word)
             if at is not None:
                 rows.append(at)
                 times.append(n)
             else:
-                w = self.unseen.get(word)
-                if w is None:
-                    if len(self.unseen) >= REMEMBERED:
-                        self.unseen.clear()
-                    w = self.unseen[word] = self.back_off(word)
-                total += n * w
+                others.append(self.unseen[word])
+                counts.append(n)
+        total = np.zeros(len(self.model.languages))
         if rows:
             total += np.asarray(times, float) @ self.model.word_weights[rows]
+        if others:
+            total += np.asarray(counts, float) @ np.asarray(others)
         n = found.total()
         share = np.exp((total - total.max()) * min(n, EVIDENCE) / n)
         best = int(total.argmax())  # of equal ones the first in order of name
