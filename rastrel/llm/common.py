@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: tables, row keys, tables written in the shared folder, words and lines."""
+"""Helpers shared by the operators: tables, tables written in the shared folder, keys of rows and sites."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from rastrel.session import shared_folder
 
-#: The white space that separates words, and the letters that are made lower case.
-BLANKS = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -31,11 +26,6 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
-def plain_line(line: Column) -> Column:
-    """A line for comparing: each run of white space one blank, none at the ends, A-Z in lower case."""
-    return F.translate(F.trim(F.regexp_replace(line, BLANKS, " ")), UPPER, LOWER)
-
-
 def host(source: str = "source") -> Column:
     """The site a row is from, never null: rows without a source make up one site of their own."""
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))

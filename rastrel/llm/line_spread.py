@@ -8,11 +8,16 @@ task. The estimate settles lines far from the threshold; lines near it get an ex
 from __future__ import annotations
 
 import math
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import host, plain_line, text_key
+from rastrel.llm.common import host, text_key, written
 
 MIN_SITES = 10
 #: 2^10 registers: a standard error of 3 %. Estimates within BAND of the threshold are counted exactly.
@@ -28,10 +33,27 @@ def _estimate(ranks: Column, used: Column, registers: int) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text key, site, position and 128-bit hash of every line that is not blank."""
-    split = docs.select("doc_id", text_key().alias("tk"), host().alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    plain = split.withColumn("line", plain_line(F.col("line"))).filter("line <> ''")
-    return plain.select("doc_id", "tk", "site", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    """doc_id, text key, site, position and 128-bit hash of every line that is not blank, written once."""
+    rows = docs.select("doc_id", text_key().alias("tk"), host().alias("site"), F.col("text").cast("binary").alias("text")).filter("text IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pos, marks = array("i"), array("i"), []
+            for k, text in enumerate(batch.column(3)):
+                for i, line in enumerate(text.as_buffer().to_pybytes().split(b"\n")):
+                    plain = b" ".join(line.split()).lower()  # of bytes: only A-Z, and white space of ASCII
+                    if plain:
+                        row.append(k)
+                        pos.append(i)
+                        marks.append(xxhash.xxh3_128_digest(plain))
+            own = pa.array(np.frombuffer(row, np.int32))
+            halves = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+            yield pa.record_batch(
+                [*(c.take(own) for c in batch.columns[:3]), pa.array(np.frombuffer(pos, np.int32)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                names=["doc_id", "tk", "site", "pos", "a", "b"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return written(rows.mapInArrow(run, f"doc_id {kind}, tk long, site string, pos int, a long, b long"), "lines")
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, bits: int = REGISTER_BITS, band: float = BAND) -> DataFrame:
@@ -47,8 +69,8 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, bits: int = REGIS
         F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("ranks"), F.count("*").alias("used"), F.min("first").alias("first"))
     sized = merged.select("a", "b", "first", _estimate(F.col("ranks"), F.col("used"), registers).alias("sites")).filter(F.col("sites") >= low)
     near = sized.filter(F.col("sites") <= high)
-    exact = lines.join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b", "site").count()
-    exact = exact.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites)
+    # one row per line and site comes before the join, so a line on every site never meets in one task
+    exact = lines.groupBy("a", "b", "site").count().join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites)
     kept = near.join(exact, ["a", "b"], "left_semi")
     return sized.filter(F.col("sites") > high).union(kept).select("a", "b", "first")
 
