@@ -105,3 +105,34 @@ def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float
     return rows.join(gone, "row_id", "left").select(
         "doc_id", *COUNTS, left.alias("chars_left"), base.alias("base_failed"),
         (~base & (left >= min_left * F.col("word_chars"))).alias("kept"))
+
+
+#: The same rows in DuckDB.
+SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '-') AS host, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (
+  SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY k) AS i FROM (
+    SELECT rid, unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), 1) AS k FROM d)
+  WHERE word <> ''),
+n AS (SELECT rid, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM w GROUP BY rid),
+f AS (
+  SELECT rid, i, word AS a, lead(word, 1) OVER p AS b, lead(word, 2) OVER p AS c, lead(word, 3) OVER p AS e, lead(word, 4) OVER p AS g FROM w
+  WINDOW p AS (PARTITION BY rid ORDER BY i)),
+t AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c, e, g) AS m FROM f WHERE g IS NOT NULL) WHERE m > 1),
+r AS (SELECT rid, count(DISTINCT i + j.range) AS n_repeat_words FROM t, range(5) j GROUP BY rid),
+l AS MATERIALIZED (
+  SELECT rid, host, text, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+    translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS plain
+  FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+u AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
+h AS (SELECT host, count(DISTINCT text) AS total FROM d GROUP BY host),
+o AS (SELECT host, plain FROM l JOIN h USING (host) GROUP BY host, plain, total HAVING count(DISTINCT text) > {MIN_DOCUMENTS} AND count(DISTINCT text) > {MAX_SHARE} * total),
+g AS (SELECT rid, sum(chars)::BIGINT AS gone FROM l JOIN o USING (host, plain) GROUP BY rid),
+a AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(word_chars, 0) - coalesce(gone, 0) AS chars_left
+  FROM d LEFT JOIN n USING (rid) LEFT JOIN u USING (rid) LEFT JOIN r USING (rid) LEFT JOIN g USING (rid)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND chars_left >= {MIN_LEFT} * word_chars AS kept FROM b
+"""

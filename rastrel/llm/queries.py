@@ -76,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_tree_marginals, op2_spaced_seeds, op3_trigram_secrets, op4_piece_paths, op5_language_back_off, op6_line_spread,
         op7_hypergeometric_shards, op8_merkle_audit, op9_simhash_components, op10_line_quality)
 }
-CHECKS: dict[str, str] = {"op3_trigram_secrets": secrets.check_sql(), "op6_line_spread": line_spread.SQL, "op8_merkle_audit": fixity.SQL}
+CHECKS: dict[str, str] = {"op3_trigram_secrets": secrets.check_sql(), "op6_line_spread": line_spread.SQL, "op8_merkle_audit": fixity.SQL,
+    "op10_line_quality": line_quality.SQL}
