@@ -100,15 +100,19 @@ def percentiles(
 
 
 def rank_within(
-    df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 65536
+    df: DataFrame, keys: Sequence[str], order: str, name: str, rows: int = 65536
 ) -> DataFrame:
     """1-based position of a row among its group by an integer column unique in the group.
 
-    Rows are numbered inside stretches of ``width`` order values and shifted by the number of
-    rows in earlier stretches.
+    Rows are numbered inside stretches of order values and shifted by the number of rows in earlier
+    stretches. Stretches are as wide as holds ``rows`` of all rows on average, from the measured range and
+    count, so sparse order values (hashes, times) don't make a stretch of every row.
     """
     ks = [q(k) for k in keys]
-    cut = df.withColumn("_s", F.floor(q(order) / width))
+    value = q(order).cast("double")
+    wide = F.greatest(F.lit(1.0), (F.max(value) - F.min(value) + 1) / F.count(F.lit(1)) * rows)
+    stats = df.agg(F.struct(F.min(value).alias("low"), wide.alias("wide")).alias("s")).scalar()
+    cut = df.withColumn("_m", stats).withColumn("_s", F.floor((value - F.col("_m.low")) / F.col("_m.wide"))).drop("_m")
     sizes = cut.groupBy(*ks, "_s").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*ks).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rastrel.plans.ranks import percentiles
+from rastrel.plans.ranks import percentiles, rank_within
 
 POINTS = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
 INF, NAN = math.inf, math.nan
@@ -48,3 +48,15 @@ def test_zeros_that_are_not_stored(spark):
     for g, values in {"a": [5.0, -1.0] + [0.0] * 6, "b": [2.0], "c": [0.0] * 3}.items():
         for name, p in POINTS.items():
             assert got[g][name] == pytest.approx(float(np.percentile(values, 100 * p)))
+
+
+@pytest.mark.parametrize("rows", [1, 7, 65536])
+def test_positions_of_sparse_and_dense_orders(spark, rows):
+    numbers = [k * k * 7919 % 10**12 - 5 * 10**11 for k in range(300)] + list(range(50))
+    data = sorted({(k % 3, v) for k, v in enumerate(numbers)} | {(9, -(2**62)), (9, 2**62)})
+    df = spark.createDataFrame(data, "g int, o long").repartition(4)
+    got = {(r["g"], r["o"]): r["n"] for r in rank_within(df, ["g"], "o", "n", rows).collect()}
+    want = {}
+    for g, o in data:
+        want[g, o] = sum(1 for h, p in data if h == g and p <= o)
+    assert got == want
