@@ -129,8 +129,8 @@ def take_smallest(
 ) -> DataFrame:
     """The ``count`` rows with the smallest 64-bit ``order`` value per group, exactly.
 
-    Meant for hash orders (sampling): the top bits of the hash give the buckets, and only the
-    bucket in which the count is reached is numbered.
+    Meant for hash orders (sampling): the top bits of the hash give the buckets, and rows are
+    numbered inside the buckets up to the one in which the count is reached.
     """
     ks = [q(k) for k in keys]
     cut = df.withColumn("_s", F.shiftright(q(order), shift))
@@ -143,12 +143,7 @@ def take_smallest(
         .drop("_n")
     )
     kept = cut.join(useful, [*keys, "_s"])
-    whole = kept.where(F.col("_end") <= count)
+    # only rows of useful buckets are left, about as many as are wanted
     inside = Window.partitionBy(*ks, "_s").orderBy(q(order))
-    partial = (
-        kept.where(F.col("_end") > count)
-        .withColumn("_r", F.row_number().over(inside))
-        .where(F.col("_r") <= F.col("_room"))
-        .drop("_r")
-    )
-    return whole.unionByName(partial).drop("_s", "_end", "_room")
+    ranked = kept.withColumn("_r", F.row_number().over(inside))
+    return ranked.where((F.col("_end") <= count) | (F.col("_r") <= F.col("_room"))).drop("_s", "_end", "_room", "_r")
