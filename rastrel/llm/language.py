@@ -27,6 +27,8 @@ WORDS = 30_000
 LONGEST = 5
 #: Added to every count; words count as evidence up to this many when the score is made.
 PRIOR, EVIDENCE = 0.5, 20
+#: Unseen words a worker remembers.
+UNSEEN = 80_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words of a text counted at once.
 STRETCH = 1 << 20
@@ -112,7 +114,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.grams = [{g: tuple(w[k].tolist()) for g, k in keys.items()} for keys, w in zip(model.grams, model.gram_weights, strict=True)]
-        self.unseen = Remembered(self.back_off)
+        self.unseen = Remembered(self.back_off, UNSEEN)
 
     def back_off(self, word: str) -> tuple[float, ...]:
         """Mean log frequency of the known n-grams of the longest order that has any; zero without."""
