@@ -120,16 +120,25 @@ def candidates(texts: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     return whole.filter("n = need").select("kind", "k1", "k2").distinct()
 
 
-def _pieces(texts: DataFrame, rule: Rule) -> DataFrame:
-    """One row per match: its number in the text, the characters between it and the one before, its own and its group's."""
+MATCHES = "array<struct<kind: string, i: int, before: int, own: int, good: boolean>>"
+
+
+def _matches(rule: Rule, wanted: Column) -> Column:
+    """A struct per match: its number in the text, the characters between it and the one before, its own, and whether it is kept."""
     pattern = F.lit(rule.pattern)
     cut = F.arrays_zip(
         F.split("text", rule.pattern, -1).alias("before"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("all"),
         F.regexp_extract_all("text", pattern, F.lit(rule.group)).alias("value"))
-    each = texts.filter(F.col("text").rlike(rule.pattern)).select("k1", "k2", F.posexplode(cut).alias("i", "m"))
-    return each.filter(F.col("m.all").isNotNull()).select(
-        F.lit(rule.kind).alias("kind"), "k1", "k2", "i", F.length("m.before").alias("before"), F.length("m.all").alias("own"),
-        (F.length("m.value") >= rule.least).alias("good"))
+    each = F.transform(F.filter(cut, lambda m: m["all"].isNotNull()), lambda m, i: F.struct(
+        F.lit(rule.kind).alias("kind"), i.alias("i"), F.length(m["before"]).alias("before"), F.length(m["all"]).alias("own"),
+        (F.length(m["value"]) >= rule.least).alias("good")))
+    return F.when(wanted & F.col("text").rlike(rule.pattern), each.cast(MATCHES)).otherwise(F.array().cast(MATCHES))
+
+
+def _searched(texts: DataFrame, rules: list[tuple[Rule, Column]]) -> DataFrame:
+    """The matches of several rules by one pass over the texts."""
+    found = F.flatten(F.array(*[_matches(r, wanted) for r, wanted in rules]))
+    return texts.select("k1", "k2", F.explode(found).alias("m")).select("k1", "k2", "m.*")
 
 
 def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,16 +150,13 @@ def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     texts = docs.select("text", *_keys()).filter("text IS NOT NULL")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    found = candidates(texts, queries) if queries else None
     parts = []
-    for rule in rules:
-        own = texts
-        if rule.kind in queries:
-            own = texts.join(found.filter(F.col("kind") == rule.kind).select("k1", "k2"), ["k1", "k2"], "left_semi")
-        parts.append(_pieces(own, rule))
-    each = parts[0]
-    for p in parts[1:]:
-        each = each.union(p)
+    if queries:
+        found = candidates(texts, queries).groupBy("k1", "k2").agg(F.collect_set("kind").alias("kinds"))
+        parts.append(_searched(texts.join(found, ["k1", "k2"]), [(r, F.array_contains("kinds", r.kind)) for r in rules if r.kind in queries]))
+    if rest := [(r, F.lit(True)) for r in rules if r.kind not in queries]:
+        parts.append(_searched(texts, rest))
+    each = parts[0].union(parts[1]) if len(parts) == 2 else parts[0]
     before = Window.partitionBy("k1", "k2", "kind").orderBy("i")
     ended = each.distinct().withColumn("end", F.sum(F.col("before") + F.col("own")).over(before))
     return ended.filter("good").select("k1", "k2", "kind", (F.col("end") - F.col("own")).alias("start"), "end")
