@@ -28,7 +28,16 @@ PRIOR = 0.5
 
 #: The kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object select button".split())
+RAW = frozenset("script style iframe textarea".split())
+#: Elements that never hold main text, with the elements that are their own parts.
+APART = {
+    "noscript": frozenset(), "template": frozenset(), "object": frozenset(), "button": frozenset(),
+    "select": frozenset("option optgroup".split()),
+    "svg": frozenset("g defs symbol path rect circle ellipse line polyline polygon text tspan title desc style use mask filter marker pattern stop "
+                     "lineargradient radialgradient clippath foreignobject image animate".split()),
+    "math": frozenset("mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot munder mover munderover mtable mtr mtd mstyle semantics "
+                      "annotation annotation-xml mpadded mphantom menclose mmultiscripts".split()),
+}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var".split())
@@ -69,14 +78,67 @@ def _leaf_facts(text: str, linked: int) -> list[str]:
     return [f"words:{_step(words, (1, 3, 6, 12, 25, 60))}", f"links:{_step(linked / len(text), (0.0, 0.3, 0.7))}", f"closed:{closed}", f"sign:{sign}"]
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    end = re.compile(f"</{name}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _apart_ends(page: str) -> dict[int, int]:
+    """Where each element of APART ends, by the end of its start tag: after its own end tag, or, if its container or the page ends
+    before that, at the first tag that is neither inline nor one of its parts. Elements that close themselves end at once."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    depths: Counter = Counter()  # of each name on the stack
+    whole: list[int] = []  # places on the stack of the elements of APART that no such tag has followed so far
+    at = 0
+    while token := TOKEN.search(page, at):
+        at = token.end()
+        name = (token[2] or "").lower()
+        if not name or name in INLINE or name in VOID and name != "hr":
+            continue
+        if whole:
+            held = {stack[k][0] for k in whole}
+            own = name in APART[stack[whole[-1]][0]]
+            if not (own or (name in held if token[1] else name in APART and name not in held)):
+                for k in whole:
+                    ends[stack[k][1]] = token.start()
+                whole.clear()
+        if token[1]:
+            while depths[name]:
+                last, start = stack.pop()
+                depths[last] -= 1
+                if whole and whole[-1] == len(stack):
+                    whole.pop()
+                    ends[start] = token.start()
+                if last == name:
+                    if name in APART:
+                        ends[start] = at
+                    break
+        elif name in RAW:
+            at = _raw_end(page, name, at)
+        elif (token[3] or "").endswith("/"):
+            if name in APART:
+                ends[at] = at
+        elif name not in VOID:
+            if name in APART:
+                whole.append(len(stack))
+            stack.append((name, at))
+            depths[name] += 1
+    for k in whole:
+        ends[stack[k][1]] = len(page)
+    return ends
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page. Markup left open is closed where its container ends; stray end tags are passed over."""
+    """The tree of a page. Markup left open is closed where its container ends; stray end tags are passed over. Elements of APART give no
+    nodes; one that is never closed takes along what it begins with, not the blocks after it."""
     tree = Tree()
     root = tree.add(-1, None, ["tag:#page"], False)
     stack: list[tuple[str, int, bool]] = [("#page", root, False)]
     run: list[str] = []
     linked, links = 0, 0
     at = 0
+    apart: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -100,8 +162,12 @@ def parse(page: str) -> Tree:
         if not name:
             continue
         if name in RAW and not token[1]:
-            end = re.compile(f"</{name}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = _raw_end(page, name, at)
+        elif name in APART:
+            if not token[1]:
+                if apart is None:
+                    apart = _apart_ends(page)
+                at = apart[at]
         elif name == "br":
             run.append(" ")
         elif name in INLINE:

@@ -84,3 +84,26 @@ def test_alignment():
     page = "<body><nav><a>Home</a></nav><div class=x><h1>The head of it</h1><p>The head of it all.</p><p>Second line.</p></div><div class=ad>Another line.</div></body>"
     tree, labels = main_text.aligned_labels(page, "The head of it all.\nSecond line.")
     assert [labels[k] for k, t in enumerate(tree.text) if t] == [0, 1, 1, 1, 0]
+
+
+STORY = """<article><h1>Snow in May</h1><p>Snow fell in the hills on Tuesday, to the surprise of everybody who had planted beans.</p>
+<p>Farmers hope for a warm June, which would save what is left of the barley.</p><button>Share</button><svg><title>Mark</title></svg></article>"""
+
+
+@pytest.mark.parametrize("before", [
+    '<svg class="icon"/>', "<math/>", "<button>Menu", "<div><button>Menu</div>", "<nav><button><svg><path d='m'/></svg>Menu</nav>", "<object data='x'>",
+    "<select><option>One<option>Two", "<div><select><optgroup><option>One</div>", "<noscript>", "<template>", "<svg><g><path d='m'><title>Mark</title>",
+    "<math><mi>x</mi>", "<button>Menu<hr>", "<button>A<button>B", "<svg><circle/></g>",
+])
+def test_elements_left_open(model, before):
+    want = main_text.extract(f"<body>{STORY}</body>", model)
+    assert len(want) == 3 and want[0] == "Snow in May"
+    for after in ("", "<button>x</button><object></object><select></select><noscript></noscript>"):
+        page = f"<body>{before}{STORY}{after}</body>"
+        assert main_text.extract(page, model) == want
+        assert not {"Share", "Mark", "Menu", "x"} & set(main_text.parse(page).text)
+
+
+def test_closed_elements_hold_no_text():
+    page = "<p>a</p><noscript><div><p>b</p></noscript><object><object>c</object><p>d</p></object><svg><svg></svg><text>e</text></svg><select><option>f</select><button><div>g</div></button><template><li>h</template><p>i"
+    assert [t for t in main_text.parse(page).text if t] == ["a", "i"]
