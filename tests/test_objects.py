@@ -160,7 +160,7 @@ def test_percentiles_match_numpy(spark):
 
 def test_rank_within_hot_group(spark):
     df = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), (F.col("id") * 7).alias("o"))
-    ranked = rank_within(df, ["g"], "o", "n", width=500)
+    ranked = rank_within(df, ["g"], "o", "n", rows=500)
     hot = [r.n for r in ranked.where("g = 'hot'").orderBy("o").collect()]
     assert hot == list(range(1, len(hot) + 1))
     assert ranked.count() == 10_000
