@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import decontaminate, fixity, language, line_quality, line_spread, main_text, pieces, secrets, sharding, simhash
+from rastrel.llm import block_naming, decontaminate, fixity, language, line_quality, line_spread, main_text, pieces, secrets, sharding, simhash
 from rastrel.llm.common import table
 
 
@@ -71,10 +71,15 @@ def op10_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality.judge(table(spark, folder, "documents"))
 
 
+def op11_block_naming(spark: SparkSession, folder: str) -> DataFrame:
+    out = block_naming.duplicates(table(spark, folder, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_tree_marginals, op2_spaced_seeds, op3_trigram_secrets, op4_piece_paths, op5_language_back_off, op6_line_spread,
-        op7_hypergeometric_shards, op8_merkle_audit, op9_simhash_components, op10_line_quality)
+        op7_hypergeometric_shards, op8_merkle_audit, op9_simhash_components, op10_line_quality, op11_block_naming)
 }
 CHECKS: dict[str, str] = {"op3_trigram_secrets": secrets.check_sql(), "op6_line_spread": line_spread.SQL, "op8_merkle_audit": fixity.SQL,
-    "op10_line_quality": line_quality.SQL}
+    "op10_line_quality": line_quality.SQL, "op11_block_naming": block_naming.SQL}

@@ -13,5 +13,5 @@ def test_query_agrees(spark, sf, name):
     assert difference(QUERIES[name](spark, sf), duck(sf), CHECKS[name]) is None
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
