@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrel.llm import block_naming, conversations, decontaminate, fixity, language, line_quality, line_spread, main_text, pieces, secrets, sharding, simhash
+from rastrel.llm import block_naming, conversations, cross_tokens, decontaminate, fixity, language, line_quality, line_spread, main_text, pieces, secrets, sharding, simhash
 from rastrel.llm.common import table
 
 
@@ -76,6 +76,14 @@ def op11_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+#: The byte-level vocabulary of the registered queries.
+BYTES = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op12_cross_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_tokens.align(table(spark, folder, "documents"), cross_tokens.load(spark, f"file://{BYTES}", f"file://{PIECES}"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations")
     return conversations.repair(conversations.damage(rows), rows)
@@ -84,7 +92,7 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_tree_marginals, op2_spaced_seeds, op3_trigram_secrets, op4_piece_paths, op5_language_back_off, op6_line_spread,
-        op7_hypergeometric_shards, op8_merkle_audit, op9_simhash_components, op10_line_quality, op11_block_naming, op13_conversation_repair)
+        op7_hypergeometric_shards, op8_merkle_audit, op9_simhash_components, op10_line_quality, op11_block_naming, op12_cross_tokens, op13_conversation_repair)
 }
 CHECKS: dict[str, str] = {"op3_trigram_secrets": secrets.check_sql(), "op6_line_spread": line_spread.SQL, "op8_merkle_audit": fixity.SQL,
     "op10_line_quality": line_quality.SQL, "op11_block_naming": block_naming.SQL}
