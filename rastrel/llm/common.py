@@ -21,6 +21,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of small keys that may be broadcast (about 50 bytes each).
+FEW = 1_000_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table of keys, counted: broadcast while it is small, so that the texts it meets stay where they are; else exchanged."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def text_key(text: str | Column = "text") -> Column:
     """64 bits that stand for a text next to its doc_id; null has its own value."""
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)

@@ -1,14 +1,16 @@
 """Language identification, words first: known words score by their log frequency in each language; an unseen word falls back to
 its longest character n-grams that are known, then to shorter ones.
 
-The model is fitted on a bounded sample of labelled rows (``DOCUMENTS`` per language, chosen by a hash of the text so that it
-does not depend on the layout) and holds ``WORDS`` words per language at most; both bounds are parameters. It is then small
-enough to be broadcast, and every row is predicted from its whole text.
+The model is fitted on a bounded sample of labelled rows (``DOCUMENTS`` per language, a parameter, chosen by a hash of the text so that
+it does not depend on the layout) and holds all words and n-grams of that sample, which Spark counts. It is then small enough to be
+broadcast, and every row is predicted from its whole text.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,28 +24,42 @@ from pyspark.sql import functions as F
 from rastrel.llm.common import Remembered, written
 
 UNKNOWN = "und"
-DOCUMENTS = 4000
-WORDS = 30_000
+DOCUMENTS = 1500
 LONGEST = 5
 #: Added to every count; words count as evidence up to this many when the score is made.
 PRIOR, EVIDENCE = 0.5, 20
 #: Unseen words a worker remembers.
 UNSEEN = 80_000
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Words of a text counted at once.
+#: Characters of a text whose words are counted at once.
 STRETCH = 1 << 20
 
 
+def _class(kind: str) -> str:
+    """All characters of a general category, as ranges of a pattern's character class."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+    ranges = np.split(np.array(found), np.flatnonzero(np.diff(found) > 1) + 1)
+    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in ranges)
+
+
+#: A letter, and the letters and marks that follow it; digits and number signs are none.
+LETTERS = re.compile(f"[{(_letters := _class('L'))}][{_letters}{(_marks := _class('M'))}]*")
+_BREAK = re.compile(f"[^{_letters}{_marks}]")
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """0 to 3 from the doc_id as text; a null id is fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4, F.lit(0))
 
 
 def words_of(text: str) -> Counter:
-    """Runs of letters in lower case, with their counts."""
+    """Words in lower case, with their counts; stretches of a long text end between words."""
     found: Counter = Counter()
-    for k in range(0, len(text), STRETCH):
-        found.update(LETTERS.findall(text[k : k + STRETCH].lower()))
+    at = 0
+    while at < len(text):
+        end = _BREAK.search(text, at + STRETCH) if at + STRETCH < len(text) else None
+        stop = end.start() if end else len(text)
+        found.update(LETTERS.findall(text[at:stop].lower()))
+        at = stop
     return found
 
 
@@ -71,10 +87,11 @@ def _weights(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
     return keys, np.log(table / table.sum(0))
 
 
-def fit(labelled: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) -> Model:
+def fit(labelled: DataFrame, documents: int = DOCUMENTS) -> Model:
     """From the columns text and lang; rows with a null in either are left out. Without any rows the model knows no language.
 
-    The sample keeps ``documents`` rows of a language on average; the driver receives ``words`` counted words per language.
+    The sample keeps ``documents`` rows of a language on average, of any length; the driver receives the sample's distinct words and
+    n-grams with their counts.
     """
     rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -83,31 +100,47 @@ def fit(labelled: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) ->
     share = F.element_at(F.create_map(*[F.lit(v) for lang, n in totals.items() for v in (lang, documents / n)]), F.col("lang")) if totals else F.lit(0.0)
     sample = rows.filter(chance < share).select("lang", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = defaultdict(Counter)
-        for batch in batches:
-            for lang, text in zip(*batch.to_pydict().values(), strict=True):
-                found[lang].update(words_of(text))
-        for lang, c in found.items():
-            yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "word", "n"])
+    def counted(of):
+        """Sums per language and key what ``of`` gives for each row (key, n); a task passes on each key once in a while."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[str, Counter] = defaultdict(Counter)
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for lang, c in found.items():
+                    yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "key", "n"])
+                found.clear()
+
+            for batch in batches:
+                for row in zip(*batch.to_pydict().values(), strict=True):
+                    of(found[row[0]], *row[1:])
+                if sum(map(len, found.values())) > UNSEEN * 4:
+                    yield from out()
+            yield from out()
 
-    counted = written(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+        return run
+
+    def of_text(found: Counter, text: str) -> None:
+        found.update(words_of(text))
+
+    def of_word(found: Counter, word: str, n: int) -> None:
+        for size in range(1, LONGEST + 1):
+            for g in grams(word, size):
+                found[f"{size}{g}"] += n
+
+    words = written(sample.mapInArrow(counted(of_text), "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
+    parts = words.mapInArrow(counted(of_word), "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     languages = sorted(totals)
-    most = [Counter({r["word"]: r["n"] for r in counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(words).collect()}) for lang in languages]
-    word_keys, word_weights = _weights(most) if languages else ({}, np.zeros((0, 0)))
-    gram_keys, gram_weights = [], []
-    for n in range(1, LONGEST + 1):
-        found = []
-        for c in most:
-            own: Counter = Counter()
-            for word, k in c.items():
-                for g in grams(word, n):
-                    own[g] += k
-            found.append(own)
-        keys, weights = _weights(found) if languages else ({}, np.zeros((0, 0)))
-        gram_keys.append(keys)
-        gram_weights.append(weights)
-    return Model(languages, word_keys, word_weights, gram_keys, gram_weights)
+
+    def tables(frame: DataFrame, sizes: list[str]) -> list[tuple[dict[str, int], np.ndarray]]:
+        found = {size: {lang: {} for lang in languages} for size in sizes}
+        for lang, key, n in zip(*frame.toArrow().to_pydict().values(), strict=True):
+            size = key[: len(sizes[0])]
+            found[size][lang][key[len(size) :]] = n
+        return [_weights([Counter(found[size][lang]) for lang in languages]) if languages else ({}, np.zeros((0, 0))) for size in sizes]
+
+    (word_keys, word_weights), = tables(words.select("lang", "key", "n"), [""])
+    by_size = tables(parts.select("lang", "key", "n"), [str(n) for n in range(1, LONGEST + 1)])
+    return Model(languages, word_keys, word_weights, [k for k, _ in by_size], [w for _, w in by_size])
 
 
 class Scorer:
@@ -152,8 +185,8 @@ class Scorer:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (a struct of all columns), ``lang_pred`` and ``score`` for every row, from the text alone.
 
-    ``und`` with score 0 if the text is null or has no letter; of equal languages the first by name. Repeated rows are predicted
-    each; an empty table gives an empty result.
+    ``und`` with score 0 if the text is null or has no letter; of equal languages the first by name. Very long texts are read whole, in
+    stretches. Repeated rows are predicted each; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -20,8 +20,9 @@ from rastrel.llm.common import host, written
 
 WINDOW, MIN_WORDS, MAX_REPEATED = 5, 10, 20
 SYMBOLS = b"#*$%&|<>"
-#: A line goes if over MIN_DOCUMENTS distinct texts of its host, and over MAX_SHARE of them, have it.
-MIN_DOCUMENTS, MAX_SHARE = 20, 0.02
+#: A line goes if over MIN_DOCUMENTS distinct texts of its host have it and these are over MAX_SHARE of the host's, or over MOST_DOCUMENTS
+#: in any case: on a large host the limit doesn't grow beyond that.
+MIN_DOCUMENTS, MAX_SHARE, MOST_DOCUMENTS = 20, 0.02, 1000
 #: A document is depleted if less than this share of its word characters is left.
 MIN_LEFT = 0.2
 
@@ -87,7 +88,8 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA.format(id=dict(docs.dtypes)["doc_id"]))
 
 
-def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT,
+          most_documents: int = MOST_DOCUMENTS) -> DataFrame:
     """doc_id, the counts, ``chars_left`` (word characters outside lines above the limit), base_failed and kept for every row.
 
     Lines are compared without regard to case of A-Z and to the length of white space. Rows without a source are one host. Null
@@ -98,7 +100,7 @@ def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float
     lines = rows.select("row_id", "host", "tk", F.explode("lines").alias("line")).select("row_id", "host", "tk", "line.h", "line.chars")
     texts = lines.groupBy("host", "h", "tk").count().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
     hosts = rows.groupBy("host", "tk").count().groupBy("host").agg(F.count("*").alias("total"))
-    over = texts.join(hosts, "host").filter(F.col("n") > max_share * F.col("total")).select("host", "h")
+    over = texts.join(hosts, "host").filter((F.col("n") > max_share * F.col("total")) | (F.col("n") > most_documents)).select("host", "h")
     gone = lines.join(over, ["host", "h"]).groupBy("row_id").agg(F.sum("chars").alias("gone"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     left = F.col("word_chars") - F.coalesce("gone", F.lit(0))
@@ -127,7 +129,7 @@ l AS MATERIALIZED (
   FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 u AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
 h AS (SELECT host, count(DISTINCT text) AS total FROM d GROUP BY host),
-o AS (SELECT host, plain FROM l JOIN h USING (host) GROUP BY host, plain, total HAVING count(DISTINCT text) > {MIN_DOCUMENTS} AND count(DISTINCT text) > {MAX_SHARE} * total),
+o AS (SELECT host, plain FROM l JOIN h USING (host) GROUP BY host, plain, total HAVING count(DISTINCT text) > {MIN_DOCUMENTS} AND (count(DISTINCT text) > {MAX_SHARE} * total OR count(DISTINCT text) > {MOST_DOCUMENTS})),
 g AS (SELECT rid, sum(chars)::BIGINT AS gone FROM l JOIN o USING (host, plain) GROUP BY rid),
 a AS (
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,

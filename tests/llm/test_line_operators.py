@@ -62,7 +62,7 @@ def slow_measure(text: str | None) -> tuple:
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside)
 
 
-def slow_judge(rows, least: int, share: float, left: float) -> list[tuple]:
+def slow_judge(rows, least: int, share: float, left: float, most: int = line_quality.MOST_DOCUMENTS) -> list[tuple]:
     texts, totals = defaultdict(set), defaultdict(set)
     own = lambda t: [plain(x) for x in (t or "").split("\n") if plain(x)]
     for r in rows:
@@ -72,7 +72,7 @@ def slow_judge(rows, least: int, share: float, left: float) -> list[tuple]:
     out = []
     for r in rows:
         m = slow_measure(r["text"])
-        over = sum(len(x.replace(" ", "")) for x in own(r["text"]) if len(texts[r["source"], x]) > max(least, share * len(totals[r["source"]])))
+        over = sum(len(x.replace(" ", "")) for x in own(r["text"]) if len(texts[r["source"], x]) > max(least, min(most, share * len(totals[r["source"]]))))
         base = m[0] < 10 or 100 * m[4] > 20 * m[0]
         out.append((r["doc_id"], *m, m[1] - over, base, not base and m[1] - over >= left * m[1]))
     return sorted(out, key=str)
@@ -98,6 +98,18 @@ def test_depleted_documents_go(spark):
     assert kept[99] and not kept[2] and kept[1]
 
 
+def test_limit_of_a_hot_host(spark):
+    """A host a thousand times larger than the others has the same limit in documents from a size on."""
+    bar = "this line stands on many pages of one host and says nothing new"
+    rows = [(k, f"own text {k} of this page\n" + (bar if k < 60 else ""), "hot") for k in range(5000)]
+    rows += [(9000 + k, f"own text {k} of this page\n" + (bar if k < 4 else ""), f"s{k % 5}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (50, 1000):
+        got = sorted(map(tuple, line_quality.judge(df, 3, 0.02, 0.6, most).collect()), key=str)
+        assert got == slow_judge(df.collect(), 3, 0.02, 0.6, most)
+        assert sum(r[6] < r[2] for r in got) == (60 if most == 50 else 0)
+
+
 def test_repeated_windows_of_many_words():
     words = [b"%d" % (k * k % 5003) for k in range(9000)] + [b"a b c d e f".split()[k % 6] for k in range(40)]
     text = b" ".join(words)
