@@ -236,6 +236,20 @@ class Aligner:
         return np.concatenate(numbers or [np.zeros(0, np.int64)]), np.cumsum([0, *map(len, numbers)])
 
 
+#: The aligner of this worker process; loading the two libraries takes as long as some thousand texts.
+_LOADED: dict[tuple, Aligner] = {}
+
+
+def loaded(tokenizers: Tokenizers, texts: bool = True) -> Aligner:
+    """An aligner that knows no stretch yet; a worker keeps the last one it loaded."""
+    key = (hash(tokenizers), texts)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Aligner(tokenizers, texts)
+    _LOADED[key].clear()
+    return _LOADED[key]
+
+
 def pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows with about STEP bytes of text: the first row's number and the texts."""
     first, out, size = 0, [], 0
@@ -328,7 +342,7 @@ def counted_pairs(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Aligner(shared.value, texts=False)
+        own = loaded(shared.value, texts=False)
         counts, part = np.zeros(0, np.int64), TaskContext.get().partitionId() << 24
 
         def flush() -> pa.RecordBatch:
@@ -361,6 +375,7 @@ def counted_pairs(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
                     counts, part = np.zeros(0, np.int64), part + 1
         if len(counts):
             yield flush()
+        own.clear()
 
     return docs.select("text").mapInArrow(run, "bucket int, part long, keys binary, counts binary")
 
@@ -437,7 +452,7 @@ def _look_up(docs: DataFrame, tokenizers: Tokenizers, block: DataFrame, best: np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given, rows, best = shared.value
-        own, index = Aligner(given), Index([r[:4] for r in rows])
+        own, index = loaded(given), Index([r[:4] for r in rows])
         counts = np.concatenate([np.frombuffer(r[4], np.int64) for r in rows] or [np.zeros(0, np.int64)])
         sums = np.zeros((0, 2), np.int64)  # n_best and count_sum of each stretch
 
@@ -471,6 +486,7 @@ def _look_up(docs: DataFrame, tokenizers: Tokenizers, block: DataFrame, best: np
                 if own.full():
                     own.clear()
                     sums = np.zeros((0, 2), np.int64)
+        own.clear()
 
     schema = f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in (*FACTS, "n_best", "count_sum")) + ", groups_sha256 string"
     return docs.select("rid", "doc_id", "text").mapInArrow(run, schema)
