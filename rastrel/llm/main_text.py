@@ -240,12 +240,6 @@ LAYOUTS = (
     <div class="pagination pager"><a>Previous</a><a>Next</a></div><div class="toc"><ul><li><a>Find the hole</a></li><li><a>Close it</a></li></ul></div></div>
     <div role="complementary" class="banner sponsor promotion"><p>This guide was paid for by a maker of tyres and patches.</p></div>
     <div class="feedback responses"><p>It took me four attempts, but now the tyre holds and I can ride again.</p></div><div role="contentinfo"><p>Imprint and privacy</p></div></body>""",
-    """<body><div><a>Start</a> <a>Archive</a> <a>About</a></div><div data-main><div>The ferry</div><div>The ferry to the island leaves twice a day, at eight in the morning and again at four, from the old pier behind the market.</div>
-    <div>In winter it stays in the harbour when the wind blows from the north, which happens often.</div><div>Nobody has ever drowned.</div></div><div><a>Next page</a></div><div>© 2019 | All rights reserved</div></body>""",
-    """<html><body><p><a>Home</a> · <a>Lists</a></p><div data-main><h1>What to take along</h1><ul><li>A warm coat, because nights in the hills are cold even in the summer.</li><li>Two pairs of socks</li><li>A knife and some string</li>
-    <li>Enough bread for three days, since there is no shop on the way.</li></ul><ol><li>Pack the heavy things first.</li><li>Close the bag.</li></ol></div><ul><li><a>Other lists</a></li><li><a>Contact</a></li></ul></body></html>""",
-    """<body><table><tr><td><a>Index</a></td><td><a>Help</a></td></tr></table><div data-main><h2>Words of the coast</h2><dl><dt>Ebb</dt><dd>The time in which the water goes back from the land, about six hours.</dd><dt>Quay</dt><dd>A wall at which ships lie.</dd></dl>
-    <table><tr><th>Month</th><th>Tide</th></tr><tr><td>May</td><td>four metres</td></tr></table><div>All heights were measured at the old lighthouse.</div></div><div><a>Back</a> <a>Top</a></div><div>Terms | Privacy | Imprint</div></body>""",
 )
 
 
