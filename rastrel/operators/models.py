@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rastrel.operators.neighbours import nearest_neighbours
 from rastrel.plans.ranks import take_smallest
 from rastrel.schema import DEFAULT_CATEGORY, matrix_columns, q
 from rastrel.session import cut_lineage
@@ -229,47 +230,6 @@ def pca_embedding(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- neighbour graph and communities
 
-def nearest_neighbours(df: DataFrame, key: str, columns: Sequence[str], k: int = 30, block: int = 2048) -> DataFrame:
-    """Exact k nearest objects by Euclidean distance: (key, neighbour, distance).
-
-    Objects are cut into blocks; each task compares two blocks and passes on only the k best of
-    each row, which are then merged. No pair list is ever written.
-    """
-    n = df.count()
-    n_blocks = max(1, -(-n // block))
-    rows = df.select(
-        q(key).alias("id"), F.array(*[q(c).cast("double") for c in columns]).alias("v"),
-        F.pmod(F.xxhash64(q(key)), F.lit(n_blocks)).cast("int").alias("b"),
-    )
-    every = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    left = rows.select("id", "v", F.col("b").alias("p"), F.explode(every).alias("r"), F.lit(0).alias("side"))
-    right = rows.select("id", "v", F.explode(every).alias("p"), F.col("b").alias("r"), F.lit(1).alias("side"))
-    kind = df.schema[key].dataType.simpleString()
-
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if a.empty or b.empty:
-            none = frame["id"].iloc[:0]
-            return pd.DataFrame({"id": none, "neighbour": none, "distance": pd.Series([], dtype=float)})
-        va, vb = np.stack(a["v"].to_list()), np.stack(b["v"].to_list())
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        square = (va**2).sum(1)[:, None] + (vb**2).sum(1)[None, :] - 2 * va @ vb.T
-        square[ids[:, None] == others[None, :]] = np.inf
-        take = min(k, len(others))
-        order = np.argsort(square, axis=1, kind="stable")[:, :take]
-        distance = np.sqrt(np.maximum(np.take_along_axis(square, order, 1), 0))
-        out = pd.DataFrame({
-            "id": np.repeat(ids, take), "neighbour": others[order].ravel(), "distance": distance.ravel(),
-        })
-        return out[np.isfinite(out["distance"])]
-
-    found = left.unionByName(right).groupBy("p", "r").applyInPandas(best, f"id {kind}, neighbour {kind}, distance double")
-    closest = found.groupBy("id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("near")
-    )
-    return closest.select(F.col("id").alias(key), F.explode("near").alias("n")).select(key, "n.neighbour", "n.distance")
-
-
 def communities(edges: DataFrame, key: str, rounds: int = 10) -> DataFrame:
     """Community of each object by label propagation on an undirected neighbour graph.
 

@@ -10,13 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastrel.functions.geometry import path_vertices
 from rastrel.operators.raster import pixels_in_spans
 from rastrel.plans.joins import lookup_join
 from rastrel.plans.ranks import rank_within
+from rastrel.plans.runs import last_wins, layered_runs, run_pixels, union_runs
 from rastrel.session import cut_lineage
 
 
@@ -166,8 +167,8 @@ def spans_to_pixels(spans: DataFrame) -> DataFrame:
 
 
 def union_of_regions(spans: DataFrame) -> DataFrame:
-    """Pixels covered by at least one region."""
-    return spans_to_pixels(spans).select("roi", "y", "x").distinct()
+    """Pixels covered by at least one region; runs are merged before they are unrolled."""
+    return run_pixels(union_runs(spans))
 
 
 def objects_in_regions(mask: DataFrame, spans: DataFrame, threshold: float = 0.85,
@@ -256,17 +257,13 @@ def mask_from_shapes(shapes: DataFrame, extent: DataFrame, flip: bool = True, sc
     sized = lookup_join(_with_rings(shapes).select("roi", "shape_id", "rings"), raster, ["roi"], spread_by=["shape_id"])
     rings = F.transform("rings", lambda ring: F.transform(ring, placed))
     spans = centre_spans(sized.select(F.col("shape_id").alias("region"), "roi", "width", "height", rings.alias("rings")))
-    painted = spans_to_pixels(spans).groupBy("roi", "y", "x").agg(F.max("region").alias("object_id"))
+    painted = run_pixels(last_wins(spans, "region"), "region").withColumnRenamed("region", "object_id").select("roi", "y", "x", "object_id")
     if flip:
         return painted
     turned = lookup_join(painted, raster.select("roi", "height"), ["roi"], spread_by=["y", "x"])
     return turned.select("roi", (F.col("height") - 1 - F.col("y")).alias("y"), "x", "object_id")
 
 
-def _overlay_column(hole: Column, seq: Column) -> Column:
-    return F.struct(seq.alias("seq"), hole.alias("hole"), F.col("feature").alias("feature"), F.col("many").alias("many"))
-
-
 def mask_from_polygons(polygons: DataFrame, extent: DataFrame, hole_types: tuple[str, ...] = ()) -> DataFrame:
     """Label mask of ordered classified polygons with hole rules, by pixel centres.
 
@@ -283,78 +280,28 @@ def mask_from_polygons(polygons: DataFrame, extent: DataFrame, hole_types: tuple
     others = flagged.where(~single).withColumn("feature", F.col("many").cast("bigint"))
     shapes = kept.unionByName(others)
     sized = lookup_join(shapes.select(F.col("seq").alias("region"), "roi", "rings"), extent.select("roi", "width", "height"), ["roi"], spread_by=["region"])
-    pixels = spans_to_pixels(centre_spans(sized)).withColumnRenamed("region", "seq").join(
-        shapes.select("roi", "seq", "hole", "feature", "many"), ["roi", "seq"]
-    )
-    return _resolve_overlaps(pixels)
+    runs = centre_spans(sized).withColumnRenamed("region", "seq").join(shapes.select("roi", "seq", "hole", "feature", "many"), ["roi", "seq"])
+    return run_pixels(_painted(runs), "object_id").select("roi", "y", "x", "object_id")
 
 
-def _resolve_overlaps(pixels: DataFrame) -> DataFrame:
-    """Play the paint order back per pixel, then settle which polygons lie wholly on labels.
+def _painted(runs: DataFrame) -> DataFrame:
+    """(roi, y, x0, x1, object_id): what is left after all polygons were painted in order.
 
-    Whether a polygon takes labelled pixels depends on all of its pixels, and so on the outcome
-    of earlier polygons. Rounds settle polygons in waves: a polygon is settled once every earlier
-    polygon that shares a pixel with it is; disjoint polygons settle in the same round.
+    Whether a place is labelled when a polygon comes doesn't depend on which polygon has it: it is if one that is no
+    hole came after the last hole there. So all verdicts are found at once, from the last painter and the last
+    hole before each step, and a place belongs to the last of the steps after its last hole that took it: the first of
+    them, a polygon that lies wholly on labels, or a multi-polygon. Steps are played on pieces of runs, never on pixels.
     """
-    steps = pixels.select("roi", "y", "x", _overlay_column(F.col("hole"), F.col("seq")).alias("s"))
-    stacks = cut_lineage(
-        steps.groupBy("roi", "y", "x").agg(F.sort_array(F.collect_list("s")).alias("stack"))
-    )
-    shapes = pixels.where(~F.col("hole") & ~F.col("many")).select("roi", "seq").distinct()
-    takes = shapes.withColumn("takes", F.lit(False))
-    settled = cut_lineage(takes)
-    while True:
-        # a polygon's own verdict under the present verdicts of earlier ones
-        entered = stacks.select(
-            "roi", "y", "x", F.posexplode("stack").alias("place", "step"), "stack"
-        ).where(~F.col("step.hole") & ~F.col("step.many"))
-        now = _labels_before(entered, settled)
-        verdict = now.groupBy("roi", F.col("seq")).agg(
-            (F.sum(F.when(F.col("below") == 0, 1).otherwise(0)) == 0).alias("takes")
-        )
-        following = cut_lineage(verdict)
-        changed = following.join(
-            settled.withColumnRenamed("takes", "old"), ["roi", "seq"]
-        ).where(F.col("takes") != F.col("old")).limit(1).count()
-        settled = following
-        if not changed:
-            break
-    return _final_labels(stacks, settled)
-
-
-def _with_verdicts(rows: DataFrame, settled: DataFrame) -> DataFrame:
-    """Each paint step of a pixel with its polygon's verdict, in paint order."""
-    steps = rows.select("roi", "y", "x", F.explode("stack").alias("step"))
-    marked = steps.select(
-        "roi", "y", "x", F.col("step.seq").alias("seq"), F.col("step.hole").alias("hole"),
-        F.col("step.feature").alias("feature"), F.col("step.many").alias("many"),
-    ).join(settled, ["roi", "seq"], "left")
-    return marked.groupBy("roi", "y", "x").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "seq", "hole", "feature", "many", (F.col("many") | F.coalesce("takes", F.lit(False))).alias("takes")
-        ))).alias("stack")
-    )
-
-
-def _paint(stack: Column) -> Column:
-    """Label after playing all steps of one pixel."""
-    return F.aggregate(
-        stack, F.lit(0).cast("bigint"),
-        lambda label, s: F.when(s["hole"], F.lit(0).cast("bigint"))
-        .when((label == 0) | s["takes"], s["feature"]).otherwise(label),
-    )
-
-
-def _labels_before(entered: DataFrame, settled: DataFrame) -> DataFrame:
-    """Label found by each polygon step at its pixel: (roi, seq, below)."""
-    stacks = _with_verdicts(entered.select("roi", "y", "x", "stack").distinct(), settled)
-    steps = stacks.select("roi", "stack", F.posexplode("stack").alias("place", "step")).where(
-        ~F.col("step.hole") & ~F.col("step.many")
-    )
-    below = _paint(F.slice(F.col("stack"), F.lit(1), F.col("place")))
-    return steps.select("roi", F.col("step.seq").alias("seq"), below.alias("below"))
-
-
-def _final_labels(stacks: DataFrame, settled: DataFrame) -> DataFrame:
-    painted = _with_verdicts(stacks, settled).select("roi", "y", "x", _paint(F.col("stack")).alias("object_id"))
-    return painted.where(F.col("object_id") != 0)
+    place = ["roi", "y", "x0", "x1"]
+    steps = cut_lineage(layered_runs(runs, ["seq", "hole", "feature", "many"]))
+    earlier = Window.partitionBy(*place).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    paint, hole = F.when(~F.col("hole"), F.col("seq")), F.when(F.col("hole"), F.col("seq"))
+    on_labels = F.coalesce(F.max(paint).over(earlier) > F.max(hole).over(earlier), F.max(paint).over(earlier).isNotNull())
+    judged = steps.withColumn("_on", on_labels).where(~F.col("hole") & ~F.col("many"))
+    takes = judged.groupBy("roi", "seq").agg(F.bool_and("_on").alias("takes"))
+    cleared = steps.groupBy(*place).agg(F.max(hole).alias("_hole"))
+    after = steps.where(~F.col("hole")).join(cleared, place).where("_hole IS NULL OR seq > _hole")
+    first = after.groupBy(*place).agg(F.min("seq").alias("_first"))
+    owners = after.join(first, place).join(takes, ["roi", "seq"], "left").where("many OR takes OR seq = _first")
+    last = owners.groupBy(*place).agg(F.max(F.struct("seq", "feature")).alias("s"))
+    return last.select(*place, F.col("s.feature").alias("object_id"))

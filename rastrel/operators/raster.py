@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from rastrel.functions.colour import colour_weights, gradient_colour, recolour, scale_intensity
 from rastrel.functions.geometry import grid_positions
 from rastrel.plans.joins import lookup_join, over_tiles, points_in_boxes, tile_of, unrolled
-from rastrel.plans.ranks import percentiles, rank_within, take_smallest
+from rastrel.plans.ranks import percentiles, percentiles_of_counts, rank_within, take_smallest
+from rastrel.plans.runs import union_runs
 from rastrel.schema import q
+from rastrel.session import cut_lineage
 
 PIXEL = ["roi", "channel", "y", "x"]
 
@@ -418,15 +420,19 @@ def span_areas(spans: DataFrame, channels: Sequence[str]) -> DataFrame:
 def region_statistics(region_pixels: DataFrame, digits: int | None = 2, areas: DataFrame | None = None) -> DataFrame:
     """Mean, Max, Min, Median, SD (population) and Total per region and channel.
 
-    With ``areas`` (region, channel, area) pixels may be stored sparsely: absent ones count as 0. Medians
-    are found by counting, without ever holding a region's values in one task.
+    With ``areas`` (region, channel, area) pixels may be stored sparsely: absent ones count as 0. Pixels are read once, to
+    count the equal values of a region; everything else comes from these counts, which are checkpointed.
     """
     keys = ["region", "channel"]
-    value = F.col("value").cast("double")
-    stored = region_pixels.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"), F.max(value).alias("Max"), F.min(value).alias("Min"),
-        F.var_pop(value).alias("_var"), F.sum(value).alias("Total"),
-    )
+    v, times = F.col("_v"), F.col("_n")
+    counted = cut_lineage(region_pixels.groupBy(*keys, F.col("value").cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    sums = counted.groupBy(*keys).agg(
+        F.sum(times).alias("_n"), (F.sum(v * times) / F.sum(F.when(v.isNotNull(), times))).alias("_mean"),
+        F.max(v).alias("Max"), F.min(v).alias("Min"), F.sum(v * times).alias("Total"),
+    )
+    spread = counted.where(v.isNotNull()).join(sums.select(*keys, "_mean"), keys).groupBy(*keys).agg(
+        (F.sum(times * (v - F.col("_mean")) * (v - F.col("_mean"))) / F.sum(times)).alias("_var"))
+    stored = sums.join(spread, keys, "left")
     if areas is None:
         sized, zeros = stored.withColumn("area", F.col("_n")), None
     else:
@@ -438,7 +444,7 @@ def region_statistics(region_pixels: DataFrame, digits: int | None = 2, areas: D
         "Mean": F.col("Total") / area, "Max": F.greatest("Max", absent), "Min": F.least("Min", absent),
         "SD": F.sqrt((n * F.col("_var") + n * (area - n) / area * F.col("_mean") * F.col("_mean")) / area),
     })
-    joined = named.join(percentiles(region_pixels, keys, "value", {"Median": 0.5}, zeros), keys)
+    joined = named.join(percentiles_of_counts(counted.where(v.isNotNull()), keys, {"Median": 0.5}, zeros), keys)
     shown = lambda c: (F.bround(c, digits) if digits is not None else F.col(c)).alias(c)
     return joined.select(*keys, *[shown(c) for c in STATISTICS])
 
@@ -453,11 +459,9 @@ def number_regions(shapes: DataFrame) -> DataFrame:
 
 
 def mask_pixels(pixels: DataFrame, spans: DataFrame, tile: int = 64) -> DataFrame:
-    """Pixels with 0 outside the union of regions."""
-    covered = (
-        pixels_in_spans(pixels.select("roi", "y", "x").distinct(), spans, tile)
-        .select("roi", "y", "x").distinct().withColumn("_in", F.lit(True))
-    )
+    """Pixels with 0 outside the union of regions; runs are merged first, so a pixel lies in one of them at most."""
+    union = union_runs(spans).withColumn("region", F.lit(0))
+    covered = pixels_in_spans(pixels.select("roi", "y", "x").distinct(), union, tile).select("roi", "y", "x", F.lit(True).alias("_in"))
     kind = pixels.schema["value"].dataType
     return pixels.join(covered, ["roi", "y", "x"], "left").withColumn(
         "value", F.when(F.col("_in"), F.col("value")).otherwise(F.lit(0).cast(kind))

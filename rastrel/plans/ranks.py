@@ -50,12 +50,19 @@ def percentiles(
     NaN gives NaN. Equal values are counted before anything else is shuffled by group. ``zeros``
     (keys, zeros) adds that many values 0 to a group without storing them.
     """
-    ks = [q(k) for k in keys]
     counted = (
         df.where(q(value).isNotNull())
-        .groupBy(*ks, q(value).cast("double").alias("_v"))
+        .groupBy(*[q(k) for k in keys], q(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    return percentiles_of_counts(counted, keys, points, zeros)
+
+
+def percentiles_of_counts(
+    counted: DataFrame, keys: Sequence[str], points: Mapping[str, float], zeros: DataFrame | None = None,
+) -> DataFrame:
+    """The same from rows (keys, _v, _n): how often each value, none of them NULL, occurs in a group."""
+    ks = [q(k) for k in keys]
     if zeros is not None:
         more = zeros.where(F.col("zeros") > 0).select(*ks, F.lit(0.0).alias("_v"), F.col("zeros").cast("bigint").alias("_n"))
         counted = counted.union(more).groupBy(*ks, "_v").agg(F.sum("_n").alias("_n"))

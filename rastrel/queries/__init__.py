@@ -7,6 +7,7 @@ from rastrel.queries import (  # noqa: F401
     names,
     objects,
     pixels,
+    readers,
     regions,
     spots,
     streams,

@@ -123,7 +123,16 @@ def mask_from_shapes_in_bounds(spark, sf):
     return po.mask_from_shapes(doubled, bounds, flip=False, scale_factor=2)
 
 
-@query()
+@query(with_views("centres corners", """
+WITH k AS (SELECT region, row_number() OVER (PARTITION BY roi ORDER BY region) AS feature FROM corners WHERE cell_type <> 'error'),
+  s AS (SELECT *, cell_type = 'error' AS hole, max(CASE WHEN cell_type <> 'error' THEN region END) OVER w AS paint,
+      max(CASE WHEN cell_type = 'error' THEN region END) OVER w AS cleared FROM centres
+    WINDOW w AS (PARTITION BY roi, y, x ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  t AS (SELECT region, bool_and(paint IS NOT NULL AND paint > coalesce(cleared, -1)) AS takes FROM s WHERE NOT hole GROUP BY region),
+  h AS (SELECT roi, y, x, coalesce(max(region) FILTER (hole), -1) AS last FROM s GROUP BY 1, 2, 3),
+  a AS (SELECT s.roi, s.y, s.x, s.region, min(s.region) OVER (PARTITION BY s.roi, s.y, s.x) AS first FROM s JOIN h USING (roi, y, x) WHERE NOT hole AND region > last)
+SELECT roi, y, x, arg_max(feature, a.region) AS object_id FROM a JOIN t ON t.region = a.region JOIN k ON k.region = a.region
+WHERE takes OR a.region = first GROUP BY 1, 2, 3"""))
 def mask_from_polygons(spark, sf):
     """Label mask of classified polygons: errors are holes, overlaps follow the paint order."""
     drawn = views.paths(spark, sf).select(

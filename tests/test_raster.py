@@ -285,3 +285,11 @@ def test_skewed_image(spark):
     bounds = {r.roi: r.upper_bound for r in ra.channel_upper_bound(pix).collect()}
     for (roi, _), a in arrays.items():
         assert abs(bounds[roi] - np.percentile(a, 99)) < 1e-12
+
+
+def test_a_long_chain_of_polygons(spark):
+    """A thousand polygons, each over the one before: what an earlier one labelled stays, and no round is needed for each."""
+    square = lambda i: [(float(i), 0.0), (i + 5.0, 0.0), (i + 5.0, 2.0), (float(i), 2.0)]
+    df = spark.createDataFrame([("r", i, "cell", square(i)) for i in range(1000)], f"roi string, seq bigint, classification string, vertices {VERTICES}")
+    got = {(r.y, r.x): r.object_id for r in po.mask_from_polygons(df, extent_of(spark, {"r": (3, 1004)})).collect()}
+    assert got == {(y, x): max(0, x - 4) + 1 for y in range(2) for x in range(1004)}
