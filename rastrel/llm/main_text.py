@@ -48,6 +48,8 @@ INLINE = frozenset(
 #: Opening the key closes an open element of the values, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("ul ol dl table body html article section main div".split())
+#: These say nothing by themselves: one without class, id and role is not weighed like those that have names.
+GENERIC = frozenset("div section".split())
 SPACE = re.compile(r"[\s ]+")
 #: Quotes enclose a value only right after the sign of equality; elsewhere, as in alt=Bob's, they are ordinary characters.
 TOKEN = re.compile(
@@ -198,7 +200,8 @@ def parse(page: str) -> Tree:
             attributes = token[3] or ""
             named = {w.lower() for m in NAMED.finditer(attributes) for w in WORD.findall(m[2] or m[3] or m[4] or "")}
             marked = stack[-1][2] or bool(MARKED.search(attributes))
-            node = tree.add(stack[-1][1], None, [f"tag:{name}", f"in:{stack[-1][0]}>{name}", *(f"name:{w}" for w in sorted(named))], marked)
+            kind = f"{name}-plain" if name in GENERIC and not named else name
+            node = tree.add(stack[-1][1], None, [f"tag:{kind}", f"in:{stack[-1][0]}>{kind}", *(f"name:{w}" for w in sorted(named))], marked)
             if not attributes.endswith("/"):
                 stack.append((name, node, marked))
     flush()

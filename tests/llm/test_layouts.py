@@ -57,7 +57,7 @@ def test_blocks_of_other_layouts(model):
     assert right / found >= 0.9 and right / wanted >= 0.9
 
 
-@pytest.mark.parametrize("name", ["plain paragraphs", "unquoted", "right to left", "chinese", "poem", "short article"])
+@pytest.mark.parametrize("name", ["plain divs", "definitions", "table", "plain paragraphs", "unquoted", "right to left", "chinese", "poem", "short article"])
 def test_whole_articles(model, name):
     page, blocks = PAGES[name]
     assert [b for b in main_text.extract(page, model) if b in blocks] == blocks
