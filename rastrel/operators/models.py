@@ -95,54 +95,42 @@ def random_forest_labels(df: DataFrame, in_col: str | None, out_col: str = "rf",
 
 @register_model("boosted trees")
 def adaboost_labels(df: DataFrame, in_col: str | None, out_col: str = "adaboost",
-                    channels: Sequence[str] | None = None, rounds: int = 100, key: Sequence[str] = ("sample", "cell_id"),
-                    **options) -> DataFrame:
+                    channels: Sequence[str] | None = None, rounds: int = 100, **options) -> DataFrame:
     """Multi-class AdaBoost over small forests: each round weights the objects missed so far.
 
-    Stops early when a round makes no error or is no better than chance, as boosting does.
-    Training rows with their weights are checkpointed each round, so plans stay short.
+    Stops early when a round makes no error or is no better than chance, as boosting does. A round reads the whole table once: the
+    forest's answers change the weights of the training rows and are added to every row's votes, and the table is written for the next
+    round. So the plan of a round, and of the result, is the same after 100 rounds as after one. Ties of votes go to the first label.
     """
     source = in_col or "sample"
     columns = _features(df, channels)
     rows = _assembled(df.withColumn("_class", q(source).cast("string")), columns)
-    training = training_rows(rows, source).select("_class", "_features")
-    indexer = StringIndexer(inputCol="_class", outputCol="_label", stringOrderType="alphabetAsc").fit(training)
-    state = cut_lineage(indexer.transform(training).select("_features", "_label").withColumn("_w", F.lit(1.0)))
+    indexer = StringIndexer(inputCol="_class", outputCol="_label", stringOrderType="alphabetAsc").fit(training_rows(rows, source))
     n_classes = len(indexer.labels)
-    votes: list[tuple[float, object]] = []
+    key = _image_column(df)
+    known = df.where(q(source).cast("string") != DEFAULT_CATEGORY).select(q(key)).distinct().withColumn("_known", F.lit(True))
+    # rows of images without labels get no training weight; their class may be unknown to the indexer
+    marked = indexer.setHandleInvalid("keep").transform(rows).join(known, key, "left")
+    state = cut_lineage(marked.withColumns({
+        "_w": F.when(F.col("_known"), F.lit(1.0)), "_votes": F.array_repeat(F.lit(0.0), n_classes),
+    }).drop("_known", "_class"))
     settings = dict(options)
     for i in range(rounds):
-        model = _forest({**settings, "seed": 10 + i}, "_w").fit(state)
-        judged = model.transform(state).withColumn("_miss", (F.col("_prediction") != F.col("_label")).cast("double"))
-        sums = judged.agg(F.sum(F.col("_w") * F.col("_miss")).alias("miss"), F.sum("_w").alias("all")).first()
-        error = sums["miss"] / sums["all"]
-        if error <= 0:
-            votes.append((1.0, model))
+        model = _forest({**settings, "seed": 10 + i}, "_w").fit(state.where("_w IS NOT NULL").select("_features", "_label", "_w"))
+        judged = cut_lineage(model.transform(state).drop("rawPrediction", "probability"))
+        miss = (F.col("_prediction") != F.col("_label")).cast("double")
+        error = judged.agg(F.sum(F.col("_w") * miss) / F.sum("_w")).first()[0]
+        chance = error >= 1 - 1 / n_classes
+        if chance and i:
             break
-        if error >= 1 - 1 / n_classes:
-            if not votes:
-                votes.append((1.0, model))
+        last = chance or error <= 0
+        weight = 1.0 if last else float(np.log((1 - error) / error) + np.log(max(n_classes - 1, 1)))
+        vote = F.transform("_votes", lambda v, k: v + F.when(k == F.col("_prediction").cast("int"), F.lit(weight)).otherwise(0.0))  # noqa: B023
+        state = judged.withColumns({"_votes": vote, "_w": F.col("_w") * F.exp(miss * weight)}).drop("_prediction")
+        if last:
             break
-        weight = float(np.log((1 - error) / error) + np.log(max(n_classes - 1, 1)))
-        votes.append((weight, model))
-        state = cut_lineage(
-            judged.withColumn("_w", F.col("_w") * F.exp(F.col("_miss") * weight)).select("_features", "_label", "_w")
-        )
-    scored = rows
-    for i, (weight, model) in enumerate(votes):
-        vote = F.struct(F.lit(weight).alias("w"), F.col("_prediction").cast("int").alias("c"))
-        scored = model.transform(scored).withColumn(f"_vote{i}", vote).drop(
-            "_prediction", "rawPrediction", "probability"
-        )
-    cast = F.array(*[F.col(f"_vote{i}") for i in range(len(votes))])
-    totals = F.transform(
-        F.sequence(F.lit(0), F.lit(n_classes - 1)),
-        lambda k: F.aggregate(cast, F.lit(0.0), lambda acc, v: acc + F.when(v["c"] == k, v["w"]).otherwise(0.0)),
-    )
-    best = F.array_position(totals, F.array_max(totals)).cast("int")
-    return scored.withColumn(out_col, F.element_at(_label_names(indexer), best)).select(
-        *[q(c) for c in dict.fromkeys([*df.columns, out_col])]
-    )
+    best = F.array_position("_votes", F.array_max("_votes")).cast("int")
+    return state.withColumn(out_col, F.element_at(_label_names(indexer), best)).select(*[q(c) for c in dict.fromkeys([*df.columns, out_col])])
 
 
 def mixing_training_set(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ("sample", "cell_id"),
