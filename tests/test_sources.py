@@ -211,3 +211,16 @@ def test_stream_totals_grow_by_batch(spark, tmp_path):
         jobs.write_updates(jobs.stream_quantify(stream, mask), str(tmp_path / "out"), str(tmp_path / "state"))
     state = jobs.latest_state(spark.read.parquet(str(tmp_path / "out")), ["roi", "object_id", "channel"]).collect()
     assert [(r.n, r.total) for r in state] == [(2, 5.0)]
+
+
+def test_an_acquisition_is_one_file(spark, sf, tmp_path, monkeypatch):
+    """The rows of an image meet before they are written, however many tasks hold them."""
+    from rastrel.queries import readers
+
+    monkeypatch.setattr(readers, "folder", lambda spark, what: str(tmp_path / what))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        images = readers.read_acquisitions(spark, sf).select("roi").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list(tmp_path.rglob("*.csv"))) == images > 1
