@@ -168,7 +168,8 @@ WITH c AS (SELECT roi, y, x, coalesce(max(value) FILTER (channel = 'A'), 0) * 5
   coalesce(max(value) FILTER (channel = 'R'), 0) * 5 AS b FROM px GROUP BY 1, 2, 3)
 SELECT roi, y, x, CAST((r * 19595 + g * 38470 + b * 7471 + 32768) // 65536 AS INT) AS grey FROM c"""))
 def rgb_to_greyscale(spark, sf):
-    rows = views.pixels(spark, sf).groupBy("roi", "y", "x").pivot("channel", views.CHANNELS).agg(F.max("value"))
+    top = lambda c: F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c)
+    rows = views.pixels(spark, sf).groupBy("roi", "y", "x").agg(*[top(c) for c in views.CHANNELS])
     part = lambda c: F.coalesce(F.col(c), F.lit(0)) * 5
     return rows.select("roi", "y", "x", rgb_to_grey(part("A"), part("N"), part("R")).alias("grey"))
 
