@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rastrel.functions.colour import recolour, scale_intensity
 from rastrel.operators.raster import full_grid, with_channel_params
 from rastrel.operators.stencils import channel_filter, global_filter
-from rastrel.plans.joins import lookup_join
+from rastrel.plans.joins import lookup_join, unrolled
 
 #: A preset is applied only if it has all of these.
 PRESET = ("x_lower_bound", "x_upper_bound", "filter_type", "filter_val")
@@ -20,7 +20,7 @@ PRESET = ("x_lower_bound", "x_upper_bound", "filter_type", "filter_val")
 def filled(pixels: DataFrame, extent: DataFrame, channels: Sequence[str], zero: DataFrame) -> DataFrame:
     """Pixels of all places: absent ones take their channel's value of ``zero`` (channel, zero)."""
     grid = full_grid(extent).withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
-    joined = grid.join(pixels.select("roi", "channel", "y", "x", "value"), ["roi", "channel", "y", "x"], "left")
+    joined = unrolled(grid).join(pixels.select("roi", "channel", "y", "x", "value"), ["roi", "channel", "y", "x"], "left")
     return lookup_join(joined, zero, ["channel"], "left", spread_by=["y", "x"]).select(
         "roi", "channel", "y", "x", F.coalesce("value", "zero", F.lit(0.0)).alias("value")
     )
