@@ -35,6 +35,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SHORT = 40
 #: Characters that are cut into parts at once.
 STRETCH = 1 << 20
+#: Texts whose numbers are held at once.
+ROWS = 256
 INF = float("inf")
 
 
@@ -224,7 +226,7 @@ def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Transducer(shared.value)
-        for batch in batches:
+        for batch in (whole.slice(low, ROWS) for whole in batches for low in range(0, whole.num_rows, ROWS)):
             texts = [t.as_py() or "" for t in batch.column(len(keep))]
             found = [machine.encode(t) for t in texts]
             lengths = pa.array([0, *map(len, found)], pa.int64())

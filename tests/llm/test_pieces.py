@@ -96,3 +96,19 @@ def test_unknown_without_bytes():
 def test_memory_of_parts_is_bounded():
     found = pieces.Remembered(lambda k: k * 2, 10)
     assert [found[k % 37] for k in range(500)] == [2 * (k % 37) for k in range(500)] and len(found) <= 10 and len(found.old) <= 10
+
+
+def test_few_texts_are_held_at_once(spark, model, monkeypatch):
+    """A batch of many texts goes on in pieces of ROWS texts, whose results follow each other in order."""
+    import pyarrow as pa
+
+    class Docs:
+        sparkSession, dtypes = spark, [("doc_id", "bigint"), ("text", "string")]
+        select = lambda self, *names: self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([pa.record_batch([pa.array(range(1000)), pa.array(["a text"] * 999 + [None])], names=["doc_id", "text"])])))
+
+    out = pieces.encode(Docs(), model)
+    assert max(b.num_rows for b in out) <= 256
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(1000)) and [n for b in out for n in b.column(2).to_pylist()][-1] == 0
