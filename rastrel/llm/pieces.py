@@ -36,7 +36,7 @@ SHORT = 40
 #: Characters that are cut into parts at once.
 STRETCH = 1 << 20
 #: Texts whose numbers are held at once.
-ROWS = 256
+ROWS = 2048
 INF = float("inf")
 
 

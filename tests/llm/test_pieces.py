@@ -107,8 +107,8 @@ def test_few_texts_are_held_at_once(spark, model, monkeypatch):
         select = lambda self, *names: self
 
         def mapInArrow(self, run, schema):
-            return list(run(iter([pa.record_batch([pa.array(range(1000)), pa.array(["a text"] * 999 + [None])], names=["doc_id", "text"])])))
+            return list(run(iter([pa.record_batch([pa.array(range(5000)), pa.array(["a text"] * 4999 + [None])], names=["doc_id", "text"])])))
 
     out = pieces.encode(Docs(), model)
-    assert max(b.num_rows for b in out) <= 256
-    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(1000)) and [n for b in out for n in b.column(2).to_pylist()][-1] == 0
+    assert max(b.num_rows for b in out) <= 2048
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(5000)) and [n for b in out for n in b.column(2).to_pylist()][-1] == 0
