@@ -10,7 +10,8 @@ of positions, and the encoding is its path of least weight in the tropical semir
   two pieces back, else the weight is infinite. Merging inside a final piece never looks beyond its neighbour, so each prefix has
   exactly one path of finite weight, and that path is the merge encoding.
 
-Texts are cut where no piece can reach across, and the paths of the parts are remembered in a dictionary of bounded size.
+Texts are cut where no piece can reach across, and the paths of the parts are remembered in a dictionary of bounded size. Of the beginnings
+of a part only the last piece is remembered, which leads back along its path.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,8 @@ SHORT = 40
 STRETCH = 1 << 20
 #: Texts whose numbers are held at once.
 ROWS = 2048
+#: Beginnings of parts whose last piece is remembered, before the older ones go; distinct parts a worker numbers before it starts again.
+BEGINNINGS, PARTS = 100_000, 150_000
 INF = float("inf")
 
 
@@ -81,19 +85,31 @@ class Transducer:
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.unknown_weight = max(self.weight.values(), default=0.0) + 10.0
         self.out = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(BLANK, " ").encode() for p, _, kind in pieces]
-        self.merging = Remembered(self._merging)
-        self.may_follow = Remembered(self._may_follow)
-        self.path = Remembered(self._path)
-        self.path[""] = (0.0, "", ())
-        self.part = Remembered(self._encode_part)
+        self.merging = Remembered(self._merging, BEGINNINGS)
+        self.may_follow = Remembered(self._may_follow, BEGINNINGS)
+        self.path = Remembered(self._last_piece if self.model.kind == BPE else self._path, BEGINNINGS)
+        self.part = Remembered(self._encode_part, BEGINNINGS)
         self.cut = re.compile(self._cuts(), re.S)
 
     def _cuts(self) -> str:
         """Parts that no piece can cross: around characters of no longer piece, and before blanks if none stands inside one."""
         if any(BLANK in p.lstrip(BLANK) for p in self.number):
             return ".+"
-        inside = "".join(map(re.escape, sorted({c for p in self.number if len(p) > 1 for c in p} - {BLANK})))
-        return f"[^{inside}{BLANK}]|{BLANK}*[{inside}]+|{BLANK}+" if inside else "."
+        joined = [p.lstrip(BLANK) for p in self.number if len(p) > 1]
+        kind = {c: c for p in joined for c in p}  # characters that stand side by side in a piece lead to one of their kind
+
+        def of(c: str) -> str:
+            while kind[c] != c:
+                kind[c] = c = kind[kind[c]]
+            return c
+
+        for a, b in ((a, b) for p in joined for a, b in pairwise(p)):
+            kind[of(b)] = of(a)
+        kinds: dict[str, list[str]] = {}
+        for c in sorted(kind):  # unknown characters in a row are one piece, whatever their kind
+            kinds.setdefault(of(c) if self.byte or self.model.kind == BPE else "", []).append(re.escape(c))
+        inside, runs = "".join(chain.from_iterable(kinds.values())), "|".join(f"[{''.join(x)}]+" for x in kinds.values())
+        return f"[^{inside}{BLANK}]|{BLANK}*(?:{runs})|{BLANK}+" if inside else "."
 
     def _merging(self, text: str) -> tuple[list[float], list[str], list[str], bool]:
         """Merging alone: the weight of each step, the first and the last part before each step and at the end, and whether
@@ -163,27 +179,44 @@ class Transducer:
             return (self.number[piece],)
         return tuple(self.byte[b] for b in piece.encode()) if self.byte else (self.unknown,)
 
-    def _path(self, text: str) -> tuple[float, str, tuple[int, ...]]:
-        """The same search from the end: weight, last piece and numbers of the best path, from those of the beginnings of the
-        text. Words share beginnings, so most of them are known."""
-        if not text:
-            return 0.0, "", ()
-        number, ranks, best = self.number, self.model.kind == BPE, (INF, "", ())
+    def _last_piece(self, text: str) -> str:
+        """The same search from the end, for merges: the last piece of the one path of finite weight, from those of the beginnings
+        of the text. Words share beginnings, so most of them are known."""
+        number, may_follow, known = self.number, self.may_follow, self.path
         for size in range(min(len(text), self.longest), 0, -1):
             p = text[-size:]
             if p in number or size == 1:
-                so_far, before, ids = self.path[text[:-size]]
-                if ranks:
-                    if self.may_follow[before, p]:
-                        return 0.0, p, ids + self._ids(p)
-                else:
-                    w = so_far + self.weight.get(p, self.unknown_weight)
-                    if w < best[0]:
-                        best = (w, p, ids + self._ids(p))
+                before = text[:-size]
+                if may_follow[known[before] if before else "", p]:
+                    return p
+        raise AssertionError("every text has a path")
+
+    def _path(self, text: str) -> tuple[float, str]:
+        """The same for weights that add up: weight and last piece of the best path."""
+        best = (INF, "")
+        for size in range(min(len(text), self.longest), 0, -1):
+            p = text[-size:]
+            if p in self.number or size == 1:
+                w = (self.path[text[:-size]][0] if size < len(text) else 0.0) + self.weight.get(p, self.unknown_weight)
+                if w < best[0]:
+                    best = (w, p)
         return best
 
+    def _pieces(self, text: str) -> list[str]:
+        """Back along the path of least weight of a short text."""
+        out, ranks = [], self.model.kind == BPE
+        while text:
+            p = self.path[text] if ranks else self.path[text][1]
+            out.append(p)
+            text = text[: -len(p)]
+        return out[::-1]
+
     def _encode_part(self, text: str) -> tuple[int, ...]:
-        ids = self.path[text][2] if len(text) <= SHORT else tuple(chain.from_iterable(map(self._ids, self.shortest_path(text))))
+        number, found = self.number, self._pieces(text) if len(text) <= SHORT else self.shortest_path(text)
+        try:
+            ids = tuple([number[p] for p in found])
+        except KeyError:
+            ids = tuple(chain.from_iterable(map(self._ids, found)))
         if not self.byte and self.model.kind == UNIGRAM:  # unknown characters in a row are one unknown piece
             ids = tuple(i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i)
         return ids
@@ -193,17 +226,20 @@ class Transducer:
             text = re.sub(" +", " ", text).strip(" ")
         return (BLANK if self.model.dummy_prefix and text else "") + text.replace(" ", BLANK)
 
-    def encode(self, text: str) -> array:
-        plain, ids, at = self.normalise(text), array("i"), 0
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The parts of a text, some at a time."""
+        plain, at = self.normalise(text), 0
         while at < len(plain):
             parts = self.cut.findall(plain, at, at + STRETCH)
             if at + STRETCH < len(plain) and len(parts) > 1:
                 parts.pop()  # it may go on
             elif at + STRETCH < len(plain):
                 parts = [self.cut.match(plain, at)[0]]
-            at += sum(map(len, parts))
-            ids.extend(chain.from_iterable(map(self.part.__getitem__, parts)))
-        return ids
+            at += sum(map(len, parts)) if at + STRETCH < len(plain) else STRETCH
+            yield parts
+
+    def encode(self, text: str) -> array:
+        return array("i", chain.from_iterable(map(self.part.__getitem__, chain.from_iterable(self.parts(text)))))
 
     def decode(self, ids) -> str:
         data = b"".join(map(self.out.__getitem__, ids))
@@ -212,6 +248,52 @@ class Transducer:
         return data.decode("utf-8", "replace")
 
 
+class Parts(dict):
+    """Numbers of distinct parts, with their piece numbers one after the other, so that many texts are put together at once."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine = machine
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ids, self.size, self.exact = array("i"), array("i"), bytearray()
+
+    def __missing__(self, part: str) -> int:
+        machine = self.machine
+        ids = machine._encode_part(part)
+        self[part] = number = len(self.size)
+        self.ids.extend(ids)
+        self.size.append(len(ids))
+        self.exact.append(b"".join([machine.out[i] for i in ids]) == part.replace(BLANK, " ").encode())
+        return number
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """The piece numbers of all texts, how many each has, and whether decoding gives it back."""
+        machine = self.machine
+        found = [[np.fromiter(map(self.__getitem__, p), np.int32, len(p)) for p in machine.parts(t)] for t in texts]
+        size = np.array(self.size, np.int64)
+        start, ids, exact = np.cumsum(size) - size, np.array(self.ids, np.int32), np.array(self.exact, bool)
+        out, lengths, same = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), []
+        for k, (text, some) in enumerate(zip(texts, found, strict=True)):
+            own, whole = len(out), True
+            for numbers in some:
+                each = size[numbers]
+                ends = np.cumsum(each)
+                out.append(ids[np.repeat(start[numbers] - ends + each, each) + np.arange(ends[-1])])
+                lengths[k] += ends[-1]
+                whole = whole and bool(exact[numbers].all())
+            # parts that come back as they were make up the text, but for blanks that the normaliser changes
+            if whole and BLANK not in text and not machine.model.squeeze_blanks:
+                same.append(True)
+            else:
+                same.append(machine.decode(np.concatenate(out[own:]).tolist() if len(out) > own else []) == text)
+        if len(self) > PARTS:
+            self.forget()
+        return np.concatenate(out), lengths, same
+
+
 def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, ``ids`` (array of int), ``n_ids`` and ``round_trip`` (decoding the ids gives the text) for every row.
 
@@ -225,15 +307,12 @@ def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
+        known = Parts(Transducer(shared.value))
         for batch in (whole.slice(low, ROWS) for whole in batches for low in range(0, whole.num_rows, ROWS)):
-            texts = [t.as_py() or "" for t in batch.column(len(keep))]
-            found = [machine.encode(t) for t in texts]
-            lengths = pa.array([0, *map(len, found)], pa.int64())
-            offsets = pa.compute.cumulative_sum(lengths).cast(pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(memoryview(b"".join(x.tobytes() for x in found)).cast("i"), pa.int32()))
-            same = pa.array([machine.decode(x) == t for x, t in zip(found, texts, strict=True)], pa.bool_())
-            yield pa.record_batch([*batch.columns[:-1], ids, lengths[1:], same], names=[*keep, "ids", "n_ids", "round_trip"])
+            found, lengths, same = known.encode([t.as_py() or "" for t in batch.column(len(keep))])
+            offsets = pa.array(np.cumsum(np.r_[0, lengths]), pa.int64()).cast(pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, pa.array(found, pa.int32()))
+            yield pa.record_batch([*batch.columns[:-1], ids, pa.array(lengths), pa.array(same, pa.bool_())], names=[*keep, "ids", "n_ids", "round_trip"])
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>, n_ids long, round_trip boolean")

@@ -112,3 +112,33 @@ def test_few_texts_are_held_at_once(spark, model, monkeypatch):
     out = pieces.encode(Docs(), model)
     assert max(b.num_rows for b in out) <= 2048
     assert [i for b in out for i in b.column(0).to_pylist()] == list(range(5000)) and [n for b in out for n in b.column(2).to_pylist()][-1] == 0
+
+
+def test_parts_end_where_kinds_of_characters_meet(model, library):
+    """No piece joins letters and signs, so a word is the same part whatever sign follows it."""
+    machine = pieces.Transducer(model)
+    text = "word, word. word### (word) a££b 12.5% Жизнь, 日本語—x"
+    parts = [p for some in machine.parts(text) for p in some]
+    assert "".join(parts) == machine.normalise(text) and parts.count("▁word") == 3 and "word" in parts
+    assert list(machine.encode(text)) == library.encode(text)
+
+
+def test_memory_of_a_worker_is_bounded(model, library, monkeypatch):
+    """Many distinct words take little memory, and what a worker forgets is found again."""
+    import random
+    import tracemalloc
+
+    draw = random.Random(7)
+    texts = [" ".join("".join(draw.choices("etaoinshr", k=9)) for _ in range(500)) for _ in range(80)]
+    machine = pieces.Transducer(model)
+    known = pieces.Parts(machine)
+    tracemalloc.start()
+    ids, lengths, same = known.encode(texts)
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+    assert all(same) and ids.tolist() == [i for t in texts for i in library.encode(t)] and lengths.sum() == len(ids)
+    monkeypatch.setattr(pieces, "PARTS", 100)
+    known = pieces.Parts(pieces.Transducer(model))
+    for t in ("", "▁", texts[0], "a b", texts[1] + "▁ x"):
+        ids, lengths, same = known.encode([t, t])
+        assert ids.tolist() == 2 * library.encode(t) and same == 2 * ["▁" not in t] and len(known) <= 100 and lengths.tolist() == 2 * [len(ids) // 2]
