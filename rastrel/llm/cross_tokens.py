@@ -9,7 +9,8 @@ of another block is told from a counted one. Second pass: texts are aligned agai
 blocks of a counted size.
 
 Alignment works on stretches of white space and what follows it: neither tokenizer lets a token reach across, which is checked for the
-given vocabularies, so both encodings are those of the stretches one after the other, and each distinct stretch is encoded once.
+given vocabularies, so both encodings are those of the stretches one after the other, and each distinct stretch is encoded once. If no piece of B
+goes on from a letter to a sign, as A never does, stretches end there too, and a word is the same one whatever sign follows.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ BLANK = "▁"
 BYTE, CONTROL, UNKNOWN = 6, 3, 2
 #: Fixed value: how byte-level vocabularies of the usual kind cut texts before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters and signs between which stretches may end; those of all versions of Unicode, as the libraries bring tables of their own.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ž", r"!-/:-@\[-`{-~"
 
 
 @dataclass(frozen=True)
@@ -92,7 +95,8 @@ class Aligner:
         joined = [p.piece.lstrip(BLANK) for p in model.pieces if len(p.piece) > 1 and p.type not in (CONTROL, UNKNOWN, BYTE)]
         # white space that B never joins with anything; texts with other white space are encoded whole
         space = "".join(c for c in " \t\n\r" if not any(c in p for p in joined))
-        self.parts, self.odd = re.compile(f"[{space}]*[^{space}]+|[{space}]+"), re.compile(rf"[^\S{space}]")
+        words = "" if any(re.search(f"[{LETTERS}][{SIGNS}]", p) for p in joined) else f"[{space}]*+[{SIGNS}]*+[{LETTERS}]++(?![^{SIGNS}{space}])|"
+        self.parts, self.odd = re.compile(f"{words}[{space}]*[^{space}]+|[{space}]+"), re.compile(rf"[^\S{space}]")
         pre = config.get("pre_tokenizer") or {}
         #: Whether texts may be cut before white space: the usual byte-level pattern, and no piece with a blank but at its beginning.
         self.cuts = (

@@ -136,3 +136,12 @@ def test_perfect_hash(n):
     assert places.tolist() == list(range(len(keys)))
     others = np.setdiff1d(draw.integers(0, 1 << 47, 1000).astype(np.uint64), keys)
     assert (index.find(others) == -1).all()
+
+
+def test_a_word_is_one_stretch_whatever_sign_follows(given, libraries):
+    own = c.Aligner(given)
+    text = "word, word. word### (word) don't f(x)=a_b;c\\d 12.5% Zürich: \u00b2\u2173x, ~a~ [b]"
+    parts = own.stretches(text)
+    assert "".join(parts) == " " + text and parts.count(" word") == 3 and parts.count(" (word") == 1
+    groups = groups_of(text, libraries)
+    assert ";".join(own.text[k] for k in own.read([text])[0]) == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
