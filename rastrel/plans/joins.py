@@ -59,14 +59,14 @@ def tile_of(coordinate: Column, tile: int = TILE) -> Column:
 
 
 def fitting_tile(boxes: DataFrame, largest: int = 256) -> int:
-    """Tile side about half the average box side, so that tiles hold little besides the boxes.
+    """Tile side of one to two times the average box side: a box is copied to few tiles, and its tiles hold few times its own points.
 
     One averaged row comes to the driver. Any side gives right results.
     """
     side = F.least(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"))
     mean = boxes.agg(F.avg(side.cast("double")).alias("s")).first()["s"] or 1.0
     tile = 1
-    while tile * 4 <= mean and tile < largest:
+    while tile < mean and tile < largest:
         tile *= 2
     return tile
 

@@ -67,3 +67,17 @@ def test_colours_are_found_in_one_aggregation_of_pixels(spark, sf):
     from rastrel.queries import pixels
 
     assert plan(pixels.rgb_to_greyscale(spark, sf)).count("Exchange") == 2 and "pivotfirst" not in plan(pixels.rgb_to_greyscale(spark, sf))
+
+
+def test_grids_are_shuffled_by_lines(spark, sf):
+    """Single places of a grid are never what is shuffled and joined."""
+    text = plan(views.dense(spark, sf))
+    keys = [line for line in text.splitlines() if "SortMergeJoin" in line]
+    assert len(keys) == 1 and "_t#" in keys[0] and "x#" not in keys[0]
+
+
+def test_small_regions_are_measured_by_one_shuffle_of_their_pixels(spark):
+    pixels = spark.range(50).selectExpr("id % 3 AS region", "'c' AS channel", "id AS value")
+    areas = spark.range(3).selectExpr("id AS region", "'c' AS channel", "40L AS area")
+    text = plan(ra.region_statistics(pixels, None, areas))
+    assert text.count("Exchange hashpartitioning") <= 2 and "Scan ExistingRDD" not in text

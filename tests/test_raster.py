@@ -325,3 +325,28 @@ def test_tiles_are_filtered_together(spark, monkeypatch):
         at, found = work(block, pads)
         assert (found["s"] == own.sum(axis=(1, 2))[tiles[at]]).all()
     assert calls == [40]
+
+
+def test_statistics_of_small_and_large_regions_agree(spark, monkeypatch):
+    """Values below, at and above 0, NaN and NULL, with absent pixels and without, by both ways."""
+    rows = [(1, float(v)) for v in (-3, -1, 4, 7)] + [(2, 0.0), (2, 5.0), (2, -2.5)] + [(3, float("nan")), (3, 1.0)] + [(4, None), (4, 2.0), (4, 6.0)] + [(5, 9.0)]
+    pixels = spark.createDataFrame([(r, "c", v) for r, v in rows], "region int, channel string, value double")
+    areas = spark.createDataFrame([(1, "c", 4), (2, "c", 6), (3, "c", 2), (4, "c", 3), (5, "c", 8), (6, "c", 2)], "region int, channel string, area bigint")
+    found = []
+    for limit in (100, 3, 0):
+        monkeypatch.setattr(ra, "SMALL_REGION", limit)
+        table = ra.region_statistics(pixels, 9, areas)
+        found.append(sorted((str(tuple(r)) for r in table.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 6
+    one = {r.region: r for r in ra.region_statistics(pixels, 9, areas).collect()}
+    assert one[1].Median == 1.5 and one[2].Median == 0.0 and one[4].Median == 4.0 and one[6].Total == 0.0
+
+
+def test_lines_keep_pixels_given_twice_and_drop_those_outside(spark):
+    pixels = spark.createDataFrame(
+        [("r", "c", 0, 1, 5), ("r", "c", 0, 1, 6), ("r", "c", 0, 299, 7), ("r", "c", 0, 300, 8), ("r", "c", 2, 0, 9), ("r", "d", 0, 0, 4), ("r", "c", 1, 0, None)],
+        "roi string, channel string, y int, x int, value bigint")
+    extent = spark.createDataFrame([("r", 300, 2)], "roi string, width int, height int")
+    got = ra.densify(pixels, extent, ["c"]).collect()
+    stored = sorted((r.y, r.x, r.value) for r in got if r.value)
+    assert len(got) == 601 and stored == [(0, 1, 5), (0, 1, 6), (0, 299, 7)] and len({(r.y, r.x) for r in got}) == 600
