@@ -73,19 +73,34 @@ def disk(size: int) -> np.ndarray:
     return d[:, None] + d[None, :] < size * size
 
 
-def _paint(tile: np.ndarray, y0: int, x0: int, spot: tuple, height: int, width: int) -> None:
-    """Raise the tile's pixels under one disk to the spot's value."""
-    fy, oy, fx, ox, size, value = spot
-    stamp, side = disk(size), tile.shape[0]
-    ys, xs = fy + np.arange(1 - size, size), fx + np.arange(1 - size, size)
-    # positions are cut towards zero, so those between -1 and 0 land on the first row or column as well
-    for rows in (ys, np.where(ys == -1, 0, -1)) if oy and fy - size < -1 else (ys,):
-        for cols in (xs, np.where(xs == -1, 0, -1)) if ox and fx - size < -1 else (xs,):
-            r = (rows >= max(y0, 0)) & (rows < min(y0 + side, height))
-            c = (cols >= max(x0, 0)) & (cols < min(x0 + side, width))
-            if r.any() and c.any():
-                at = np.ix_(rows[r] - y0, cols[c] - x0)
-                tile[at] = np.maximum(tile[at], np.where(stamp[np.ix_(r, c)], value, 0))
+#: Cells of the arrays that are painted together, and of disks that are raised at once.
+CELLS = 1 << 20
+
+
+@cache
+def _offsets(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a disk's pixels, from its middle."""
+    dy, dx = np.nonzero(disk(size))
+    return dy - (size - 1), dx - (size - 1)
+
+
+def _painted_tiles(rows: dict[str, np.ndarray], at: np.ndarray, n: int, tile: int) -> np.ndarray:
+    """Stack of ``n`` tiles; spot i of ``rows`` raises the pixels under its disk in tile ``at[i]`` to its value."""
+    canvas = np.zeros(n * tile * tile, dtype=rows["value"].dtype)
+    for size in np.unique(rows["_size"]).tolist():
+        dy, dx = _offsets(size)
+        own = np.flatnonzero(rows["_size"] == size)
+        step = max(1, CELLS // len(dy))
+        for part in (own[i:i + step] for i in range(0, len(own), step)):
+            one = {c: a[part, None] for c, a in rows.items()}
+            ys, xs = one["fy"] + dy, one["fx"] + dx
+            # positions are cut towards zero, so those between -1 and 0 land on the first row or column as well
+            ys, xs = np.where((ys == -1) & one["oy"], 0, ys), np.where((xs == -1) & one["ox"], 0, xs)
+            y, x = ys - one["ty"] * tile, xs - one["tx"] * tile
+            seen = (y >= 0) & (y < tile) & (x >= 0) & (x < tile) & (ys < one["_h"]) & (xs < one["_w"])
+            value = np.broadcast_to(one["value"], seen.shape)[seen]
+            np.maximum.at(canvas, (at[part, None] * (tile * tile) + y * tile + x)[seen], value)
+    return canvas.reshape(n, tile, tile)
 
 
 def rasterize_spots(values: DataFrame, scales: DataFrame, extents: DataFrame,
@@ -120,32 +135,41 @@ def rasterize_spots(values: DataFrame, scales: DataFrame, extents: DataFrame,
     dealt = tiled.repartition(*key).sortWithinPartitions(*key)
     kinds = {c: dealt.schema[c].dataType.simpleString() for c in ("roi", "channel", "value")}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_key, canvas = None, None
-
-        def finished() -> pd.DataFrame:
-            y, x = np.nonzero(canvas)
-            return pd.DataFrame({
-                "roi": [open_key[0]] * len(y), "channel": [open_key[1]] * len(y),
-                "y": (y + open_key[2] * tile).astype(np.int32), "x": (x + open_key[3] * tile).astype(np.int32), "value": canvas[y, x],
+    def finished(rows: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        ends = np.r_[starts[1:], len(rows["value"])]
+        step = max(1, CELLS // (tile * tile))
+        for i in range(0, len(starts), step):
+            low, high, own = starts[i], ends[min(i + step, len(starts)) - 1], starts[i:i + step]
+            at = np.repeat(np.arange(len(own)), ends[i:i + step] - own)
+            canvas = _painted_tiles({c: rows[c][low:high] for c in painted}, at, len(own), tile)
+            n, y, x = np.nonzero(canvas)
+            yield pd.DataFrame({
+                "roi": rows["roi"][own[n]], "channel": rows["channel"][own[n]], "y": (y + rows["ty"][own[n]] * tile).astype(np.int32),
+                "x": (x + rows["tx"][own[n]] * tile).astype(np.int32), "value": canvas[n, y, x],
             })
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
-            ready = []
-            for row in batch.itertuples(index=False):
-                now = (row.roi, row.channel, row.ty, row.tx)
-                if now != open_key:
-                    if open_key is not None:
-                        ready.append(finished())
-                    open_key, canvas = now, np.zeros((tile, tile), dtype=batch["value"].dtype)
-                _paint(canvas, row.ty * tile, row.tx * tile, (row.fy, row.oy, row.fx, row.ox, row[size_at], row.value), row[height_at], row[width_at])
-            if ready:
-                yield pd.concat(ready, ignore_index=True)
-        if open_key is not None:
-            yield finished()
-
-    size_at, height_at, width_at = (dealt.columns.index(c) for c in ("_size", "_h", "_w"))
-    return dealt.mapInPandas(run, f"roi {kinds['roi']}, channel {kinds['channel']}, y int, x int, value {kinds['value']}")
+            if batch.empty:
+                continue
+            new = {c: batch[c].to_numpy() for c in columns}
+            rows = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in columns}
+            changed = np.zeros(len(batch) + (0 if held is None else len(held["value"])) - 1, dtype=bool)
+            for k in key:
+                changed |= (rows[k][1:] != rows[k][:-1]).astype(bool)
+            starts = np.r_[0, np.flatnonzero(changed) + 1]
+            # the last tile may go on in the next batch; its spots are at different places, a bounded number
+            cut = int(starts[-1])
+            if cut:
+                yield from finished({c: v[:cut] for c, v in rows.items()}, starts[:-1])
+            held = {c: v[cut:] for c, v in rows.items()}
+        if held is not None:
+            yield from finished(held, np.zeros(1, dtype=np.int64))
+
+    painted = ("value", "_size", "fy", "oy", "fx", "ox", "ty", "tx", "_h", "_w")
+    columns = ["roi", "channel", *painted]
+    return dealt.select(*columns).mapInPandas(run, f"roi {kinds['roi']}, channel {kinds['channel']}, y int, x int, value {kinds['value']}")
 
 
 def number_spots(spots: DataFrame, order: str = "spot_id") -> DataFrame:

@@ -32,3 +32,11 @@ def test_disks_match_brute_force(spark, tile):
                     want[roi, gene, py, px] = max(value, want.get((roi, gene, py, px), 0))
     rows = found.collect()
     assert {(r.roi, r.channel, r.y, r.x): r.value for r in rows} == want and len(rows) == len(want)
+
+
+def test_tiles_are_painted_as_one_stack():
+    """Two tiles, overlapping disks and one position cut towards zero in one call."""
+    rows = {"value": [2, 5, 3], "_size": [2, 2, 1], "fy": [3, 4, -1], "oy": [False, False, True], "fx": [3, 3, 9], "ox": [False] * 3,
+            "ty": [0, 0, 0], "tx": [0, 0, 1], "_h": [8] * 3, "_w": [16] * 3}
+    found = sp._painted_tiles({c: np.array(v) for c, v in rows.items()}, np.array([0, 0, 1]), 2, 8)
+    assert found.shape == (2, 8, 8) and found[0, 3, 3] == 5 and found[0, 2, 3] == 2 and found[1, 0, 1] == 3 and (found > 0).sum() == 13
