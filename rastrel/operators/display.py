@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastrel.functions.colour import recolour, scale_intensity
-from rastrel.operators.raster import full_grid, with_channel_params
+from rastrel.operators.raster import filled_lines, with_channel_params
 from rastrel.operators.stencils import channel_filter, global_filter
-from rastrel.plans.joins import lookup_join, unrolled
+from rastrel.plans.joins import lookup_join
 
 #: A preset is applied only if it has all of these.
 PRESET = ("x_lower_bound", "x_upper_bound", "filter_type", "filter_val")
@@ -19,11 +19,10 @@ PRESET = ("x_lower_bound", "x_upper_bound", "filter_type", "filter_val")
 
 def filled(pixels: DataFrame, extent: DataFrame, channels: Sequence[str], zero: DataFrame) -> DataFrame:
     """Pixels of all places: absent ones take their channel's value of ``zero`` (channel, zero)."""
-    grid = full_grid(extent).withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
-    joined = unrolled(grid).join(pixels.select("roi", "channel", "y", "x", "value"), ["roi", "channel", "y", "x"], "left")
-    return lookup_join(joined, zero, ["channel"], "left", spread_by=["y", "x"]).select(
-        "roi", "channel", "y", "x", F.coalesce("value", "zero", F.lit(0.0)).alias("value")
-    )
+    panel = zero.where(F.col("channel").isin(list(channels))).select("channel", "zero")
+    names = F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel")
+    images = extent.select("roi", "width", "height", names).join(F.broadcast(panel), "channel", "left")
+    return filled_lines(pixels.select("roi", "channel", "y", "x", F.col("value").cast("double").alias("value")), images, F.coalesce("zero", F.lit(0.0)))
 
 
 def filtered_channels(pixels: DataFrame, extent: DataFrame, params: DataFrame) -> DataFrame:

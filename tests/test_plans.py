@@ -81,3 +81,11 @@ def test_small_regions_are_measured_by_one_shuffle_of_their_pixels(spark):
     areas = spark.range(3).selectExpr("id AS region", "'c' AS channel", "40L AS area")
     text = plan(ra.region_statistics(pixels, None, areas))
     assert text.count("Exchange hashpartitioning") <= 2 and "Scan ExistingRDD" not in text
+
+
+def test_channels_are_filled_by_lines(spark, sf):
+    from rastrel.operators import display as di
+
+    zero = spark.createDataFrame([(c, 1.5) for c in views.CHANNELS], "channel string, zero double")
+    joins = [line for line in plan(di.filled(views.pixels(spark, sf), views.extent(spark, sf), views.CHANNELS, zero)).splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == 1 and "_t#" in joins[0] and "x#" not in joins[0]
