@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rastrel.operators.neighbours import nearest_neighbours
 from rastrel.plans.ranks import take_smallest
 from rastrel.schema import DEFAULT_CATEGORY, matrix_columns, q
-from rastrel.session import cut_lineage
+from rastrel.session import cut_lineage, discard, stored
 
 MODELS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -217,16 +217,21 @@ def pca_embedding(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- neighbour graph and communities
 
+def _both_ways(edges: DataFrame, key: str) -> DataFrame:
+    """(a, b) of every edge and of its reverse; the edges are made once."""
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    return edges.select(F.explode(F.array(pair(key, "neighbour"), pair("neighbour", key))).alias("e")).select("e.a", "e.b")
+
+
 def communities(edges: DataFrame, key: str, rounds: int = 10) -> DataFrame:
     """Community of each object by label propagation on an undirected neighbour graph.
 
     Every round an object takes the label most of its neighbours carry (the smallest on a tie, its
     own when among them). Labels meet edges through one join; counts are combined before the
-    shuffle. Each round is checkpointed.
+    shuffle. Each round is written, and takes the place of the last one's files.
     """
-    one = edges.select(F.col(key).alias("a"), F.col("neighbour").alias("b"))
-    both = cut_lineage(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.select("a").distinct().withColumn("label", F.col("a")))
+    both = stored(_both_ways(edges, key).distinct())
+    labels = stored(both.select("a").distinct().withColumn("label", F.col("a")))
     for _ in range(rounds):
         heard = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a", "label").agg(
             F.count(F.lit(1)).alias("n")
@@ -237,18 +242,18 @@ def communities(edges: DataFrame, key: str, rounds: int = 10) -> DataFrame:
                 F.col("n"), (F.col("label") == F.col("old")).alias("same"), (-F.col("label")).alias("neg"),
             )).alias("best"), F.first("old").alias("old"),
         )
-        following = cut_lineage(ranked.select("a", (-F.col("best.neg")).alias("label"), "old"))
-        moved = following.where(F.col("label") != F.col("old")).limit(1).count()
-        labels = following.select("a", "label")
-        if not moved:
+        following = stored(ranked.select("a", (-F.col("best.neg")).alias("label"), "old"))
+        discard(labels)
+        labels = following
+        if not following.where(F.col("label") != F.col("old")).limit(1).count():
             break
+    discard(both)
     return labels.select(F.col("a").alias(key), "label")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Modularity of a labelling of the undirected graph: one row (modularity)."""
-    one = edges.select(F.col(key).alias("a"), F.col("neighbour").alias("b"))
-    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = _both_ways(edges, key).distinct()
     of = lambda side: labels.select(F.col(key).alias(side), F.col("label").alias(f"l{side}"))
     marked = both.join(of("a"), "a").join(of("b"), "b")
     per = marked.groupBy(F.col("la").alias("label")).agg(
@@ -269,7 +274,7 @@ def knn_communities(df: DataFrame, in_col: str | None, out_col: str = "community
     ``key`` is an integer column unique in the table.
     """
     columns = _features(df, channels)
-    graph = cut_lineage(nearest_neighbours(df, key, columns, n_neighbors))
+    graph = stored(nearest_neighbours(df, key, columns, n_neighbors).select(key, "neighbour"))
     labels = communities(graph, key, rounds).select(key, F.col("label").cast("string").alias(out_col))
     base = df.drop(out_col) if out_col in df.columns else df
     return base.join(labels, key, "left").select(*[q(c) for c in base.columns], q(out_col))
