@@ -18,7 +18,7 @@ from rastrel.operators.raster import pixels_in_spans
 from rastrel.plans.joins import lookup_join
 from rastrel.plans.ranks import rank_within
 from rastrel.plans.runs import last_wins, layered_runs, run_pixels, union_runs
-from rastrel.session import cut_lineage
+from rastrel.session import stored
 
 
 def _merge(row: np.ndarray, a: np.ndarray, b: np.ndarray):
@@ -293,15 +293,17 @@ def _painted(runs: DataFrame) -> DataFrame:
     them, a polygon that lies wholly on labels, or a multi-polygon. Steps are played on pieces of runs, never on pixels.
     """
     place = ["roi", "y", "x0", "x1"]
-    steps = cut_lineage(layered_runs(runs, ["seq", "hole", "feature", "many"]))
-    earlier = Window.partitionBy(*place).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    steps = layered_runs(runs, ["seq", "hole", "feature", "many"])
+    whole = Window.partitionBy(*place)
+    earlier = whole.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     paint, hole = F.when(~F.col("hole"), F.col("seq")), F.when(F.col("hole"), F.col("seq"))
     on_labels = F.coalesce(F.max(paint).over(earlier) > F.max(hole).over(earlier), F.max(paint).over(earlier).isNotNull())
-    judged = steps.withColumn("_on", on_labels).where(~F.col("hole") & ~F.col("many"))
-    takes = judged.groupBy("roi", "seq").agg(F.bool_and("_on").alias("takes"))
-    cleared = steps.groupBy(*place).agg(F.max(hole).alias("_hole"))
-    after = steps.where(~F.col("hole")).join(cleared, place).where("_hole IS NULL OR seq > _hole")
-    first = after.groupBy(*place).agg(F.min("seq").alias("_first"))
-    owners = after.join(first, place).join(takes, ["roi", "seq"], "left").where("many OR takes OR seq = _first")
+    judged = steps.withColumn("_on", on_labels).withColumn("_hole", F.max(hole).over(whole)).where(~F.col("hole"))
+    after = F.col("_hole").isNull() | (F.col("seq") > F.col("_hole"))
+    judged = judged.withColumn("_after", after).withColumn("_first", F.min(F.when(F.col("_after"), F.col("seq"))).over(whole) == F.col("seq"))
+    # one exchange by place gives all that is read twice below
+    judged = stored(judged.select(*place, "seq", "feature", "many", "_on", "_after", "_first"))
+    takes = judged.where(~F.col("many")).groupBy("roi", "seq").agg(F.bool_and("_on").alias("takes")).where("takes")
+    owners = judged.where("_after").join(takes, ["roi", "seq"], "left").where("many OR takes OR _first")
     last = owners.groupBy(*place).agg(F.max(F.struct("seq", "feature")).alias("s"))
     return last.select(*place, F.col("s.feature").alias("object_id"))
