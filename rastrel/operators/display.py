@@ -12,6 +12,7 @@ from rastrel.functions.colour import recolour, scale_intensity
 from rastrel.operators.raster import filled_lines, with_channel_params
 from rastrel.operators.stencils import channel_filter, global_filter
 from rastrel.plans.joins import lookup_join
+from rastrel.session import stored
 
 #: A preset is applied only if it has all of these.
 PRESET = ("x_lower_bound", "x_upper_bound", "filter_type", "filter_val")
@@ -70,6 +71,7 @@ def blend_filtered(pixels: DataFrame, extent: DataFrame, params: DataFrame, kind
     image = coloured.groupBy("roi", "y", "x").agg(*[total(n) for n in "rgb"])
     if kind is None or size is None or int(size) % 2 == 0:
         return image
+    image = stored(image)  # its shuffles go before those of the global filter come
     long = image.unpivot(["roi", "y", "x"], ["r", "g", "b"], "channel", "value")
     smooth = global_filter(long, extent, kind, size, sigma)
     part = lambda n: F.max(F.when(F.col("channel") == n, F.rint("value"))).cast("bigint").alias(n)

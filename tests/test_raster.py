@@ -350,3 +350,27 @@ def test_lines_keep_pixels_given_twice_and_drop_those_outside(spark):
     got = ra.densify(pixels, extent, ["c"]).collect()
     stored = sorted((r.y, r.x, r.value) for r in got if r.value)
     assert len(got) == 601 and stored == [(0, 1, 5), (0, 1, 6), (0, 299, 7)] and len({(r.y, r.x) for r in got}) == 600
+
+
+def test_polygon_masks_exchange_steps_once(spark):
+    """What the windows find is written once; the plan behind it exchanges verdicts and owners only."""
+    from rastrel.operators import polygons as po
+
+    runs = spark.createDataFrame(
+        [(1, k, 0, 0, 9, k % 3 == 1, k, False) for k in range(4)], "roi long, seq long, y int, x0 int, x1 int, hole boolean, feature long, many boolean")
+    painted = po._painted(runs)
+    plan = painted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
+    assert [(r.x0, r.x1, r.object_id) for r in painted.collect()] == [(0, 9, 3)]
+
+
+def test_blend_is_written_before_its_filter(spark):
+    """The filter of the whole image starts from the written blend, so the shuffles of the channels are gone by then."""
+    from rastrel.operators import display as di
+
+    pixels = spark.createDataFrame([(1, c, y, x, float(y + x)) for c in "AB" for y in range(4) for x in range(4)], "roi long, channel string, y int, x int, value double")
+    extent = spark.createDataFrame([(1, 4, 4)], "roi long, width int, height int")
+    rows = [(c, 0.0, 6.0, h, [w * 1.0 for w in ws], None, None, None) for c, h, ws in (("A", "#ff0000", (1, 0, 0)), ("B", "#0000ff", (0, 0, 1)))]
+    names = "channel string, x_lower_bound double, x_upper_bound double, color string, weights array<double>, filter_type string, filter_val double, filter_sigma double"
+    plan = di.blend_filtered(pixels, extent, spark.createDataFrame(rows, names), "median", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and plan.count("LogicalRDD") <= 1
